@@ -8,13 +8,14 @@ without shuffling the text. Questions and answers travel as packed numpy blobs:
 
 from __future__ import annotations
 
-import re
+import struct
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20
 
 U = np.uint64
-CHUNK_SCHEMA = "chunk long, ids binary, lens binary, body binary"
+CHUNK_SCHEMA = "chunk long, ids binary, lens binary, body binary, rest binary"
 BLOB_SCHEMA = "chunk long, bucket int, blob binary"
 
 
@@ -54,44 +55,64 @@ def plain_docs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, list[bytes | None]]]:
-    """Regroup Arrow batches of (doc_id, text) to about ``most`` bytes of text each; texts as UTF-8 bytes or None."""
-    ids: list[int] = []
-    texts: list[bytes | None] = []
+#: Stands for a null doc_id inside chunks: it sorts before all others.
+NULL_ID = -(1 << 63)
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, list[bytes | None], pa.Table]]:
+    """Regroup Arrow batches (doc_id, text, any others) to about ``most`` bytes of text: ids, texts as UTF-8, other columns."""
+    parts: list[pa.RecordBatch] = []
     size = 0
-    for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            ids.append(i)
-            texts.append(t)
-            size += len(t or b"") + 16
-            if size >= most:
-                yield np.array([-1 if x is None else x for x in ids], np.int64), texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield np.array([-1 if x is None else x for x in ids], np.int64), texts
 
+    def out() -> tuple[np.ndarray, list[bytes | None], pa.Table]:
+        t = pa.Table.from_batches(parts)
+        ids = t.column(0).fill_null(NULL_ID).to_numpy()
+        return ids, t.column(1).cast(pa.binary()).to_pylist(), t.drop_columns([t.column_names[0], t.column_names[1]])
 
-def stage_chunks(docs: DataFrame, name: str, buckets: int, tokens: Callable[[list[bytes | None]], list[bytes]] | None = None) -> DataFrame:
-    """The chunk table of docs, bucketed by chunk id; nulls and empty texts have length 0 (null is -1)."""
+    for b in batches:
+        lens = pa.compute.fill_null(pa.compute.binary_length(b.column(1).cast(pa.binary())), 0).to_numpy(zero_copy_only=False).tolist()
+        first = 0
+        for i, n in enumerate(lens):
+            size += n + 16
+            if size >= most:
+                parts.append(b.slice(first, i + 1 - first))
+                yield out()
+                parts, size, first = [], 0, i + 1
+        if first < b.num_rows:
+            parts.append(b.slice(first))
+    if parts:
+        yield out()
+
+
+def stage_chunks(docs: DataFrame, name: str, buckets: int, keep: bool = False) -> DataFrame:
+    """The chunk table of docs, bucketed by chunk id. A null text has length -1. With keep, the other columns
+    of docs ride along, whatever they are called."""
     spark = docs.sparkSession
+    source = plain_docs(docs)
+    if keep:
+        rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+        source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, k = TaskContext.get().partitionId(), 0
         z = zstandard.ZstdCompressor(level=1)
-        for ids, texts in text_batches(batches):
+        for ids, texts, rest in text_batches(batches):
             lens = np.array([-1 if t is None else len(t) for t in texts], np.int64)
-            body = b"".join(t for t in texts if t)
-            yield pa.RecordBatch.from_pydict({
-                "chunk": pa.array([(part << 32) | k], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()),
-                "lens": pa.array([lens.tobytes()], pa.binary()), "body": pa.array([z.compress(body)], pa.binary()),
-            })
+            side = b""
+            if keep:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rest.schema) as w:
+                    w.write_table(rest)
+                side = z.compress(sink.getvalue().to_pybytes())
+            row = {"chunk": pa.array([(part << 32) | k], pa.int64())}
+            blobs = {"ids": ids.tobytes(), "lens": lens.tobytes(), "body": z.compress(b"".join(t for t in texts if t)), "rest": side}
+            yield pa.RecordBatch.from_pydict(row | {n: pa.array([v], pa.binary()) for n, v in blobs.items()})
             k += 1
 
     table = f"lexmill_{name}_{uuid.uuid4().hex}"
-    # Rebalancing by bytes isn't asked for: a chunk is cut inside a task, so tasks follow the input's own splits.
-    (plain_docs(docs).mapInArrow(pack, CHUNK_SCHEMA).write.option("compression", "none")
+    (source.mapInArrow(pack, CHUNK_SCHEMA).write.option("compression", "none")
      .bucketBy(buckets, "chunk").format("parquet").saveAsTable(table))
     return spark.table(table)
 
@@ -99,22 +120,64 @@ def stage_chunks(docs: DataFrame, name: str, buckets: int, tokens: Callable[[lis
 class Chunk:
     """One unpacked chunk row: ids, lens (0 for null), the texts' bytes on end, and where each text starts."""
 
-    def __init__(self, ids: bytes, lens: bytes, body: bytes):
+    def __init__(self, ids: bytes, lens: bytes, body: bytes, rest: bytes = b""):
         self.ids = np.frombuffer(ids, np.int64)
+        self.null = np.frombuffer(lens, np.int64) < 0
         self.lens = np.maximum(np.frombuffer(lens, np.int64), 0)
-        self.body = zstandard.ZstdDecompressor().decompress(body) if body else b""
+        self.body = zstandard.ZstdDecompressor().decompress(body)
         self.ends = np.cumsum(self.lens)
         self.starts = self.ends - self.lens
+        self._rest = rest
 
     def texts(self) -> list[bytes]:
         return [self.body[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]
 
+    def doc_ids(self) -> pa.Array:
+        return pa.array(self.ids, pa.int64(), mask=self.ids == NULL_ID)
+
+    def rest(self) -> pa.Table:
+        return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(self._rest)).read_all()
+
 
 def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
     for b in batches:
-        c = [b.column(n) for n in ("chunk", "ids", "lens", "body")]
+        c = [b.column(n) for n in ("chunk", "ids", "lens", "body", "rest")]
         for i in range(b.num_rows):
-            yield c[0][i].as_py(), Chunk(c[1][i].as_py(), c[2][i].as_py(), c[3][i].as_py())
+            yield c[0][i].as_py(), Chunk(*(x[i].as_py() for x in c[1:]))
+
+
+def pack_arrays(arrays: list[np.ndarray]) -> bytes:
+    """Arrays as one blob: each with its dtype and length, compressed where that helps."""
+    parts = []
+    for a in arrays:
+        raw = np.ascontiguousarray(a).tobytes()
+        small = zstandard.ZstdCompressor(level=1).compress(raw) if len(raw) > 64 else raw
+        use = len(small) < 0.9 * len(raw)
+        data = small if use else raw
+        parts += [struct.pack("<2sBI", a.dtype.str[1:3].encode(), use, len(data)), data]
+    return b"".join(parts)
+
+
+def unpack_arrays(blob: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(blob):
+        kind, packed, n = struct.unpack_from("<2sBI", blob, at)
+        at += 7
+        raw = blob[at : at + n]
+        out.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw) if packed else raw, "<" + kind.decode()))
+        at += n
+    return out
+
+
+def to48(a: np.ndarray) -> np.ndarray:
+    """The low 48 bits of each, as bytes."""
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).reshape(-1)
+
+
+def from48(b: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = b.reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
 
 
 def blob_batch(chunk: list[int], bucket: list[int], blob: list[bytes]) -> pa.RecordBatch:
@@ -135,20 +198,13 @@ def answer_per_bucket(asked: DataFrame, answer: Callable[[list[int], list[bytes]
 
 def with_answers(chunks: DataFrame, answers: DataFrame, fn: Callable[[int, Chunk, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Each chunk with all rows sent back to it; only the answers are shuffled (the chunk table is bucketed)."""
+    empty = _arrow_schema(schema).empty_table() if isinstance(schema, str) else schema.empty_table()
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[pa.RecordBatch] = []
-        for c, chunk in chunk_rows(left.to_batches()):
-            out += list(fn(c, chunk, right))
-        return pa.Table.from_batches(out) if out else None
-
-    empty = _arrow_schema(schema)
-
-    def whole(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        t = run(key, left, right)
-        return empty.empty_table() if t is None else t
+        out = [r for c, chunk in chunk_rows(left.to_batches()) for r in fn(c, chunk, right)]
+        return pa.Table.from_batches(out) if out else empty
 
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(whole, schema)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
@@ -208,9 +264,6 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(v[: -(w - m)], v[w - m :]) if m < w else v
 
 
-SPACES = re.compile(rb"[\x20\x09-\x0D]+")
-
-
 def words_of(text: bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+``; bytes.split() cuts at exactly these six characters."""
     return (text or b"").split()

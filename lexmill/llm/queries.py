@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, packing, simhash, token_counts
+from . import langid, licenses, packing, simhash, substring, suffixes, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in no 35-word window standing elsewhere too."""
+    return substring.substring_dedup(_docs(spark, sf_dir)).drop("kept")
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that lie in no 50-byte string of an earlier document."""
+    return suffixes.suffix_dedup(_docs(spark, sf_dir)).drop("kept")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License labels of every document by diagonal voting, and the fixed phrases."""
     return licenses.scan(_docs(spark, sf_dir))
@@ -38,6 +48,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_license_scan, op7_simhash, op8_language_id, op9_token_counts, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op3_suffix_dedup, op5_license_scan, op7_simhash, op8_language_id, op9_token_counts, op10_packing)}
 
 ORACLE: dict[str, str] = {}
