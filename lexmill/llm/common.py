@@ -169,15 +169,23 @@ def unpack_arrays(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def narrow(a: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bytes of each 64-bit number."""
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).reshape(-1)
+
+
+def widen(b: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(b) // width, 8), np.uint8)
+    out[:, :width] = b.view(np.uint8).reshape(-1, width)
+    return out.reshape(-1).view("<u8")
+
+
 def to48(a: np.ndarray) -> np.ndarray:
-    """The low 48 bits of each, as bytes."""
-    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).reshape(-1)
+    return narrow(a, 6)
 
 
 def from48(b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = b.reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
+    return widen(b, 6)
 
 
 def blob_batch(chunk: list[int], bucket: list[int], blob: list[bytes]) -> pa.RecordBatch:

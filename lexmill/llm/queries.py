@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, packing, simhash, substring, suffixes, token_counts
+from . import langid, licenses, lm, packing, simhash, substring, suffixes, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.suffix_dedup(_docs(spark, sf_dir)).drop("kept")
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and interpolated log probabilities of every document."""
+    return lm.score_documents(_docs(spark, sf_dir))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License labels of every document by diagonal voting, and the fixed phrases."""
     return licenses.scan(_docs(spark, sf_dir))
@@ -48,6 +53,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op3_suffix_dedup, op5_license_scan, op7_simhash, op8_language_id, op9_token_counts, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op3_suffix_dedup, op4_lm_scores, op5_license_scan, op7_simhash, op8_language_id, op9_token_counts, op10_packing)}
 
 ORACLE: dict[str, str] = {}
