@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, lm, packing, simhash, substring, suffixes, token_counts
+from . import decontaminate, langid, licenses, lm, packing, simhash, substring, suffixes, token_counts, topk
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, up to a fifth of its words edited."""
+    return decontaminate.find_leaks(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in no 35-word window standing elsewhere too."""
     return substring.substring_dedup(_docs(spark, sf_dir)).drop("kept")
@@ -33,6 +38,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_docs(spark, sf_dir))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every 20th vector among all others."""
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(_docs(spark, sf_dir))
@@ -53,6 +63,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op3_suffix_dedup, op4_lm_scores, op5_license_scan, op7_simhash, op8_language_id, op9_token_counts, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_suffix_dedup, op4_lm_scores, op5_license_scan, op6_top_k, op7_simhash, op8_language_id, op9_token_counts, op10_packing)}
 
 ORACLE: dict[str, str] = {}
