@@ -20,6 +20,8 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one chunk holds (a longer document is a chunk of its own).
 CHUNK_BYTES = 4 << 20
@@ -204,9 +206,9 @@ def answer_per_bucket(asked: DataFrame, answer: Callable[[list[int], list[bytes]
     return asked.groupBy("bucket").applyInArrow(run, BLOB_SCHEMA)
 
 
-def with_answers(chunks: DataFrame, answers: DataFrame, fn: Callable[[int, Chunk, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def with_answers(chunks: DataFrame, answers: DataFrame, fn: Callable[[int, Chunk, pa.Table], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """Each chunk with all rows sent back to it; only the answers are shuffled (the chunk table is bucketed)."""
-    empty = _arrow_schema(schema).empty_table() if isinstance(schema, str) else schema.empty_table()
+    empty = (_arrow_schema(schema) if isinstance(schema, str) else to_arrow_schema(schema)).empty_table()
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out = [r for c, chunk in chunk_rows(left.to_batches()) for r in fn(c, chunk, right)]
