@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, langid, licenses, lm, packing, simhash, substring, suffixes, token_counts, topk
+from .oracle import ORACLE
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License labels of every document by diagonal voting, and the fixed phrases."""
-    return licenses.scan(_docs(spark, sf_dir))
+    return licenses.scan(_docs(spark, sf_dir)).drop("matches")
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +66,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_suffix_dedup, op4_lm_scores, op5_license_scan, op6_top_k, op7_simhash, op8_language_id, op9_token_counts, op10_packing)}
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
