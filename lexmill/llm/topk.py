@@ -33,7 +33,9 @@ EVERY = 20
 #: Vectors for each pivot, about, and the most pivots.
 PER_PIVOT, PIVOTS = 2048, 256
 BLOCK = 4096
-LEAF = 64
+LEAF = 256
+#: Query blocks that one task meets with a data block.
+GROUP = 64
 #: Below any score; its negative is a 64-bit number too.
 LOWEST = -(1 << 62)
 
@@ -46,6 +48,8 @@ class CoverTree:
 
     def __init__(self, x: np.ndarray):
         self.x = x
+        self.top = float(np.abs(x).max()) if x.size else 0.0
+        self.single = x.astype(np.float32) if self.top**2 * x.shape[1] < 1 << 24 else None
         self.nodes: list[tuple[np.ndarray, float, list[int] | None, np.ndarray]] = []
         self.root = self._build(np.arange(len(x)), 0) if len(x) else -1
 
@@ -72,37 +76,52 @@ class CoverTree:
 
 
 class Best:
-    """The k best of each query so far: scores (highest first), ids and row keys."""
+    """The k best of each query so far: scores (highest first) and ids. What may be better waits until it is many."""
+
+    WAIT = 40_000
 
     def __init__(self, n: int, k: int):
-        self.k = k
+        self.n, self.k = n, k
         self.score = np.full((n, k), LOWEST)
         self.id = np.full((n, k), np.iinfo(np.int64).max)
         self.worst = self.score[:, -1].copy()
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
 
     def add(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         """score: rows x candidates."""
-        some = score.max(1) >= self.worst[rows]
-        if not some.any():
+        r, c = np.nonzero(score >= self.worst[rows][:, None])
+        if len(r):
+            self.waiting.append((rows[r], score[r, c].astype(np.int64), ids[c]))
+            self.size += len(r)
+            if self.size >= self.WAIT or self.worst.min() == LOWEST:
+                self.settle()
+
+    def settle(self) -> None:
+        if not self.waiting:
             return
-        r = rows[some]
-        s = np.concatenate([self.score[r], score[some]], 1)
-        i = np.concatenate([self.id[r], np.broadcast_to(ids, (len(r), len(ids)))], 1)
-        if s.shape[1] > 4 * self.k:  # all that reach the kth score, ties included
-            kth = -np.partition(-s, self.k - 1, 1)[:, self.k - 1]
-            width = int((s >= kth[:, None]).sum(1).max())
-            top = np.argpartition(-s, width - 1, 1)[:, :width] if width < s.shape[1] else np.broadcast_to(np.arange(s.shape[1]), s.shape)
-            s, i = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
-        order = np.lexsort((i, -s), axis=1)[:, : self.k]
-        self.score[r], self.id[r] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        self.worst[r] = self.score[r, -1]
-
-
-def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact whole-number products: in double precision where every sum stays under 2**53."""
-    if q.size and x.size and float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2.0**53:
-        return np.rint(q @ x.T).astype(np.int64)
-    return q.astype(np.int64) @ x.astype(np.int64).T
+        rows, score, ids = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        self.waiting, self.size = [], 0
+        some = np.unique(rows)
+        r = np.concatenate([np.repeat(some, self.k), rows])
+        s = np.concatenate([self.score[some].reshape(-1), score])
+        i = np.concatenate([self.id[some].reshape(-1), ids])
+        order = np.lexsort((i, -s, r))
+        r, s, i = r[order], s[order], i[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        keep = place < self.k
+        self.score[r[keep], place[keep]], self.id[r[keep], place[keep]] = s[keep], i[keep]
+        self.worst[some] = np.maximum(self.worst[some], self.score[some, -1])
+
+
+def products(qt: CoverTree, rows_q: np.ndarray, xt: CoverTree, rows_x: np.ndarray) -> np.ndarray:
+    """Exact whole-number products: in single or double precision where every sum stays exact, else in 64-bit integers."""
+    most = qt.top * xt.top * xt.x.shape[1]
+    if most < 1 << 24 and qt.single is not None and xt.single is not None:
+        return qt.single[rows_q] @ xt.single[rows_x].T
+    if most < 2.0**53:
+        return qt.x[rows_q] @ xt.x[rows_x].T
+    return qt.x[rows_q].astype(np.int64) @ xt.x[rows_x].astype(np.int64).T
 
 
 def dual_search(qt: CoverTree, xt: CoverTree, q_keys: np.ndarray, x_keys: np.ndarray, x_ids: np.ndarray, best: Best) -> None:
@@ -118,10 +137,11 @@ def dual_search(qt: CoverTree, xt: CoverTree, q_keys: np.ndarray, x_keys: np.nda
         if bound + 1e-9 * abs(bound) + 1e-6 < best.worst[rows_q].min():
             continue
         if kids_q is None and kids_x is None:
-            s = products(qt.x[rows_q], xt.x[rows_x])
-            own = q_keys[rows_q][:, None] == x_keys[rows_x][None, :]
+            s = products(qt, rows_q, xt, rows_x)
+            own = np.isin(q_keys[rows_q], x_keys[rows_x])
             if own.any():
-                s[own] = LOWEST
+                s = s.astype(np.float64) if s.dtype == np.float32 else s
+                s[q_keys[rows_q][:, None] == x_keys[rows_x][None, :]] = 2 * LOWEST
             best.add(rows_q, s, x_ids[rows_x])
         elif kids_x is None or (kids_q is not None and len(rows_q) * 4 > len(rows_x)):
             stack += [(c, b) for c in kids_q]
@@ -189,30 +209,32 @@ def _tree(x: bytes, dim: int) -> CoverTree:
     """The tree of a packed matrix; a task meets the same block again and again, so a few are kept, by content."""
     key = (xxhash.xxh3_128_digest(x), dim)
     if key not in _TREES:
-        if len(_TREES) >= 24:
-            _TREES.clear()
+        if len(_TREES) >= 48:
+            _TREES.pop(next(iter(_TREES)))
         _TREES[key] = CoverTree(np.frombuffer(x).reshape(-1, dim))
     return _TREES[key]
 
 
-def _pairs(pairs: DataFrame, dim: int, k: int) -> DataFrame:
-    """pairs: qkeys, qids, qx, keys, ids, x and worst (kth scores so far, or null)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                qk, qi, qx, xk, xi, x, worst = (b.column(c)[r].as_py() for c in range(7))
-                qk, qi, xk, xi = (np.frombuffer(v, np.int64) for v in (qk, qi, xk, xi))
-                best = Best(len(qk), k)
-                if worst is not None:
-                    best.worst = np.frombuffer(worst, np.int64).copy()
-                floor = best.worst.copy()
-                dual_search(_tree(qx, dim), _tree(x, dim), qk, xk, xi, best)
-                keep = (best.score > LOWEST) & (best.score >= floor[:, None])
-                q, c = np.nonzero(keep)
-                yield pa.RecordBatch.from_pydict({"q_key": pa.array(qk[q]), "query_id": pa.array(qi[q]), "vec_id": pa.array(best.id[q, c]), "score": pa.array(best.score[q, c])})
+def _meet(data: DataFrame, asks: DataFrame, keys: list[str], dim: int, k: int) -> DataFrame:
+    """Each data block (keys, ids, x) with the query blocks (qkeys, qids, qx, worst or null) that share its keys."""
 
-    return pairs.mapInArrow(run, HITS)
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for qk, qi, qx, worst in zip(*(right.column(n).to_pylist() for n in ("qkeys", "qids", "qx", "worst")), strict=True):
+            qk, qi = np.frombuffer(qk, np.int64), np.frombuffer(qi, np.int64)
+            best = Best(len(qk), k)
+            if worst is not None:
+                best.worst = np.frombuffer(worst, np.int64).copy()
+            for xk, xi, x in zip(*(left.column(n).to_pylist() for n in ("keys", "ids", "x")), strict=True):
+                dual_search(_tree(qx, dim), _tree(x, dim), qk, np.frombuffer(xk, np.int64), np.frombuffer(xi, np.int64), best)
+            best.settle()
+            q, c = np.nonzero(best.score > LOWEST)
+            out.append((qk[q], qi[q], best.id[q, c], best.score[q, c]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
+        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["q_key", "query_id", "vec_id", "score"])
+
+    asks = asks.select(*[F.col(c).alias(c) for c in (*keys, "qkeys", "qids", "qx", "worst")])  # both may come of one table
+    return data.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(run, HITS)
 
 
 def _rank(hits: DataFrame, k: int) -> DataFrame:
@@ -249,7 +271,9 @@ def top_k(rows: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY) -
         F.col("block").alias("qblock"), F.col("cell"), F.col("keys").alias("qkeys"), F.col("ids").alias("qids"), F.col("x").alias("qx"), F.col("centre").alias("qc"), F.col("radius").alias("qr")
     )
     # First each query block against the blocks of its own cell.
-    near = stage(_pairs(asks.join(data, "cell").select("qkeys", "qids", "qx", "keys", "ids", "x", F.lit(None).cast("binary").alias("worst")), dim, k), "near")
+    parts_ = data.select("cell", F.col("block"), "keys", "ids", "x")
+    own = parts_.select("cell", "block").join(asks, "cell").withColumn("worst", F.lit(None).cast("binary"))
+    near = stage(_meet(parts_, own.select("block", "qkeys", "qids", "qx", "worst"), ["block"], dim, k), "near")
     kth = _rank(near, k).groupBy("q_key").agg(F.min("score").alias("s"), F.count("*").alias("c"))
     kth = stage(kth.select("q_key", F.when(F.col("c") == k, F.col("s")).otherwise(F.lit(LOWEST)).alias("s")), "kth")
 
@@ -261,23 +285,26 @@ def top_k(rows: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY) -
     heads = [(r["qblock"], r["cell"], np.frombuffer(bytes(r["qc"])), r["qr"], r["least"]) for r in asks.select("qblock", "cell", "qc", "qr", "least").collect()]
     if not heads:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    heads.sort(key=lambda h: h[0])
     q_block, q_cell, q_r, q_least = (np.array([h[i] for h in heads]) for i in (0, 1, 3, 4))
     q_c = np.stack([h[2] for h in heads])
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            blocks, hits = [], []
+            blocks, hits, groups = [], [], []
             for block, c, centre, r in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 x = np.frombuffer(centre)
                 bound = q_c @ x + np.sqrt((q_c**2).sum(1)) * r + np.sqrt(x @ x) * q_r + q_r * r
-                met = q_block[(q_cell != c) & (bound + 1e-9 * np.abs(bound) + 1e-6 >= q_least)]
+                met = np.flatnonzero((q_cell != c) & (bound + 1e-9 * np.abs(bound) + 1e-6 >= q_least))
                 blocks += [block] * len(met)
-                hits += met.tolist()
-            yield pa.RecordBatch.from_pydict({"block": pa.array(blocks, pa.int64()), "qblock": pa.array(hits, pa.int64())})
-
-    met = data.select("block", "cell", "centre", "radius").mapInArrow(reach, "block long, qblock long")
-    pairs = met.join(data.select("block", "keys", "ids", "x"), "block").join(asks.select("qblock", "qkeys", "qids", "qx", "worst"), "qblock")
-    far = _pairs(pairs.select("qkeys", "qids", "qx", "keys", "ids", "x", "worst"), dim, k)
+                hits += q_block[met].tolist()
+                groups += (met // GROUP).tolist()
+            yield pa.RecordBatch.from_pydict({"block": pa.array(blocks, pa.int64()), "part": pa.array(groups, pa.int64()), "qblock": pa.array(hits, pa.int64())})
+
+    met = stage(data.select("block", "cell", "centre", "radius").mapInArrow(reach, "block long, part long, qblock long"), "met")
+    sent = data.select("block", "keys", "ids", "x").join(met.select("block", "part").distinct(), "block")
+    asked = met.join(asks.select("qblock", "qkeys", "qids", "qx", "worst"), "qblock")
+    far = _meet(sent, asked, ["block", "part"], dim, k)
     return _rank(near.unionByName(far), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -227,7 +227,7 @@ def test_streaming_budget(spark, tmp_path):
     log = spark.createDataFrame(rows, "provider string, ts timestamp, event string, request_id string")
     log.write.parquet(f"{tmp_path}/log")
     stream = spark.readStream.schema(log.schema).parquet(f"{tmp_path}/log")
-    q = budgets.daily_use(budgets.without_replays(log) if False else stream).writeStream.format("memory").queryName("used").outputMode("complete").start()
+    q = budgets.daily_use(stream).writeStream.format("memory").queryName("used").outputMode("complete").start()
     q.processAllAvailable()
     q.stop()
     assert sorted(tuple(r) for r in spark.table("used").collect()) == sorted(tuple(r) for r in budgets.daily_use(log).collect()) == [("p", day("2026-01-01"), 1), ("p", day("2026-01-02"), 2)]
@@ -252,3 +252,20 @@ def test_query_equals_sql(spark, name):
     at = [[d[0] for d in c.description].index(x) for x in cols]
     flat = lambda v: round(v, 6) if isinstance(v, float) else v
     assert sorted([tuple(flat(r[x]) for x in cols) for r in df.collect()], key=repr) == sorted([tuple(flat(r[i]) for i in at) for r in c.fetchall()], key=repr)
+
+
+def test_brief_units_and_binding(spark):
+    from lexmill.operators import brief
+
+    t = "# Background\n\nHe left. See ECF No. 4 at 2.\n\n## Argument of fact\n\nStill open.\n\n# Argument\n\nClosed now."
+    assert [(t[a:b], h, f) for a, b, h, f in brief.unit_spans(t)] == [
+        ("# Background", True, False), ("He left.", False, True), ("See ECF No. 4 at 2.", False, True), ("## Argument of fact", True, False),
+        ("Still open.", False, True), ("# Argument", True, False), ("Closed now.", False, False),
+    ]
+    d = spark.createDataFrame([("d", "c", "Held, 550 U.S. at 5, 550 U.S. 544 (2007). Id. at 7. Under Rule 12(b) and Fed. R. Crim. P. 12. Rule 12. ECF No. 3. Id.")], "draft_id string, case_id string, text string")
+    got = [(r.raw, r.group, r.target) for r in brief.bound(brief.cites(brief.units(d))).orderBy("unit_no", "n").collect()]
+    assert got == [
+        ("550 U.S. at 5", "authority", "550 us 544"), ("550 U.S. 544 (2007)", "authority", "550 us 544"), ("Id. at 7", "authority", "550 us 544"),
+        ("Rule 12(b)", "authority", "rule:fedrcivp12"), ("Fed. R. Crim. P. 12", "authority", "rule:fedrcrimp12"), ("Rule 12", "authority", "rule:fedrcrimp12"),
+        ("ECF No. 3", "record", "3"), ("Id.", "record", "3"),
+    ]
