@@ -3,9 +3,11 @@
 Texts and items are word sequences (lower case, runs of letters and digits). A window of an item's size counts as a
 leak if the item stands in or around it with at most ``1 - SIMILARITY`` of its words edited. Candidate windows are
 those on the diagonal of a shared run of words: with so few edits, an item of n words and e edits keeps an unedited
-run of ceil((n-e)/(e+1)) words, so no leak lacks one. Candidates are embedded by CGK random walks (each step copies
-a word and moves on or stays by a random bit of step and word), which map edit distance to Hamming distance; bit
-sampling keeps a window if any of ``REPEATS`` samples agrees with the item's embedding. What remains is verified
+run of ceil((n-e)/(e+1)) words, so no leak lacks one. Items are cut into pieces of at most ``PIECE`` words; some piece
+of a leak has at most its own share of the edits, so its windows stand for the item's. They may reach over either end of
+a document. Windows are embedded by CGK random walks (each step copies a word and moves on or stays by a random bit of
+step and word), which map edit distance to Hamming distance; bit sampling keeps a window if a sample of any of ``WALKS``
+walks agrees with the piece's embedding. The number of walks follows from ``RECALL``. What remains is verified
 exactly by a bit-parallel search that gives the least edit distance of the item within the window's surroundings.
 
 The items go to the tasks as a broadcast while they hold at most ``BLOCK_WORDS`` words; a larger benchmark is taken
@@ -15,6 +17,7 @@ match each on their own. Empty tables give empty results; other columns may have
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,10 +29,18 @@ from pyspark.sql import functions as F
 from .common import U, mix, plain_docs, run_hashes, word_hashes
 
 SIMILARITY = 0.8
-WALKS, SAMPLES, POSITIONS = 3, 8, 2
-REPEATS = WALKS * SAMPLES
+#: Share of leaks, each with as many edits as the bound allows, that are to pass the samples.
+RECALL = 0.99
+#: Words of an item's piece, at most.
+PIECE = 64
+SAMPLES, POSITIONS = 8, 2
+#: Measured: the least share of such leaks that one walk's samples pass, over sizes and places of the edits.
+CATCH = 0.5
+WALKS = math.ceil(math.log(1 - RECALL) / math.log(1 - CATCH))
 #: Words of benchmark items that one scan broadcasts.
 BLOCK_WORDS = 400_000
+#: Windows that are walked at once.
+ROWS = 8192
 GRAM = 3
 SEED = 20
 
@@ -56,62 +67,79 @@ def _bits(step: int, words: np.ndarray) -> np.ndarray:
     return (x >> U(40)).astype(np.int64) & 1
 
 
-def embed(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, steps: int, walk: int) -> np.ndarray:
-    """CGK walk over words[start:start+size] of each row: a row of ``steps`` words, 0 once a walk has ended."""
-    out = np.zeros((len(starts), steps), U)
+def walk_words(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first: np.ndarray, end: np.ndarray, steps: int, walk: int) -> tuple[np.ndarray, np.ndarray]:
+    """CGK walk over words[start:start+size] of each row: by step, the word (0 outside first:end or once ended) and the place."""
+    seen, at = np.zeros((steps, len(starts)), U), np.zeros((steps, len(starts)), np.uint8)
     i = np.zeros(len(starts), np.int64)
     for t in range(steps):
-        live = i < sizes
-        w = words[np.where(live, starts + i, 0)]
-        out[:, t] = np.where(live, w, U(0))
-        i += _bits(walk * steps + t, w) & live
-    return out
+        live, p = i < sizes, starts + i
+        inside = live & (p >= first) & (p < end)
+        w = np.where(inside, words[np.where(inside, p, 0)], U(0))
+        seen[t], at[t] = w, i
+        i += _bits(walk * 2 * PIECE + t, w) & live
+    return seen, at
 
 
 @dataclass
 class Items:
-    """Items of one scan: ids, words on end, and for each length of run the sorted runs with item and place."""
+    """Items of one scan: ids, words on end, their pieces, and for each length of run the sorted runs with piece and place.
+
+    Of an embedding only the sampled steps are kept, with the places in the piece where the walk stands then."""
 
     ids: list[int]
     words: np.ndarray
     starts: np.ndarray
     sizes: np.ndarray
+    of_piece: np.ndarray  # item of each piece
+    piece_starts: np.ndarray
+    piece_sizes: np.ndarray
     runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
-    steps: int
-    embedded: list[np.ndarray]
-    samples: np.ndarray  # item, repeat, position
-    masks: list[dict[int, int]]
+    samples: np.ndarray  # piece, walk, sample, position: step
+    places: np.ndarray  # the same: place in the piece
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]], similarity: float = SIMILARITY) -> Items | None:
         pairs = [(i, w) for i, t in rows if (w := item_words(t))]
         if not pairs:
             return None
-        lists = [word_hashes(w) for _, w in pairs]
-        sizes = np.array([len(x) for x in lists], np.int64)
+        sizes = np.array([len(w) for _, w in pairs], np.int64)
         starts = np.cumsum(sizes) - sizes
-        words = np.concatenate(lists)
-        by_run: dict[int, list[tuple[np.ndarray, int]]] = {}
-        for j, x in enumerate(lists):
-            k = min(GRAM, unedited_run(len(x), edits(len(x), similarity)))
-            by_run.setdefault(k, []).append((run_hashes(x, k), j))
+        words = np.concatenate([word_hashes(w) for _, w in pairs])
+        n = -(-sizes // PIECE)
+        item = np.repeat(np.arange(len(sizes)), n)
+        k = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+        cut, end = k * sizes[item] // n[item], (k + 1) * sizes[item] // n[item]
+        first, size = starts[item] + cut, end - cut
+        by_run: dict[int, list[int]] = {}
+        for j, m in enumerate(size.tolist()):
+            by_run.setdefault(min(GRAM, unedited_run(m, edits(m, similarity))), []).append(j)
         runs = {}
-        for k, found in by_run.items():
-            h = np.concatenate([x for x, _ in found])
-            item = np.concatenate([np.full(len(x), j) for x, j in found])
-            place = np.concatenate([np.arange(len(x)) for x, _ in found])
+        for length, found in by_run.items():
+            lists = [run_hashes(words[first[j] : first[j] + size[j]], length) for j in found]
+            h = np.concatenate(lists)
             order = np.argsort(h, kind="stable")
-            runs[k] = (h[order], item[order], place[order])
-        steps = int(3 * sizes.max())
+            piece = np.repeat(np.array(found, np.int32), [len(x) for x in lists])
+            place = np.concatenate([np.arange(len(x), dtype=np.int32) for x in lists])
+            runs[length] = (h[order], piece[order], place[order])
         rng = np.random.default_rng(SEED)
-        samples = np.stack([rng.integers(0, 2 * n, (REPEATS, POSITIONS)) for n in sizes.tolist()])
-        masks = []
-        for x in lists:
-            m: dict[int, int] = {}
-            for p, w in enumerate(x.tolist()):
-                m[w] = m.get(w, 0) | 1 << p
-            masks.append(m)
-        return cls([i for i, _ in pairs], words, starts, sizes, runs, steps, [embed(words, starts, sizes, steps, k) for k in range(WALKS)], samples, masks)
+        samples = np.empty((len(size), WALKS, SAMPLES, POSITIONS), np.uint8)
+        places = np.empty_like(samples)
+        for at in range(0, len(size), ROWS):
+            b = slice(at, at + ROWS)
+            rows_ = np.arange(len(size[b]))[:, None, None]
+            for walk in range(WALKS):
+                _, i = walk_words(words, first[b], size[b], first[b], first[b] + size[b], int(2 * size[b].max()), walk)
+                live = np.minimum((i < size[b]).sum(0), 2 * size[b])  # steps before the walk has ended
+                t = (rng.random((len(live), SAMPLES, POSITIONS)) * live[:, None, None]).astype(np.int64)
+                samples[b, walk], places[b, walk] = t, i[t, rows_]
+        return cls([i for i, _ in pairs], words, starts, sizes, item, first, size, runs, samples, places)
+
+    def mask(self, i: int) -> dict[int, int]:
+        x = self.words[self.starts[i] : self.starts[i] + self.sizes[i]].tolist()
+        m: dict[int, int] = {}
+        for p, w in enumerate(x):
+            m[w] = m.get(w, 0) | 1 << p
+        return m
 
 
 def best_match(mask: dict[int, int], n: int, text: list[int]) -> tuple[int, int]:
@@ -146,10 +174,10 @@ def matches(text: str | None, items: Items, similarity: float = SIMILARITY) -> l
     return _search(h, np.array([0, len(h)]), items, similarity).get(0, [])
 
 
-def _search(h: np.ndarray, bounds: np.ndarray, items: Items, similarity: float) -> dict[int, list[tuple[int, int, int, int]]]:
-    """Leaks in documents laid end to end; bounds[i]:bounds[i+1] is document i."""
-    found_s, found_j = [], []
-    for k, (runs, item, place) in items.runs.items():
+def _search(h: np.ndarray, bounds: np.ndarray, items: Items, similarity: float, sampled: bool = True) -> dict[int, list[tuple[int, int, int, int]]]:
+    """Leaks in documents laid end to end; bounds[i]:bounds[i+1] is document i. Unless sampled, every window is verified."""
+    found_d, found_s, found_j = [], [], []
+    for k, (runs, piece, place) in items.runs.items():
         g = run_hashes(h, k) if k > 1 else h
         # A small table of bits first: most places hold no run of any item.
         size = 1 << max(16, int(len(runs)).bit_length() + 6)
@@ -160,56 +188,56 @@ def _search(h: np.ndarray, bounds: np.ndarray, items: Items, similarity: float)
         n = hi - lo
         r = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         p = np.repeat(p, n)
-        doc = np.searchsorted(bounds, p, "right") - 1
-        j = item[r]
-        first, last = bounds[doc], np.maximum(bounds[doc], bounds[doc + 1] - items.sizes[j])
-        found_s.append(np.clip(p - place[r], first, last))
-        found_j.append(j)
-    s, j = np.concatenate(found_s), np.concatenate(found_j)
+        found_d.append(np.searchsorted(bounds, p, "right") - 1)
+        found_s.append(p - place[r])
+        found_j.append(piece[r].astype(np.int64))
+    d, s, j = (np.concatenate(x) for x in (found_d, found_s, found_j))
     if not len(s):
         return {}
-    code = np.unique(s * len(items.ids) + j)
-    s, j = code // len(items.ids), code % len(items.ids)
-    ok = np.zeros(len(s), bool)
-    for at in range(0, len(s), 20_000):
-        b = slice(at, at + 20_000)
-        sizes = np.minimum(items.sizes[j[b]], bounds[np.searchsorted(bounds, s[b], "right")] - s[b])
-        steps = int(2 * items.sizes[j[b]].max())
-        rows = np.arange(len(sizes))
-        for walk in range(WALKS):
-            same = _walk_equal(h, s[b], sizes, j[b], items, steps, walk)
-            for r in range(SAMPLES):
-                hit = np.ones(len(sizes), bool)
-                for q in range(POSITIONS):
-                    hit &= same[rows, items.samples[j[b], walk * SAMPLES + r, q]]
-                ok[b] |= hit
+    # A window may begin before its document or end after it: the words that it lacks there are edits.
+    span = int(np.diff(bounds).max()) + PIECE
+    code = np.unique((d * span + s - bounds[d] + PIECE) * len(items.piece_sizes) + j)
+    at, j = code // len(items.piece_sizes), code % len(items.piece_sizes)
+    d = at // span
+    s = at % span - PIECE + bounds[d]
+    ok = np.ones(len(s), bool)
+    if sampled:
+        for at in range(0, len(s), ROWS):
+            b = slice(at, at + ROWS)
+            ok[b] = _passes(h, s[b], bounds[d[b]], bounds[d[b] + 1], j[b], items)
+    s, d, j = s[ok], d[ok], j[ok]
+    i = items.of_piece[j]
+    s = s - (items.piece_starts[j] - items.starts[i])  # where the whole item would begin
+    order = np.lexsort((s, i, d))
     out: dict[int, dict[int, tuple[int, int, int]]] = {}
-    done: dict[tuple[int, int], int] = {}  # of a document and item: up to where it has been searched
-    for a, i in zip(s[ok].tolist(), j[ok].tolist(), strict=True):
-        d = int(np.searchsorted(bounds, a, "right")) - 1
-        n = int(items.sizes[i])
+    done, mask = (-1, -1, -1), None  # document and item at hand, and up to where it has been searched
+    for d_, i_, a in zip(d[order].tolist(), i[order].tolist(), s[order].tolist(), strict=True):
+        n = int(items.sizes[i_])
         e = edits(n, similarity)
-        lo, hi = max(int(bounds[d]), a - e), min(int(bounds[d + 1]), a + n + e)
-        if done.get((d, i), -1) >= hi:
+        lo, hi = max(int(bounds[d_]), a - e), min(int(bounds[d_ + 1]), a + n + e)
+        if done[:2] != (d_, i_):
+            mask = items.mask(i_)
+        elif done[2] >= hi:
             continue
-        done[d, i] = hi
-        score, end = best_match(items.masks[i], n, h[lo:hi].tolist())
-        if score <= e and (i not in out.setdefault(d, {}) or score < out[d][i][2]):
-            out[d][i] = (lo + end - int(bounds[d]), n, score)
-    return {d: [(i, *v) for i, v in sorted(x.items())] for d, x in out.items() if x}
-
-
-def _walk_equal(h: np.ndarray, s: np.ndarray, sizes: np.ndarray, j: np.ndarray, items: Items, steps: int, walk: int) -> np.ndarray:
-    """Where the embeddings of windows and items agree, for the first ``steps`` steps."""
-    same = np.zeros((len(s), steps), bool)
-    i = np.zeros(len(s), np.int64)
-    want = items.embedded[walk]
-    for t in range(steps):
-        live = i < sizes
-        w = h[np.where(live, s + i, 0)]
-        same[:, t] = (w == want[j, t]) & live
-        i += _bits(walk * items.steps + t, w) & live
-    return same
+        done = d_, i_, hi
+        score, end = best_match(mask, n, h[lo:hi].tolist())
+        if score <= e and (i_ not in out.setdefault(d_, {}) or score < out[d_][i_][2]):
+            out[d_][i_] = (lo + end - int(bounds[d_]), n, score)
+    return {d_: [(i_, *v) for i_, v in sorted(x.items())] for d_, x in out.items() if x}
+
+
+def _passes(h: np.ndarray, s: np.ndarray, first: np.ndarray, end: np.ndarray, j: np.ndarray, items: Items, walks: int = WALKS) -> np.ndarray:
+    """Windows from s on whose embedding agrees with that of piece j in all positions of a sample."""
+    ok = np.zeros(len(s), bool)
+    for walk in range(walks):
+        left = np.flatnonzero(~ok)
+        if not len(left):
+            break
+        k, sizes = j[left], items.piece_sizes[j[left]]
+        seen, _ = walk_words(h, s[left], sizes, first[left], end[left], int(2 * sizes.max()), walk)
+        want = items.words[items.piece_starts[k][:, None, None] + items.places[k, walk]]
+        ok[left] = (seen[items.samples[k, walk], np.arange(len(k))[:, None, None]] == want).all(2).any(1)
+    return ok
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str) -> list[list[tuple[int, str]]]:
