@@ -10,8 +10,8 @@ step and word), which map edit distance to Hamming distance; bit sampling keeps
 walks agrees with the piece's embedding. The number of walks follows from ``RECALL``. What remains is verified
 exactly by a bit-parallel search that gives the least edit distance of the item within the window's surroundings.
 
-The items go to the tasks as a broadcast while they hold at most ``BLOCK_WORDS`` words; a larger benchmark is taken
-in blocks of that size, one scan each. Null texts and items, and items without words, match nothing. Repeated rows
+The items go to the tasks as a broadcast of at most ``BLOCK_BYTES``; a larger benchmark is taken in blocks of that
+size, one scan each. Null texts and items, and items without words, match nothing. Repeated rows
 match each on their own. Empty tables give empty results; other columns may have any names.
 """
 
@@ -37,8 +37,10 @@ SAMPLES, POSITIONS = 8, 2
 #: Measured: the least share of such leaks that one walk's samples pass, over sizes and places of the edits.
 CATCH = 0.5
 WALKS = math.ceil(math.log(1 - RECALL) / math.log(1 - CATCH))
-#: Words of benchmark items that one scan broadcasts.
-BLOCK_WORDS = 400_000
+#: Bytes of benchmark items, as broadcast, that one scan takes.
+BLOCK_BYTES = 32 << 20
+#: Bytes of an item's piece and of each word.
+PIECE_BYTES, WORD_BYTES = 2 * WALKS * SAMPLES * POSITIONS + 40, 32
 #: Windows that are walked at once.
 ROWS = 8192
 GRAM = 3
@@ -134,15 +136,37 @@ class Items:
                 samples[b, walk], places[b, walk] = t, i[t, rows_]
         return cls([i for i, _ in pairs], words, starts, sizes, item, first, size, runs, samples, places)
 
-    def mask(self, i: int) -> dict[int, int]:
+    def mask(self, i: int) -> dict[int, int] | LongMask:
         x = self.words[self.starts[i] : self.starts[i] + self.sizes[i]].tolist()
+        if len(x) > LongMask.LEAST:
+            return LongMask(x)
         m: dict[int, int] = {}
         for p, w in enumerate(x):
             m[w] = m.get(w, 0) | 1 << p
         return m
 
 
-def best_match(mask: dict[int, int], n: int, text: list[int]) -> tuple[int, int]:
+class LongMask:
+    """The places of each word of a long item; a word's bits are set when it is asked for, since all together grow with the square."""
+
+    LEAST = 4096
+
+    def __init__(self, words: list[int]):
+        self.at: dict[int, list[int]] = {}
+        for p, w in enumerate(words):
+            self.at.setdefault(w, []).append(p)
+        self.bytes = len(words) // 8 + 1
+
+    def get(self, word: int, other: int) -> int:
+        if word not in self.at:
+            return other
+        bits = bytearray(self.bytes)
+        for p in self.at[word]:
+            bits[p >> 3] |= 1 << (p & 7)
+        return int.from_bytes(bits, "little")
+
+
+def best_match(mask: dict[int, int] | LongMask, n: int, text: list[int]) -> tuple[int, int]:
     """(least edit distance of the item to any stretch of text, end of that stretch), bit-parallel."""
     full = (1 << n) - 1
     top = 1 << (n - 1)
@@ -240,16 +264,27 @@ def _passes(h: np.ndarray, s: np.ndarray, first: np.ndarray, end: np.ndarray, j:
     return ok
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str) -> list[list[tuple[int, str]]]:
-    """The items in blocks of at most BLOCK_WORDS words each (an item over that is a block of its own)."""
+def item_bytes(text: str, similarity: float = SIMILARITY) -> int:
+    """Bytes that an item takes in a broadcast, about."""
+    n = len(item_words(text))
+    return WORD_BYTES * n + PIECE_BYTES * -(-n // PIECE)
+
+
+def _blocks(benchmark: DataFrame, item: str, text: str, most: int | None = None) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of at most BLOCK_BYTES each (an item over that is a block of its own); one is on the driver at a time."""
     rows = benchmark.select(F.col(item).cast("long").alias("i"), F.col(text).cast("string").alias("t")).where("i is not null and t is not null")
-    words = rows.agg(F.sum(F.length("t") / 2 + 1).alias("n")).first()["n"] or 0
-    n = int(words // BLOCK_WORDS) + 1
-    out = []
-    for b in range(n):  # one block is on the driver at a time
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
-        out.append(sorted((r["i"], r["t"]) for r in part.toLocalIterator()))
-    return out
+    most = BLOCK_BYTES if most is None else most
+    block: list[tuple[int, str]] = []
+    size = 0
+    for r in rows.toLocalIterator():
+        n = item_bytes(r["t"])
+        if block and size + n > most:
+            yield sorted(block)
+            block, size = [], 0
+        block.append((r["i"], r["t"]))
+        size += n
+    if block:
+        yield sorted(block)
 
 
 def _scanner(shared, similarity: float):

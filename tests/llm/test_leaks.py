@@ -1,5 +1,6 @@
-"""Leaks at the bound of edits, found by samples against every window verified."""
+"""Leaks at the bound of edits, found by samples against every window verified, and benchmarks of uneven items."""
 
+import pickle
 import random
 
 import numpy as np
@@ -42,3 +43,29 @@ def test_recall_of_samples(kind):
     assert [d for d, v in every.items() if v[0][0] == d] == list(range(len(texts)))
     sampled = decontaminate._search(h, bounds, items, decontaminate.SIMILARITY)
     assert all(len(v) == 1 and set(v) <= set(every[d]) for d, v in sampled.items())
+
+
+def test_one_long_item_among_short_ones(spark):
+    rng = random.Random(5)
+    long = [f"w{rng.randrange(3000)}" for _ in range(20_000)]
+    short = [" ".join(words(k, 30, "s")) for k in range(200)]
+    rows = [(k, t) for k, t in enumerate(short)] + [(999, " ".join(long))]
+    items = decontaminate.Items.of(rows)
+    assert len(pickle.dumps(items)) < 4_000_000  # 24 bytes x 3 x longest item x items would be 290 MB
+    leak = long[:]
+    for p in rng.sample(range(len(leak)), 3000):
+        leak[p] = "zz"
+    docs = spark.createDataFrame([(1, "x " + " ".join(leak) + " y"), (2, f"x {short[7]} y")], "doc_id long, text string")
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert set(got) == {(1, 999), (2, 7)} and got[2, 7] == 0 and 0 < got[1, 999] <= 3000
+
+
+def test_blocks_keep_to_their_bytes(spark):
+    rows = [(k, " ".join(words(k, 30, "s"))) for k in range(40)] + [(99, "w " * 5000)]
+    bench = spark.createDataFrame(rows, "item_id long, text string").repartition(3)
+    most = 10 * decontaminate.item_bytes(rows[0][1])
+    blocks = list(decontaminate._blocks(bench, "item_id", "text", most))
+    assert sorted(x for b in blocks for x in b) == sorted(rows)
+    assert all(len(b) == 1 or sum(decontaminate.item_bytes(t) for _, t in b) <= most for b in blocks)
+    assert [(99, "w " * 5000)] in blocks and len(blocks) >= 5
