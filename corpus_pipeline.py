@@ -28,14 +28,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of near copies (rows without doc_id stay)."""
-    found = stage(simhash.near_duplicates(docs), "components")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
-    if kept.groupBy("kept_id").count().where("count > 1").limit(1).count():
-        docs = docs.dropDuplicates(["doc_id"])
-        kept = kept.distinct()
-    stay = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return stay.unionByName(docs.where("doc_id is null"))
+    """Keep one row of each group of near copies: the smallest doc_id, rows without doc_id last; among equals any one."""
+    key = next(n for i in range(999) if (n := f"row{'_' * i}") not in docs.columns)
+    # The rows are staged with their keys: a key drawn anew for each scan would not name the same row twice.
+    keyed = stage(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    found = stage(simhash.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text")), "components").select(F.col("doc_id").alias("at"), "component_id")
+    ids = keyed.select(F.col(key).alias("key"), F.col("doc_id").alias("id"))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    kept = ids.join(found, F.col("key") == F.col("at")).groupBy("component_id").agg(F.min(rank).alias("first")).select(F.col("first.key").alias("kept_key"))
+    return keyed.join(kept, F.col(key) == F.col("kept_key"), "left_semi").select(docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
