@@ -127,11 +127,11 @@ def train(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, learn: Col
     """Fit on about ``sample`` labelled rows of each language among those that ``learn`` admits."""
     from_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(label).cast("string").alias("lang"))
     from_ = from_.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != HELD if learn is None else learn))
-    counts = {r["lang"]: r["n"] for r in from_.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()}
+    counts = {r["lang"]: r["n"] for r in from_.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     # Each language's share of a million hash values, so that about ``sample`` rows of it are drawn.
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, sample / n) * 1_000_000)))])
+    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(int(min(1.0, sample / n) * 1_000_000)))])
     drawn = from_.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share[F.col("lang")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
