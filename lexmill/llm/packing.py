@@ -4,7 +4,7 @@ Pass 1 tokenizes each partition once and stores ids with a running total inside
 totals (one number each) are prefix-summed to global offsets. Pass 2 cuts each document at multiples of the window
 length and writes one boundary record per piece; it needs no shuffle. Nothing is padded but the last sequence.
 
-Null texts count as empty: the closing id alone. Ties can't arise (each id has one place). An empty table gives an
+Null texts count as empty: the closing id alone. A very long text is one row of ids and as many pieces as it fills. Ties can't arise (each id has one place). An empty table gives an
 empty result. Repeated doc_ids are packed once per row. Ids come from the vocabulary file given, encoded by
 tiktoken's byte-pair merge with the same ranks and pattern; tests hold them against the tokenizers library.
 """
@@ -12,9 +12,10 @@ tiktoken's byte-pair merge with the same ranks and pattern; tests hold them agai
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -43,33 +44,47 @@ def _byte_of_char() -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
-    """text -> ids for a byte-level BPE file whose ids follow the merges' order."""
+def encoder(path: str) -> tuple[Callable[[str], list[int]], str]:
+    """text -> ids for a byte-level BPE file whose ids follow the merges' order, and the type code that holds any id.
+    Added tokens of the file are cut out of the text before the merges, as its own reader does."""
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {x["content"] for x in spec.get("added_tokens", [])}
+    added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
     to_byte = _byte_of_char()
-    ranks = {bytes(to_byte[c] for c in tok): i for tok, i in spec["model"]["vocab"].items() if tok not in special}
-    return tiktoken.Encoding("vocab", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    ranks = {bytes(to_byte[c] for c in tok): i for tok, i in spec["model"]["vocab"].items() if tok not in added}
+    plain = tiktoken.Encoding("vocab", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    code = "H" if max([*ranks.values(), *added.values(), END_ID]) < 1 << 16 else "I"
+    if not added:
+        return plain, code
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=lambda x: (-len(x), x)))) + ")")
+
+    def encode(text: str) -> list[int]:
+        parts = cut.split(text)
+        if len(parts) == 1:
+            return plain(text)
+        return [i for k, p in enumerate(parts) for i in ([added[p]] if k % 2 else plain(p))]
+
+    return encode, code
 
 
 def tokenized(docs: DataFrame, vocab_path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """part, before (tokens of the partition before this document), doc_id, n, ids (unsigned 16-bit, little-endian)."""
+    """part, before (tokens of the partition before this document), doc_id, n, ids (unsigned, little-endian, of 16 bits if the vocabulary allows, else 32)."""
     path = vocab_path or default_vocab()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, total, encode = TaskContext.get().partitionId(), 0, encoder(path)
+        part, total = TaskContext.get().partitionId(), 0
+        encode, code = encoder(path)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 piece = b.slice(at, 512)
                 before, n, ids = [], [], []
                 for t in piece.column(1).to_pylist():
-                    x = array("H", encode(t)) if t else array("H")
+                    x = array(code, encode(t)) if t else array(code)
                     x.append(end_id)
                     before.append(total)
                     n.append(len(x))
@@ -85,7 +100,8 @@ def tokenized(docs: DataFrame, vocab_path: str | None = None, end_id: int = END_
 
 def pack(docs: DataFrame, window: int = WINDOW, vocab_path: str | None = None, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row per piece: its document, where it starts there, its length and CRC-32, its sequence and offset."""
-    staged = stage(tokenized(docs, vocab_path, end_id), "packing")
+    staged = stage(tokenized(docs, vocab_path, end_id), "packing", kept=True)
+    width = array(encoder(vocab_path or default_vocab())[1]).itemsize
     # One row per partition of the first pass: as many numbers as tasks, whatever the corpus holds.
     totals = sorted((r["part"], r["n"]) for r in staged.groupBy("part").agg(F.sum("n").alias("n")).collect())
     base, at = {}, 0
@@ -98,7 +114,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocab_path: str | None = None, e
             out: list[tuple] = []
             kept: list[bytes] = []
             for part, before, doc, n, ids in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                wide = np.frombuffer(ids, "<u2").astype("<u4")
+                wide = np.frombuffer(ids, f"<u{width}").astype("<u4")
                 first, s = base[part] + before, 0
                 while s < n:
                     g = first + s
