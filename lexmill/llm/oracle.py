@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import COVER, GRAM, SHIFT, STRETCH, TEMPLATES
+from .licenses import COVER, GRAM, SHARE, SHIFT, STRETCH, TEMPLATES
 
 OP2 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -49,10 +49,12 @@ dg AS (SELECT r, i - 1 AS pos, array_to_string(w[i:i + {k - 1}], ' ') AS g, arra
 base AS (SELECT r, pos, CASE WHEN two = 'mit license' THEN 'mit' WHEN two = 'apache license' THEN 'apache' ELSE 'gpl' END AS label FROM dg WHERE two IN ('mit license', 'apache license') OR three = 'general public license'),
 bs AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list_distinct(list(label))) AS own FROM base GROUP BY 1),
 v AS (SELECT r, template, label, tw, pos - tpos AS diag, min(pos) AS lo, max(pos) + {k} AS hi, list(DISTINCT tpos) AS tp FROM dg JOIN tg USING (g) GROUP BY 1, 2, 3, 4, 5),
-n AS (SELECT *, CASE WHEN abs(diag - lag(diag) OVER w) <= {SHIFT} AND lo <= max(hi) OVER (PARTITION BY r, template ORDER BY lo, diag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + tw THEN 0 ELSE 1 END AS new FROM v WINDOW w AS (PARTITION BY r, template ORDER BY lo, diag)),
-m AS (SELECT *, sum(new) OVER (PARTITION BY r, template ORDER BY lo, diag ROWS UNBOUNDED PRECEDING) AS grp FROM n),
-q AS (SELECT r, template, label, tw, min(lo) AS lo, max(hi) AS hi, list_distinct(flatten(list_transform(flatten(list(tp)), lambda p: range(p, p + {k})))) AS covered FROM m GROUP BY r, template, label, tw, grp),
-ok AS (SELECT r, label, len(covered) / tw AS cover FROM q WHERE len(covered) / tw >= {COVER} AND hi - lo <= {STRETCH} * tw + {k}),
+vc AS (SELECT *, len(list_distinct(flatten(list_transform(tp, lambda p: range(p, p + {k}))))) / tw AS own_cover FROM v),
+n AS (SELECT *, CASE WHEN diag - lag(diag) OVER (PARTITION BY r, template ORDER BY diag) > least({SHIFT}, greatest(1, CAST(floor(tw * {SHARE}) AS INT))) THEN 1 ELSE 0 END AS new FROM vc),
+m AS (SELECT *, sum(new) OVER (PARTITION BY r, template ORDER BY diag ROWS UNBOUNDED PRECEDING) AS grp FROM n),
+q AS (SELECT r, template, label, tw, min(lo) AS lo, max(hi) AS hi, max(own_cover) AS single, list_distinct(flatten(list_transform(flatten(list(tp)), lambda p: range(p, p + {k})))) AS covered FROM m GROUP BY r, template, label, tw, grp),
+qc AS (SELECT r, label, CASE WHEN hi - lo <= {STRETCH} * tw + {k} THEN len(covered) / tw ELSE single END AS cover FROM q),
+ok AS (SELECT r, label, cover FROM qc WHERE cover >= {COVER}),
 by_doc AS (SELECT r, list(DISTINCT label) AS more, max(cover) AS best FROM ok GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(own, ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(more, [])))), ','), '') AS labels,
