@@ -12,6 +12,7 @@ import struct
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -32,19 +34,60 @@ BLOB_SCHEMA = "chunk long, bucket int, blob binary"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share. A local session that names none gets a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="lexmill-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts lineage and survives lost executors."""
+#: What staging has written, for each ``scratch`` that is open.
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the staged folders and tables written inside it at its end; their readers must have finished by then."""
+    mine: list[str] = []
+    _SCRATCH.append(mine)
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        drop(spark, mine)
+
+
+def drop(spark: SparkSession, names: list[str]) -> None:
+    for name in names:
+        if "/" in name:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        else:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _written(name: str) -> str:
+    if _SCRATCH:
+        _SCRATCH[-1].append(name)
+    return name
+
+
+def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write df as a table in the shared folder and read it again: cuts lineage and survives lost executors. Also the path."""
     path = f"{shared_dir(df.sparkSession)}/lexmill-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stage(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
+    """``stage_at`` without the path; ``kept`` tables outlive the ``scratch`` around them."""
+    found, path = stage_at(df, name)
+    if not kept:
+        _written(path)
+    return found
 
 
 def corpus_bytes(docs: DataFrame, col: str = "text") -> int:
@@ -86,7 +129,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) ->
         yield out()
 
 
-def stage_chunks(docs: DataFrame, name: str, buckets: int, keep: bool = False) -> DataFrame:
+def stage_chunks(docs: DataFrame, name: str, buckets: int, keep: bool = False, most: int = CHUNK_BYTES) -> DataFrame:
     """The chunk table of docs, bucketed by chunk id. A null text has length -1. With keep, the other columns
     of docs ride along, whatever they are called."""
     spark = docs.sparkSession
@@ -100,7 +143,7 @@ def stage_chunks(docs: DataFrame, name: str, buckets: int, keep: bool = False) -
 
         part, k = TaskContext.get().partitionId(), 0
         z = zstandard.ZstdCompressor(level=1)
-        for ids, texts, rest in text_batches(batches):
+        for ids, texts, rest in text_batches(batches, most):
             lens = np.array([-1 if t is None else len(t) for t in texts], np.int64)
             side = b""
             if keep:
@@ -108,12 +151,12 @@ def stage_chunks(docs: DataFrame, name: str, buckets: int, keep: bool = False) -
                 with pa.ipc.new_stream(sink, rest.schema) as w:
                     w.write_table(rest)
                 side = z.compress(sink.getvalue().to_pybytes())
-            row = {"chunk": pa.array([(part << 32) | k], pa.int64())}
+            row = {"chunk": pa.array([(part << 20) | k], pa.int64())}
             blobs = {"ids": ids.tobytes(), "lens": lens.tobytes(), "body": z.compress(b"".join(t for t in texts if t)), "rest": side}
             yield pa.RecordBatch.from_pydict(row | {n: pa.array([v], pa.binary()) for n, v in blobs.items()})
             k += 1
 
-    table = f"lexmill_{name}_{uuid.uuid4().hex}"
+    table = _written(f"lexmill_{name}_{uuid.uuid4().hex}")
     (source.mapInArrow(pack, CHUNK_SCHEMA).write.option("compression", "none")
      .bucketBy(buckets, "chunk").format("parquet").saveAsTable(table))
     return spark.table(table)
@@ -141,6 +184,27 @@ class Chunk:
         return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(self._rest)).read_all()
 
 
+def own_columns(chunk: Chunk, spec: StructType, text: pa.Array | None = None) -> list[pa.Array]:
+    """The columns of spec, as ``stage_chunks`` with keep has stored them; text replaces the texts."""
+    rest = chunk.rest().combine_chunks()
+    own, i = [], 0
+    for f in spec:
+        if f.name == "doc_id":
+            own.append(chunk.doc_ids())
+        elif f.name == "text":
+            own.append(text if text is not None else pa.array([None if n else t for t, n in zip(chunk.texts(), chunk.null.tolist(), strict=True)], pa.binary()).cast(pa.string()))
+        else:
+            own.append(rest.column(i).combine_chunks() if rest.num_rows else pa.nulls(0, rest.schema.field(i).type))
+            i += 1
+    return own
+
+
+def own_schema(spec: StructType, more: int = 0) -> StructType:
+    """Their types under plain names, and ``more`` longs."""
+    kinds = [T.LongType() if f.name == "doc_id" else T.StringType() if f.name == "text" else f.dataType for f in spec] + [T.LongType()] * more
+    return T.StructType([T.StructField(f"c{j}", k) for j, k in enumerate(kinds)])
+
+
 def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
     for b in batches:
         c = [b.column(n) for n in ("chunk", "ids", "lens", "body", "rest")]
@@ -182,6 +246,15 @@ def widen(b: np.ndarray, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def pack_sorted(a: np.ndarray, width: int) -> np.ndarray:
+    """Sorted numbers under 2**(8*width) as differences, byte by byte of all of them: the high bytes are mostly zero."""
+    return np.ascontiguousarray(narrow(np.diff(a, prepend=a[:1] * U(0)), width).reshape(-1, width).T).reshape(-1)
+
+
+def unpack_sorted(b: np.ndarray, width: int) -> np.ndarray:
+    return np.cumsum(widen(np.ascontiguousarray(b.view(np.uint8).reshape(width, -1).T).reshape(-1), width), dtype=U)
+
+
 def to48(a: np.ndarray) -> np.ndarray:
     return narrow(a, 6)
 
