@@ -19,10 +19,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
-from .common import Chunk, from48, plain_docs, run_hashes, to48, word_hashes, words_of
-from .repeats import Method, removed
+from .common import Chunk, from48, own_columns, own_schema, plain_docs, run_hashes, to48, word_hashes, words_of
+from .repeats import GROUP, Method, removed
 
 WINDOW = 35
 GRAM = 14
@@ -147,13 +146,13 @@ def method(window: int = WINDOW, gram: int = GRAM) -> Method:
     def judge(h: np.ndarray, n: np.ndarray, who: np.ndarray, content: np.ndarray, lens: np.ndarray) -> np.ndarray:
         return _judge(h, n, who, content, lens, window)
 
-    return Method("substring", window, gram, _symbols, lambda s: run_hashes(s, gram), False, to48, judge)
+    return Method("substring", window, gram, _symbols, lambda s: run_hashes(s, gram), False, to48, lambda b: from48(b.view(np.uint8)), judge)
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: bool = False, hot: int | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: bool = False, group: int = GROUP) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the words left, by single spaces; a text that loses none is
     kept as it stands); with keep, docs' own columns with the text replaced, and n_words and n_removed."""
     spec = docs.schema
@@ -173,23 +172,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, kee
         text = pa.array(kept, pa.binary()).cast(pa.string())
         if not keep:
             return pa.RecordBatch.from_pydict(cols | {"kept_sha256": pa.array(sha, pa.string()), "kept": text})
-        rest = chunk.rest().combine_chunks()
-        own, i = [], 0
-        for f in spec:
-            if f.name == "doc_id":
-                own.append(cols["doc_id"])
-            elif f.name == "text":
-                own.append(text)
-            else:
-                own.append(rest.column(i).combine_chunks() if rest.num_rows else pa.nulls(0, rest.schema.field(i).type))
-                i += 1
+        own = own_columns(chunk, spec, text)
         return pa.RecordBatch.from_arrays([*own, cols["n_words"], cols["n_removed"]], [f"c{j}" for j in range(len(own) + 2)])
 
     if not keep:
-        return removed(docs, method(window, gram), finish, RESULT, hot=hot or 256)
-    kinds = [T.LongType() if f.name == "doc_id" else T.StringType() if f.name == "text" else f.dataType for f in spec] + [T.LongType()] * 2
-    schema = T.StructType([T.StructField(f"c{j}", k) for j, k in enumerate(kinds)])
-    out = removed(docs, method(window, gram), finish, schema, True, hot or 256)
+        return removed(docs, method(window, gram), finish, RESULT, group=group)
+    schema = own_schema(spec, 2)
+    out = removed(docs, method(window, gram), finish, schema, True, group)
     names = [f.name for f in spec]
     extra = [next(n for i in range(999) if (n := x + "_" * i) not in names) for x in ("n_words", "n_removed")]
     return out.toDF(*names, *extra)

@@ -6,7 +6,8 @@ buckets; a bucket sorts the suffixes that start its windows, takes the longest c
 finds for each suffix the previous and the next one in suffix order that belong to an earlier document. The longer
 of the two common prefixes is its longest previous factor; a window goes if that reaches its length.
 
-Null texts count as empty. A null doc_id is smaller than all others. Rows that repeat a doc_id aren't earlier than
+Null texts count as empty. A row without doc_id is neither earlier nor later than any: it keeps all its bytes and takes
+none from others. Rows that repeat a doc_id aren't earlier than
 each other. Empty tables give empty results; other columns may have any names.
 """
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import U, Chunk, mix
-from .repeats import HOT, Method, removed
+from .repeats import GROUP, Method, removed
 
 WINDOW = 50
 GRAM = 20
@@ -137,13 +138,13 @@ def method(window: int = WINDOW, gram: int = GRAM) -> Method:
     def judge(h: np.ndarray, n: np.ndarray, who: np.ndarray, content: np.ndarray, lens: np.ndarray) -> np.ndarray:
         return _judge(h, n, who, content, lens, window)
 
-    return Method("suffixes", window, gram, symbols, grams, True, lambda s: s, judge)
+    return Method("suffixes", window, gram, symbols, grams, True, lambda s: s, lambda s: s, judge)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left; a cut may fall inside a character)."""
 
     def finish(chunk: Chunk, sym: np.ndarray, counts: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
@@ -167,4 +168,4 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: i
             "kept_sha256": pa.array(sha, pa.string()), "kept": pa.array(kept, pa.binary()),
         })
 
-    return removed(docs, method(window, gram), finish, RESULT, hot=hot)
+    return removed(docs, method(window, gram), finish, RESULT, group=group)

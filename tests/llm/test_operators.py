@@ -69,9 +69,9 @@ def substring_truth(rows, k):
     return sorted(out, key=key)
 
 
-@pytest.mark.parametrize("hot", [256, 1])
-def test_substring(docs, rows, hot):
-    got = [tuple(r) for r in substring.substring_dedup(docs, hot=hot).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
+@pytest.mark.parametrize("group", [256, 3, 1])
+def test_substring(docs, rows, group):
+    got = [tuple(r) for r in substring.substring_dedup(docs, group=group).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
     assert sorted(got, key=key) == substring_truth(rows, 35)
 
 
@@ -112,7 +112,7 @@ def suffix_truth(rows, k):
     first = {}
     for d, t in rows:
         b = (t or "").encode()
-        who = -math.inf if d is None else d
+        who = math.inf if d is None else d
         for i in range(len(b) - k + 1):
             first[b[i : i + k]] = min(first.get(b[i : i + k], math.inf), who)
     out = []
@@ -120,7 +120,7 @@ def suffix_truth(rows, k):
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
         for i in range(len(b) - k + 1):
-            if first[b[i : i + k]] < (-math.inf if d is None else d):
+            if first[b[i : i + k]] < (-math.inf if d is None else d):  # a row without doc_id is neither earlier nor later
                 gone[i : i + k] = True
         left = bytes(np.frombuffer(b, np.uint8)[~gone])
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) > 0).sum())
@@ -128,9 +128,9 @@ def suffix_truth(rows, k):
     return sorted(out, key=key)
 
 
-@pytest.mark.parametrize("hot", [256, 1])
-def test_suffixes(docs, rows, hot):
-    got = [tuple(r) for r in suffixes.suffix_dedup(docs, hot=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+@pytest.mark.parametrize("group", [256, 3, 1])
+def test_suffixes(docs, rows, group):
+    got = [tuple(r) for r in suffixes.suffix_dedup(docs, group=group).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
     assert sorted(got, key=key) == suffix_truth(rows, 50)
 
 
@@ -171,8 +171,7 @@ def test_simhash(docs, rows):
     fp = {t: print_of(t) for t in {t for _, t in rows}}
     ids = collections.defaultdict(list)
     for d, t in rows:
-        if d is not None:
-            ids[fp[t]].append(d)
+        ids[fp[t]].append(d)
     group = {f: {f} for f in ids}
     for a in ids:
         for b in ids:
@@ -180,7 +179,8 @@ def test_simhash(docs, rows):
                 both = group[a] | group[b]
                 for x in both:
                     group[x] = both
-    want = [(d, f"{fp[t]:016x}", min(x for f in group[fp[t]] for x in ids[f]) if fp[t] in group else None) for d, t in rows]
+    least = {f: min((x for g in group[f] for x in ids[g] if x is not None), default=None) for f in ids}
+    want = [(d, f"{fp[t]:016x}", least[fp[t]]) for d, t in rows]
     assert sorted([tuple(r) for r in simhash.near_duplicates(docs).collect()], key=key) == sorted(want, key=key)
 
 
@@ -192,14 +192,31 @@ def test_simhash_chain_and_tiles(spark):
         chain.append((f, 1000 - i))
         for b in rng.sample(range(63), 3):
             f ^= 1 << b
-    nodes = spark.createDataFrame(chain + [(rng.getrandbits(63), i) for i in range(200)], "fp long, id long")
-    got = {r.node: r.label for r in simhash.components(spark, simhash.links(nodes)).collect()}
-    data = nodes.collect()
-    label = {r.id: r.id for r in data}
+    data = [f for f, _ in chain] + [rng.getrandbits(63) for _ in range(200)]
+    nodes = spark.createDataFrame([(f,) for f in data], "fp long")
+    got = {r.fp: r.group for r in simhash.groups(nodes).collect()}
+    label = {f: f for f in data}
     for _ in range(60):
         for a in data:
-            label[a.id] = min(label[b.id] for b in data if (a.fp ^ b.fp).bit_count() <= 3)
-    assert {i: got.get(i, i) for i in label} == label
+            label[a] = min(label[b] for b in data if (a ^ b).bit_count() <= 3)
+    assert got == label
+
+
+def test_components_of_a_long_chain_that_meets_its_least_label_last(spark):
+    order = [1, *range(100, 1, -1)]
+    edges = spark.createDataFrame(list(zip(order, order[1:])), "u long, v long")
+    assert {r.label for r in simhash.components(edges).collect()} == {1}
+
+
+def test_simhash_links_pass_through_a_row_without_id(spark):
+    from unittest.mock import patch
+
+    prints = [(1, 0), (None, 7), (2, 63), (5, (1 << 40) - 256), (9, (1 << 40) - 256)]
+    docs = spark.createDataFrame([(i, str(i)) for i, _ in prints], "doc_id long, text string")
+    frame = spark.createDataFrame(prints, "doc_id long, fp long")
+    with patch.object(simhash, "fingerprints", lambda d, s: frame):
+        got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {(1, 1), (None, 1), (2, 1), (5, 5), (9, 5)}
 
 
 def language_docs(spark, n=120):
@@ -239,6 +256,49 @@ def test_licenses(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_licenses_by_row_and_by_place(spark):
+    short, full = "Released under the MIT License.", dict(enumerate(t for _, t in licenses.TEMPLATES))[3]
+    words = full.split()
+    texts = ["nothing here", short, " ".join([short] * 3), " ".join(words[:40] + words[2:9] + words[40:]), " ".join(words[:30] + ["odd", "words"] + words[30:]), short.lower(), full[: len(full) // 4]]
+    rows = [(1, t) for t in texts] + [(1, texts[1]), (None, texts[1]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.n_words, r.base_labels, r.labels, round(r.score, 6)) for r in licenses.scan(docs).collect())
+
+    def truth(t):
+        """Plain search: for each template, the cover of every group of diagonals."""
+        w = licenses.license_words((t or "").encode())
+        labels, best = set(), 0.0
+        for label, text in licenses.TEMPLATES:
+            tw = licenses.license_words(text.encode())
+            n, k = len(tw), licenses.GRAM
+            hits = collections.defaultdict(set)
+            for i in range(len(w) - k + 1):
+                for j in range(n - k + 1):
+                    if w[i : i + k] == tw[j : j + k]:
+                        hits[i - j].add((i, j))
+            cover = lambda x: len({j + d for _, j in x for d in range(k)}) / n  # noqa: B023, E731
+            near, last = [], None
+            for d in sorted(hits):
+                if last is None or d - last > min(licenses.SHIFT, max(1, int(n * licenses.SHARE))):
+                    near.append([])
+                near[-1].append(d)
+                last = d
+            for g in near:
+                x = set().union(*(hits[d] for d in g))
+                fits = max(i for i, _ in x) + k - min(i for i, _ in x) <= licenses.STRETCH * n + k
+                c = cover(x) if fits else max(cover(hits[d]) for d in g)
+                if c >= licenses.COVER:
+                    labels.add(label)
+                    best = max(best, c)
+        line = " ".join(x.decode() for x in w)
+        own = {v for p, v in licenses.PHRASES.items() if f" {p} " in f" {line} "}
+        return len(w), ",".join(sorted(own)), ",".join(sorted(own | labels)), round(max(best, 0.5 if own else 0.0), 6)
+
+    assert got == collections.Counter((d, *truth(t)) for d, t in rows)
+    by = {t: truth(t) for t in texts}
+    assert by[texts[0]][2:] == ("", 0.0) and by[texts[2]][3] == by[texts[3]][3] == 1.0
+
+
 def test_topk(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=(300, 8)), np.repeat(rng.normal(size=(1, 8)), 60, 0), np.zeros((40, 8))])
@@ -280,10 +340,13 @@ def test_token_counts(spark):
     assert got == {i: len(model.tokenize("▁" + t.replace(" ", "▁"))) for i, t in enumerate(data)}
 
 
-def test_packing(docs, rows):
+def test_packing(spark, docs, rows):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.default_vocab())
+    added = ["see <|endoftext|> here.", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "a<|endoftext|", "x <|endoftext|>\n\n<|endoftext|>y"]
+    rows = rows + [(5000 + i, t) for i, t in enumerate(added)]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(rows[-len(added):], "doc_id long, text string"))
     got = packing.pack(docs, window=64, with_ids=True).collect()
     want = collections.Counter((d, tuple(tok.encode(t or "", add_special_tokens=False).ids + [1])) for d, t in rows)
     seqs, whole = collections.defaultdict(list), collections.defaultdict(list)
