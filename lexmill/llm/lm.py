@@ -26,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    BLOB_SCHEMA, NULL_ID, U, Chunk, answer_per_bucket, blob_batch, chunk_rows, corpus_bytes, mix, narrow, pack_arrays, stage, stage_chunks, unpack_arrays, widen, with_answers, word_hashes,
+    BLOB_SCHEMA, NULL_ID, U, Chunk, answer_per_bucket, blob_batch, chunk_rows, corpus_bytes, mix, pack_arrays, pack_sorted, stage, stage_chunks, unpack_arrays, unpack_sorted, with_answers, word_hashes,
 )
 
 FOLDS, HELD, DELETED = 5, 1, 0
-BUCKET_BYTES = 16 << 20
+#: Text of one chunk, and text whose questions one bucket answers.
+CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 6 << 20
 CONTEXTS = 48
 STEP = 4  # bins for each power of two
 LOW, BINS = -64, 512
@@ -62,8 +63,14 @@ class Tokens:
         self.pairs, self.p = np.unique(mix(before, self.word), return_inverse=True)
 
 
-def _shares(h: np.ndarray, buckets: int) -> np.ndarray:
-    return np.searchsorted(h, np.array([-(-(i << 64) // buckets) for i in range(buckets)], U)).tolist() + [len(h)]
+def _shares(h: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """The buckets that have some of the sorted hashes, and which."""
+    if not len(h):
+        return
+    b = np.minimum((h.astype(np.float64) * (buckets / 2.0**64)).astype(np.int64), buckets - 1)
+    begin = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1).tolist(), len(b)]
+    for i, j in zip(begin[:-1], begin[1:], strict=True):
+        yield int(b[i]), slice(i, j)
 
 
 def _small(a: np.ndarray) -> np.ndarray:
@@ -80,12 +87,9 @@ def _ask(buckets: int):
             at, blobs = [], []
             for kind, (keys, of) in enumerate(((t.words, t.w), (t.pairs, t.p))):
                 n = [np.bincount(of[m], minlength=len(keys)) for m in (train, kept)]
-                cut = _shares(keys, buckets)
-                for b in range(buckets):
-                    s = slice(cut[b], cut[b + 1])
-                    if cut[b] < cut[b + 1]:
-                        at.append(b + kind * buckets)
-                        blobs.append(pack_arrays([narrow(keys[s], 8 if kind == 0 else 7), _small(n[0][s]), _small(n[1][s])]))
+                for b, s in _shares(keys, buckets):
+                    at.append(b + kind * buckets)
+                    blobs.append(pack_arrays([pack_sorted(keys[s], 8) if kind == 0 else pack_sorted(keys[s] >> U(8), 7), _small(n[0][s]), _small(n[1][s])]))
             yield blob_batch([c] * len(at), at, blobs)
 
     return run
@@ -103,7 +107,7 @@ def _answers(asked: DataFrame, buckets: int) -> DataFrame:
         chunks = t.column("chunk").to_pylist()
         got = [unpack_arrays(b) for b in t.column("blob").to_pylist()]
         lens = [len(g[0]) // width for g in got]
-        keys = np.concatenate([widen(g[0], width) for g in got])
+        keys = np.concatenate([unpack_sorted(g[0], width) for g in got])
         order = np.argsort(keys, kind="stable")
         s = keys[order]
         new = np.ones(len(s), bool)
@@ -180,7 +184,7 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10) for every row."""
     buckets = max(4, corpus_bytes(docs) // BUCKET_BYTES)
-    chunks = stage_chunks(docs, "lm", max(8, buckets))
+    chunks = stage_chunks(docs, "lm", max(8, buckets), most=CHUNK_BYTES)
     answers = stage(_answers(chunks.mapInArrow(_ask(buckets), BLOB_SCHEMA), buckets), "lm")
     stats = [unpack_arrays(bytes(r["blob"]))[0] for r in answers.where(F.col("chunk") == STATS).collect()]  # three numbers a bucket
     total, distinct, kept_total = (int(x) for x in np.sum(stats, axis=0)) if stats else (0, 0, 0)
