@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import decontaminate, langid, packing, simhash, substring
-from lexmill.llm.common import stage
+from lexmill.llm.common import drop, scratch, stage_at
 from lexmill.session import ship
 
 #: No stage but the last can be said in SQL: a fitted classifier and fingerprints' components come first.
@@ -28,15 +28,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of near copies: the smallest doc_id, rows without doc_id last; among equals any one."""
-    key = next(n for i in range(999) if (n := f"row{'_' * i}") not in docs.columns)
-    # The rows are staged with their keys: a key drawn anew for each scan would not name the same row twice.
-    keyed = stage(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
-    found = stage(simhash.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text")), "components").select(F.col("doc_id").alias("at"), "component_id")
-    ids = keyed.select(F.col(key).alias("key"), F.col("doc_id").alias("id"))
-    rank = F.struct(F.col("id").isNull().alias("none"), "id", "key")
-    kept = ids.join(found, F.col("key") == F.col("at")).groupBy("component_id").agg(F.min(rank).alias("first")).select(F.col("first.key").alias("kept_key"))
-    return keyed.join(kept, F.col(key) == F.col("kept_key"), "left_semi").select(docs.columns)
+    """Keep one row of each group of near copies: the smallest doc_id, rows without doc_id last; among equals the first."""
+    return simhash.without_near_duplicates(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +57,10 @@ STAGES = [("language", language), ("near_dedup", near_dedup), ("substrings", sub
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     ship(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, f in STAGES[:-1]:
-        docs = stage(f(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):
+            rows, path = stage_at(f(spark, docs, sf_dir), f"pipeline-{name}")
+        drop(spark, before)
+        docs, before = rows, [path]
     return STAGES[-1][1](spark, docs, sf_dir)
