@@ -138,6 +138,10 @@ def test_machines_fold_in_order(spark):
         ("the § for", [(4, 9, "unparsed")]),
         ("Pub. L. 104-317 and H.R. 3763", [(0, 15, "public-law"), (20, 29, "bill")]),
         ("605.0101 - 605.1108", [(0, 19, "range")]),
+        ("Cal. Bus. & Prof. Code § 17200 and Ohio Rev. Code Ann. § 5.2(a)", [(0, 30, "state-code"), (23, 30, "section-sign"), (35, 63, "state-ann"), (55, 63, "section-sign")]),
+        ("12 C.F.R. § 1002.4, 8 Del. C. § 141, 735 Ill. Comp. Stat. 5/2-615", [(0, 18, "cfr"), (10, 18, "section-sign"), (20, 35, "delaware"), (30, 35, "section-sign"), (37, 65, "compiled")]),
+        ("42 USC 1983; Fla. Stat. § 1.01; s. 3, ch. 99-4; chapters 4, 5 and 6", [(0, 11, "us-code"), (13, 30, "state-stat"), (24, 30, "section-sign"), (32, 46, "session-law"), (48, 67, "chapters"), (38, 46, "chapter")]),
+        ("12 F.3d 34 and 5 F. Supp. 2d 6, section 4(a) of Title 9", [(0, 10, "reporter"), (15, 30, "reporter"), (32, 55, "section")]),
         ("", []),
         (None, []),
     ],
@@ -170,14 +174,14 @@ def test_full_cites_agree_with_python(spark):
         assert [c for _, c in sorted(got.get(i, []))] == [m[0] for m in re.finditer(reporters.CASE_CITE, t)]
 
 
-def test_same_case():
-    r = lookups.NameRules()
-    assert lookups.same_case("Twombly", ["Bell Atlantic Corp. v. Twombly"], r)
-    assert not lookups.same_case("Roger v. Smith", ["Rogers v. Jones"], r)
-    assert lookups.same_case("Roe v. Bd. of Educ.", ["Roe v. Board of Education of Topeka"], r)
-    assert not lookups.same_case("First Nat'l Bank v. Doe", ["Bank of Am. v. Roe"], r)
-    assert lookups.same_case("EPA v. Doe", ["Environmental Protection Agency v. Doe"], r)
-    assert lookups.same_case("", ["x"], r)
+def test_same_case(spark):
+    rows = [
+        ("Twombly", ["Bell Atlantic Corp. v. Twombly"], True), ("Roger v. Smith", ["Rogers v. Jones"], False), ("Roe v. Bd. of Educ.", ["Roe v. Board of Education of Topeka"], True),
+        ("First Nat'l Bank v. Doe", ["Bank of Am. v. Roe"], False), ("EPA v. Doe", ["Environmental Protection Agency v. Doe"], True), ("", ["x"], True), (None, ["x"], True),
+        ("Smith v. Jones", [], False), ("Smith v. Jones", None, False), ("Smith v. Jones", ["Lee v. Poe", None, "Jones v. Roe"], True),
+    ]
+    df = spark.createDataFrame(rows, "draft string, names array<string>, want boolean")
+    assert [r.draft for r in df.where(lookups.same_case(F.col("draft"), F.col("names")) != F.col("want")).collect()] == []
 
 
 def test_leaks(spark):
