@@ -1,6 +1,6 @@
 """All queries of the record engine, gathered from their modules."""
 
-from . import brief, calendar, correspondence, custody, ledgers, machines, scoring, screening, texts  # noqa: F401
+from . import brief, calendar, correspondence, custody, ledgers, machines, rulebooks, scoring, screening, texts  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

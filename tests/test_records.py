@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import dates as D
 from lexmill.functions import strings as S
-from lexmill.operators import binding, court_days, custody, extraction, leaks, ledgers, lookups, machines, quotes, reporters
+from lexmill.operators import binding, court_days, custody, extraction, leaks, ledgers, lookups, machines, quotes, reporters, rulebooks
 from lexmill.plans import catalog
 from lexmill.sources import texts
 
@@ -219,7 +219,7 @@ def test_sources(spark):
 
 def test_binding_units(spark):
     a = spark.createDataFrame([("d", "a-1", 1), ("d", "a-1-b", 2), ("d", "a-1-c", 4), ("d", "a-2", 6)], "doc string, anchor string, line int")
-    assert {r.anchor: r.end_line for r in binding.section_extents(a, "doc").collect()} == {"a-1": 6, "a-1-b": 4, "a-1-c": 6, "a-2": None}
+    assert {r.anchor: r.end_line for r in rulebooks.extents(a, "doc").collect()} == {"a-1": 6, "a-1-b": 4, "a-1-c": 6, "a-2": None}
     g = ledgers.gaps(spark.createDataFrame([("x", 3), ("x", 4), ("x", 9), ("y", 1)], "d string, n int"), "d", "n")
     assert sorted(tuple(r) for r in g.collect()) == [("x", 1, 2), ("x", 5, 8)]
 
