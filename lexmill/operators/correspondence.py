@@ -48,7 +48,7 @@ def search_key(provider: Column, jurisdiction: Column, query: Column) -> Column:
 
 
 def calendar_escape(c: Column) -> Column:
-    for a, b in (("\\", "\\\\"), (";", "\;"), (",", "\\,"), ("\r\n", "\\n"), ("\n", "\\n")):
+    for a, b in (("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\r\n", "\\n"), ("\n", "\\n")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
 

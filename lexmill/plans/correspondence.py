@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import correspondence as C
 from ..session import table
 from .registry import query
 
-KEY = F.col("o_orderkey")
+
+def _key() -> Column:
+    return F.col("o_orderkey")
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders")
 
 
-def _text(*parts) -> F.Column:
+def _text(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
@@ -31,7 +33,7 @@ SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'kim' || o_custkey WHEN 1 THE
 """)
 def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who wrote it and at whose direction; agents alone, blanks and the form's own marks are refused."""
-    m, who = KEY % 5, F.col("o_custkey")
+    m, who = _key() % 5, F.col("o_custkey")
     author = F.when(m == 0, _text("kim", who)).when(m.isin(1, 2), _text("agent:a", who)).when(m == 3, " ").otherwise(_text("a, b", who))
     return _orders(spark, sf_dir).select("o_orderkey", C.attribution(author, F.when(m == 1, "kim")).alias("attribution"))
 
@@ -41,14 +43,14 @@ SELECT o_orderkey, sha256('{"customer":' || o_custkey || ',"note":' || CASE WHEN
 """)
 def record_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical JSON of a record, hashed."""
-    o = _orders(spark, sf_dir).select("o_orderkey", F.col("o_orderstatus").alias("status"), F.when(KEY % 3 != 0, _text("n", KEY)).alias("note"), F.col("o_custkey").alias("customer"))
+    o = _orders(spark, sf_dir).select("o_orderkey", F.col("o_orderstatus").alias("status"), F.when(_key() % 3 != 0, _text("n", _key())).alias("note"), F.col("o_custkey").alias("customer"))
     return C.record_hash(o, ["status", "note", "customer"]).select("o_orderkey", "sha256")
 
 
 @query("SELECT o_custkey AS customer, 1 AS keys FROM orders GROUP BY 1")
 def search_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries that differ in blanks and case share a cache key."""
-    q = F.when(KEY % 2 == 0, _text("  Due   PROCESS ", F.col("o_custkey"))).otherwise(_text("due process ", F.col("o_custkey"), " "))
+    q = F.when(_key() % 2 == 0, _text("  Due   PROCESS ", F.col("o_custkey"))).otherwise(_text("due process ", F.col("o_custkey"), " "))
     o = _orders(spark, sf_dir).select(F.col("o_custkey").alias("customer"), C.search_key(F.lit("Court"), F.lit(None).cast("string"), q).alias("k"))
     return o.groupBy("customer").agg(F.count_distinct("k").cast("int").alias("keys"))
 
@@ -82,7 +84,7 @@ def email_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN 'act now' WHEN 2 THEN 'exhibit' END AS reason FROM orders")
 def unsafe_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters with phrases or exhibits that they must not hold."""
-    m = KEY % 4
+    m = _key() % 4
     body = F.when(m == 1, "Please ACT NOW, guaranteed").when(m == 2, "See Exhibit 4 there").when(m == 3, "an exhibit of art").otherwise("We write to ask.")
     return _orders(spark, sf_dir).select("o_orderkey", C.unsafe_reason(F.lit("Notice"), body).alias("reason"))
 
@@ -124,7 +126,7 @@ SELECT o_orderkey AS notice_id, CASE WHEN o_custkey % 7 <> 0 THEN c_name END AS
 """)
 def notice_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notices with their party and selected assertions; parties and assertions can be missing."""
-    n = _orders(spark, sf_dir).select(KEY.alias("notice_id"), F.col("o_custkey").alias("party_id"))
+    n = _orders(spark, sf_dir).select(_key().alias("notice_id"), F.col("o_custkey").alias("party_id"))
     parties = table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("party_id"), F.col("c_name").alias("party_name"))
     chosen = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("notice_id"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("assertion_id")).distinct()
     known = table(spark, sf_dir, "part").where("p_partkey % 10 <> 3").select(F.col("p_partkey").alias("assertion_id"), F.col("p_name").alias("text"))
@@ -134,14 +136,14 @@ def notice_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, (row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) - 1) // 40 AS batch FROM orders")
 def request_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests bounded by characters before they are by cites."""
-    o = _orders(spark, sf_dir).select((F.col("o_custkey") % 20).alias("draft"), "o_orderkey", F.lpad(KEY.cast("string"), 15, "0").alias("line"))
+    o = _orders(spark, sf_dir).select((F.col("o_custkey") % 20).alias("draft"), "o_orderkey", F.lpad(_key().cast("string"), 15, "0").alias("line"))
     return C.request_batches(o, "draft", "o_orderkey", "line", 60, 16 * 40).select("o_orderkey", "batch")
 
 
 @query("SELECT o_orderkey, o_orderkey % 5 = 0 AS valid FROM orders")
 def request_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests within the grammar of lines, without repeats, within bounds."""
-    a, m = _text(KEY % 900 + 1, " F.3d ", F.col("o_custkey") + 1), KEY % 5
+    a, m = _text(_key() % 900 + 1, " F.3d ", F.col("o_custkey") + 1), _key() % 5
     payload = F.when(m == 0, F.concat(a, F.lit("\n"), a, F.lit("1"))).when(m == 1, F.concat(a, F.lit("\n"), a)).when(m == 2, F.concat(a, F.lit("; drop"))).when(m == 3, F.lit("")).otherwise(F.repeat(F.lit("x"), 99))
     return _orders(spark, sf_dir).select("o_orderkey", C.valid_request(payload).alias("valid"))
 
@@ -149,7 +151,7 @@ def request_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_custkey, v AS gap, n FROM (SELECT o_custkey, o_orderkey % 4 AS v, count(*) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, o_orderkey % 4) AS r FROM orders GROUP BY 1, 2) WHERE r = 1")
 def common_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The commonest value, ties to the least."""
-    return C.modes(_orders(spark, sf_dir).select("o_custkey", (KEY % 4).alias("gap")), ["o_custkey"], "gap")
+    return C.modes(_orders(spark, sf_dir).select("o_custkey", (_key() % 4).alias("gap")), ["o_custkey"], "gap")
 
 
 @query("SELECT user_id AS case_id, count(DISTINCT CASE WHEN event_id % 2 = 0 THEN event_type END) AS searches, count(DISTINCT CASE WHEN event_id % 2 = 1 THEN event_type END) AS cites FROM events GROUP BY 1")
@@ -171,4 +173,4 @@ def case_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     auth = o.select("case_id", F.when(F.col("o_orderpriority").startswith("1"), "unverified").otherwise("resolved").alias("status"))
     sources = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("fact_id"))
     cases = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"))
-    return C.case_overview(cases, o, o.select("case_id", KEY.alias("fact_id")), sources, due, auth, o.where(KEY % 3 == 0), F.to_date(F.lit("1998-06-01")))
+    return C.case_overview(cases, o, o.select("case_id", _key().alias("fact_id")), sources, due, auth, o.where(_key() % 3 == 0), F.to_date(F.lit("1998-06-01")))

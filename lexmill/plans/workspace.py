@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
@@ -12,15 +12,20 @@ from ..session import table
 from ..sources import texts
 from .registry import query
 
-KEY = F.col("o_orderkey")
-CUST = F.col("o_custkey")
+
+def _key() -> Column:
+    return F.col("o_orderkey")
+
+
+def _cust() -> Column:
+    return F.col("o_custkey")
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders")
 
 
-def _text(*parts) -> F.Column:
+def _text(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
@@ -30,7 +35,7 @@ SELECT left(sha256(rel), 16) AS case_id, rel, depth, left(sha256(up), 16) AS par
 """)
 def case_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases and subcases of a workspace to depth three, with their nearest case above."""
-    rel = F.array(_text("case", CUST), F.when(CUST % 2 == 0, _text("case", CUST, "/sub/")), F.when(CUST % 3 == 0, _text("case", CUST, "/x/sub")), _text("case", CUST, "/a/b/c"))
+    rel = F.array(_text("case", _cust()), F.when(_cust() % 2 == 0, _text("case", _cust(), "/sub/")), F.when(_cust() % 3 == 0, _text("case", _cust(), "/x/sub")), _text("case", _cust(), "/a/b/c"))
     return W.discover(_orders(spark, sf_dir).select(F.explode(rel).alias("rel")).where("rel is not null"))
 
 
@@ -49,8 +54,8 @@ def text_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'source' WHEN 1 THEN 'above a source' WHEN 2 THEN 'store' END AS protected FROM orders")
 def protected_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths that must not be written: sources, folders above them, members of stores."""
-    m = KEY % 5
-    p = F.when(m == 0, _text("./Case", CUST, "//Docs/A.pdf")).when(m == 1, _text("CASE", CUST, "/docs/")).when(m == 2, _text("case", CUST, "/store/x/y")).when(m == 3, _text("case", CUST, "/docs/b.pdf")).otherwise(_text("other", CUST))
+    m = _key() % 5
+    p = F.when(m == 0, _text("./Case", _cust(), "//Docs/A.pdf")).when(m == 1, _text("CASE", _cust(), "/docs/")).when(m == 2, _text("case", _cust(), "/store/x/y")).when(m == 3, _text("case", _cust(), "/docs/b.pdf")).otherwise(_text("other", _cust()))
     c = table(spark, sf_dir, "customer")
     src = c.select(_text("case", F.col("c_custkey"), "/docs/a.pdf").alias("path"))
     got = W.classify_paths(_orders(spark, sf_dir).select(p.alias("path")).distinct(), src, c.select(_text("case", F.col("c_custkey"), "/store").alias("path")))
@@ -63,15 +68,15 @@ UNION ALL SELECT o_orderkey, NULL, NULL FROM orders WHERE o_orderkey % 3 = 0
 """)
 def docket_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Docket maps out of JSON sidecars; other shapes give a row to refuse."""
-    j = F.when(KEY % 3 == 0, '{"list": [1]}').otherwise(_text('{"entries": {"16": "a', KEY, '.pdf", "17": "b.pdf"}}'))
-    return W.docket_map(_orders(spark, sf_dir).select(KEY.alias("case_id"), j.alias("json")))
+    j = F.when(_key() % 3 == 0, '{"list": [1]}').otherwise(_text('{"entries": {"16": "a', _key(), '.pdf", "17": "b.pdf"}}'))
+    return W.docket_map(_orders(spark, sf_dir).select(_key().alias("case_id"), j.alias("json")))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 97 IN (0, 1))")
 def brief_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Research briefs: all rows of one, or none."""
-    t = F.when(KEY % 97 == 0, None).when(KEY % 97 == 1, "  ").otherwise("title")
-    return W.import_briefs(_orders(spark, sf_dir).select(CUST.alias("brief_id"), "o_orderkey", t.alias("title")), ["title", "o_orderkey"]).select("o_orderkey")
+    t = F.when(_key() % 97 == 0, None).when(_key() % 97 == 1, "  ").otherwise("title")
+    return W.import_briefs(_orders(spark, sf_dir).select(_cust().alias("brief_id"), "o_orderkey", t.alias("title")), ["title", "o_orderkey"]).select("o_orderkey")
 
 
 @query("""
@@ -81,8 +86,8 @@ SELECT k AS o_orderkey, a AS uuid, 0 AS n, 'First ' || k AS title FROM u UNION A
 def result_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of result texts in two written forms, the first of each id."""
     h = lambda c: F.concat_ws("-", *[F.substring(F.md5(c.cast("string").cast("binary")), a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
-    a, b = h(KEY), h(_text("x", KEY))
-    t = _text("Found: [First ", KEY, "](id:", a, ") and\n", b, ": Second\n", a, ": again\nnot an id: x")
+    a, b = h(_key()), h(_text("x", _key()))
+    t = _text("Found: [First ", _key(), "](id:", a, ") and\n", b, ": Second\n", a, ": again\nnot an id: x")
     return W.result_hits(_orders(spark, sf_dir).select("o_orderkey", t.alias("text")), "text", ["o_orderkey"])
 
 
@@ -106,7 +111,7 @@ def document_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'k' || o_orderkey || chr(65533) ELSE 'é' || o_orderkey END AS text FROM orders")
 def replaced_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes read as UTF-8, bad ones replaced, the mark dropped."""
-    c = F.when(KEY % 3 == 0, F.concat(_text("k", KEY).cast("binary"), F.unhex(F.lit("FF")))).otherwise(F.concat(F.unhex(F.lit("EFBBBF")), _text("é", KEY).cast("binary")))
+    c = F.when(_key() % 3 == 0, F.concat(_text("k", _key()).cast("binary"), F.unhex(F.lit("FF")))).otherwise(F.concat(F.unhex(F.lit("EFBBBF")), _text("é", _key()).cast("binary")))
     return W.read_text(_orders(spark, sf_dir).select("o_orderkey", c.alias("content"))).select("o_orderkey", "text")
 
 
@@ -116,7 +121,7 @@ SELECT o_custkey AS case_id, '# Orders' || chr(10) || chr(10) || '| o_orderkey |
 """)
 def case_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Markdown report and a JSON manifest for each case."""
-    o = _orders(spark, sf_dir).select(CUST.alias("case_id"), "o_orderkey", _text("a|b\n", F.col("o_orderstatus")).alias("note"))
+    o = _orders(spark, sf_dir).select(_cust().alias("case_id"), "o_orderkey", _text("a|b\n", F.col("o_orderstatus")).alias("note"))
     return W.report(o, "case_id", "Orders", ["o_orderkey"], ["o_orderkey", "note"])
 
 
@@ -125,7 +130,7 @@ WITH a AS (SELECT CAST(o_orderdate AS DATE) AS day, o_orderkey AS seq, row_numbe
 """)
 def holiday_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holidays registered once a day."""
-    o = _orders(spark, sf_dir).select(F.to_date("o_orderdate").alias("day"), F.lit("x").alias("name"), KEY.alias("seq"), CUST.alias("c"))
+    o = _orders(spark, sf_dir).select(F.to_date("o_orderdate").alias("day"), F.lit("x").alias("name"), _key().alias("seq"), _cust().alias("c"))
     return W.register_holidays(o.where("c % 10 = 0"), o.select("day", "name", "seq")).select("day", "seq", "added")
 
 
@@ -147,7 +152,7 @@ SELECT c_custkey AS case_id, number, step, CASE number WHEN 1 THEN coalesce(n, 0
 """)
 def intake_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which steps of its intake each case has done."""
-    n = _orders(spark, sf_dir).groupBy(CUST.alias("case_id")).agg(F.count("*").alias("documents"), F.count_if(F.col("o_orderstatus") == "P").alias("parties"))
+    n = _orders(spark, sf_dir).groupBy(_cust().alias("case_id")).agg(F.count("*").alias("documents"), F.count_if(F.col("o_orderstatus") == "P").alias("parties"))
     return W.intake_steps(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id")), n)
 
 
@@ -157,7 +162,7 @@ SELECT c_nationkey AS parent_id, c_custkey AS case_id, c_name || ': ' || CASE WH
 """)
 def subcase_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status lines of subcases."""
-    d = _orders(spark, sf_dir).select(CUST.alias("case_id"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("met").alias("state"), F.to_date("o_orderdate").alias("due"))
+    d = _orders(spark, sf_dir).select(_cust().alias("case_id"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("met").alias("state"), F.to_date("o_orderdate").alias("due"))
     return W.child_lines(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("parent_id"), F.col("c_custkey").alias("case_id"), F.col("c_name").alias("title")), d)
 
 
@@ -167,16 +172,16 @@ SELECT o_orderkey AS trigger_id, 'start ' || CAST(o_orderdate AS DATE) || ', not
 """)
 def count_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The steps of a deadline's count in words."""
-    start, days = F.to_date("o_orderdate"), (KEY % 3 + 1).cast("int")
+    start, days = F.to_date("o_orderdate"), (_key() % 3 + 1).cast("int")
     landed = F.date_add(start, days)
-    return W.count_steps(_orders(spark, sf_dir).select(KEY.alias("trigger_id"), start.alias("start"), days.alias("days"), landed.alias("landed"), F.when(KEY % 2 == 0, F.date_add(landed, 1)).otherwise(landed).alias("due")))
+    return W.count_steps(_orders(spark, sf_dir).select(_key().alias("trigger_id"), start.alias("start"), days.alias("days"), landed.alias("landed"), F.when(_key() % 2 == 0, F.date_add(landed, 1)).otherwise(landed).alias("due")))
 
 
 @query("SELECT o_custkey AS k, arg_max(o_orderkey, o_orderkey) AS v, max(o_orderkey) AS line_no FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1")
 def append_log_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest whole record of each key in a log with torn lines."""
-    line = F.when(KEY % 7 == 0, _text('{"k": ', CUST, ', "v"')).otherwise(_text('{"k": ', CUST, ', "v": ', KEY, "}"))
-    return texts.append_log(_orders(spark, sf_dir).select(line.alias("value"), KEY.alias("line_no")), "k long, v long", ["k"])
+    line = F.when(_key() % 7 == 0, _text('{"k": ', _cust(), ', "v"')).otherwise(_text('{"k": ', _cust(), ', "v": ', _key(), "}"))
+    return texts.append_log(_orders(spark, sf_dir).select(line.alias("value"), _key().alias("line_no")), "k long, v long", ["k"])
 
 
 @query("""
@@ -184,7 +189,7 @@ SELECT o_orderkey, 'verified' AS status, 'Cite ' || o_custkey || ' | x' AS citat
 """)
 def markdown_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An authority ledger in Markdown; columns are told by their headings."""
-    t = _text("# Ledger\n\n| Status | Full citation |\n|---|:--|\n| verified | Cite ", CUST, " \\| x |\n\nend")
+    t = _text("# Ledger\n\n| Status | Full citation |\n|---|:--|\n| verified | Cite ", _cust(), " \\| x |\n\nend")
     rows = texts.markdown_tables(_orders(spark, sf_dir).select("o_orderkey", t.alias("text")), "text", "o_orderkey")
     return rows.select("o_orderkey", F.element_at("cells", 1).alias("status"), F.element_at("cells", 2).alias("citation"))
 
@@ -192,24 +197,24 @@ def markdown_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'PRIVILEGED' WHEN 1 THEN 'ALLEGED' END AS label, 'a\\|b c' || o_custkey AS cell, o_custkey || 'us' || o_orderkey AS word, '12' || o_custkey AS digits, '(a) Title: bold code link' AS plain FROM orders")
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels, table cells, word keys, digits of other scripts, plain text."""
-    m = KEY % 3
+    m = _key() % 3
     label = F.when(m == 0, " privileged ").when(m == 1, "Alleged").otherwise("rumour")
     md = F.lit("## (a) Title: **bold** `code` [link](http://x.y)")
     return _orders(spark, sf_dir).select(
-        "o_orderkey", S.fact_label(label).alias("label"), S.table_cell(_text("a|b\r\nc", CUST)).alias("cell"), S.word_key(_text(CUST, " U.S. ", KEY)).alias("word"), S.ascii_digits(_text("١２", CUST)).alias("digits"), S.plain_terminal(md).alias("plain")
+        "o_orderkey", S.fact_label(label).alias("label"), S.table_cell(_text("a|b\r\nc", _cust())).alias("cell"), S.word_key(_text(_cust(), " U.S. ", _key())).alias("word"), S.ascii_digits(_text("١２", _cust())).alias("digits"), S.plain_terminal(md).alias("plain")
     )
 
 
 @query("SELECT o_custkey AS doc, o_orderkey % 5 AS start, o_orderkey % 5 + 3 AS \"end\", count(*) - 1 AS repeats FROM orders GROUP BY 1, 2, 3")
 def collapsed_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct predicted spans and their repeats."""
-    return scoring.collapse(_orders(spark, sf_dir).select(CUST.alias("doc"), (KEY % 5).alias("start"), (KEY % 5 + 3).alias("end")))
+    return scoring.collapse(_orders(spark, sf_dir).select(_cust().alias("doc"), (_key() % 5).alias("start"), (_key() % 5 + 3).alias("end")))
 
 
 @query("SELECT o_orderkey, 'k' || o_orderkey AS text FROM orders WHERE o_orderkey % 3 = 1")
 def scannable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that the leak scan reads: no zero byte at their head, not over the size."""
-    c = F.when(KEY % 3 == 0, F.concat(_text("k", KEY).cast("binary"), F.unhex(F.lit("00")))).when(KEY % 3 == 1, _text("k", KEY).cast("binary")).otherwise(F.repeat(F.lit("x"), 99).cast("binary"))
+    c = F.when(_key() % 3 == 0, F.concat(_text("k", _key()).cast("binary"), F.unhex(F.lit("00")))).when(_key() % 3 == 1, _text("k", _key()).cast("binary")).otherwise(F.repeat(F.lit("x"), 99).cast("binary"))
     return leaks.scannable(_orders(spark, sf_dir).select("o_orderkey", c.alias("content")), 64).select("o_orderkey", "text")
 
 
