@@ -259,7 +259,7 @@ def test_licenses(spark):
 def test_licenses_by_row_and_by_place(spark):
     short, full = "Released under the MIT License.", dict(enumerate(t for _, t in licenses.TEMPLATES))[3]
     words = full.split()
-    texts = ["nothing here", short, " ".join([short] * 3), " ".join(words[:40] + words[2:9] + words[40:]), " ".join(words[:30] + ["odd", "words"] + words[30:]), short.lower(), full[: len(full) // 4]]
+    texts = ["nothing here", short, " ".join([short] * 3), " ".join(words[:40] + words[2:7] + words[40:]), " ".join(words[:30] + ["odd", "words"] + words[30:]), short.lower(), full[: len(full) // 4], " ".join(words[:40] + words[2:9] + words[40:])]
     rows = [(1, t) for t in texts] + [(1, texts[1]), (None, texts[1]), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = collections.Counter((r.doc_id, r.n_words, r.base_labels, r.labels, round(r.score, 6)) for r in licenses.scan(docs).collect())
