@@ -10,17 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Folders that a case walk skips.
-SKIPPED = (".git", ".hg", ".svn", ".venv", "venv", "node_modules", "__pycache__", ".matter")
+#: Folders that a case walk skips, beside the store folders that the caller names.
+SKIPPED = (".git", ".hg", ".svn", ".venv", "venv", "node_modules", "__pycache__")
 
 
-def case_files(spark: SparkSession, root: str, nested: DataFrame | None = None) -> DataFrame:
+def case_files(spark: SparkSession, root: str, nested: DataFrame | None = None, stores: tuple[str, ...] = ()) -> DataFrame:
     """Files under root: rel_path, bytes, mtime, sha256. Skipped folders and, given their paths (column root), nested
     cases are left out. Bytes are hashed where they are read and don't leave the scan."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace("path", "^.*?" + "\\Q" + root.rstrip("/") + "\\E/", "")
     out = df.select(rel.alias("rel_path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256"))
-    out = out.where(~F.arrays_overlap(F.split("rel_path", "/"), F.array(*[F.lit(x) for x in SKIPPED])))
+    out = out.where(~F.arrays_overlap(F.split("rel_path", "/"), F.array(*[F.lit(x) for x in (*SKIPPED, *stores)])))
     if nested is not None:
         n = nested.select(F.col("root").alias("nested_root"))
         out = out.join(F.broadcast(n), F.col("rel_path").startswith(F.concat("nested_root", F.lit("/"))), "left_anti")  # case folders: few
