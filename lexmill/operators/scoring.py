@@ -29,9 +29,17 @@ def hygiene(misses: DataFrame, preds: DataFrame, most: int = 2) -> DataFrame:
 
 
 def pollution(gold: DataFrame, preds: DataFrame) -> DataFrame:
-    """Predictions that hold a gold text of their document but not its span: the first such gold of each."""
-    g = gold.select("doc", F.col("item_id"), F.col("text").alias("g_text"), F.col("start").alias("g_start"), F.col("end").alias("g_end"))
-    hit = preds.join(g, "doc").where(F.contains("text", F.col("g_text")) & ((F.col("start") != F.col("g_start")) | (F.col("end") != F.col("g_end"))))
+    """Predictions that hold a gold text of their document but not its span: the first such gold of each. A prediction
+    asks with its pieces of the lengths that its document's gold texts have, so rows grow with texts, not with pairs; of
+    each gold text the first items of two spans are enough to answer."""
+    n = F.length("text").alias("n")
+    first = gold.groupBy(*SPAN, "text").agg(F.min("item_id").alias("item_id"))
+    first = first.withColumn("_r", F.row_number().over(Window.partitionBy("doc", "text").orderBy("item_id"))).where("_r <= 2")
+    g = first.select("doc", F.col("text").alias("piece"), F.col("start").alias("g_start"), F.col("end").alias("g_end"), "item_id")
+    sized = preds.join(gold.select("doc", n).distinct(), "doc").where(F.col("n") <= F.length("text"))
+    places = F.sequence(F.lit(1), F.length("text") - F.col("n") + 1)
+    asked = sized.select("pred_id", *SPAN, F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("text"), i, F.col("n"))))).alias("piece"))
+    hit = asked.join(g, ["doc", "piece"]).where((F.col("start") != F.col("g_start")) | (F.col("end") != F.col("g_end")))
     return hit.groupBy("pred_id").agg(F.min("item_id").alias("item_id"))
 
 

@@ -1,6 +1,6 @@
 """All queries of the record engine, gathered from their modules."""
 
-from . import brief, calendar, correspondence, custody, guards, ledgers, machines, rulebooks, scoring, screening, texts, workspace  # noqa: F401
+from . import brief, calendar, correspondence, custody, guards, ledgers, machines, packages, rulebooks, scoring, screening, texts, workspace  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
