@@ -3,7 +3,9 @@
 Texts become frequencies of hashed byte trigrams (square-rooted, unit length). One-versus-one machines first choose
 the language family; one-versus-one machines inside the winning family then choose the language. Each choice goes
 by votes, ties by summed margins, then by name. Machines are fitted on a bounded, documented sample of labelled
-rows: about ``SAMPLE`` for each language, drawn by hash of doc_id. Prediction reads whole texts, in tasks.
+rows: about ``SAMPLE`` different ones for each language, drawn by hash of doc_id and text, so that neither a repeated row
+nor a repeated doc_id can fill or empty it. Each machine is fitted in a task of its own; the driver gets weights and one
+count a label, never rows. Prediction reads whole texts, in tasks. A very long text is read in slices.
 
 Null texts, and texts without a letter, get ``und`` and score 0. Languages that the table of families doesn't name
 are families of their own. With no labelled rows all predictions are ``und``. Only text is used to predict.
@@ -12,11 +14,11 @@ are families of their own. With no labelled rows all predictions are ``und``. On
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,27 +77,17 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0, epochs: int = 12, s
     return w
 
 
+def levels_of(langs: list[str], family: dict[str, str]) -> dict[str, list[str]]:
+    """The classes told apart at each level: families at the top (''), then, under '/' and its name, each family's languages."""
+    kin = {v: family.get(v, v) for v in langs}
+    return {"": sorted(set(kin.values()))} | {f"/{f}": sorted(v for v in langs if kin[v] == f) for f in sorted(set(kin.values()))}
+
+
 class Hierarchy:
     """Family machines, then language machines inside each family."""
 
-    def __init__(self, x: np.ndarray, langs: list[str], family: dict[str, str] | None = None):
-        family = FAMILY if family is None else family
-        kin = np.array([family.get(v, v) for v in langs])
-        names = np.array(langs)
-        self.levels: dict[str, list[str]] = {"": sorted(set(kin))}
-        self.machines: dict[str, list[tuple[int, int, np.ndarray]]] = {"": self._fit(x, kin, self.levels[""])}
-        for f in self.levels[""]:
-            inside = kin == f
-            self.levels[f] = sorted(set(names[inside]))
-            self.machines[f] = self._fit(x[inside], names[inside], self.levels[f])
-
-    @staticmethod
-    def _fit(x: np.ndarray, of: np.ndarray, names: list[str]) -> list[tuple[int, int, np.ndarray]]:
-        found = []
-        for i, j in combinations(range(len(names)), 2):
-            rows = (of == names[i]) | (of == names[j])
-            found.append((i, j, fit_svm(x[rows], np.where(of[rows] == names[i], 1.0, -1.0)).astype(np.float32)))
-        return found
+    def __init__(self, levels: dict[str, list[str]], machines: dict[str, list[tuple[int, int, np.ndarray]]]):
+        self.levels, self.machines = levels, machines
 
     def _choose(self, x: np.ndarray, level: str) -> tuple[np.ndarray, np.ndarray]:
         """Index of the winner and the logistic of its narrowest margin, by row."""
@@ -116,23 +108,25 @@ class Hierarchy:
         for k, f in enumerate(self.levels[""]):
             rows = np.flatnonzero(top == k)
             if len(rows):
-                best, inside = self._choose(x[rows], f)
+                best, inside = self._choose(x[rows], f"/{f}")
                 sure[rows] *= inside
                 for r, b in zip(rows.tolist(), best.tolist(), strict=True):
-                    out[r] = self.levels[f][b]
+                    out[r] = self.levels[f"/{f}"][b]
         return out, sure
 
 
-def train(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, learn: Column | None = None) -> Hierarchy | None:
-    """Fit on about ``sample`` labelled rows of each language among those that ``learn`` admits."""
+def _draw(docs: DataFrame, label: str, sample: int, learn: Column | None) -> tuple[DataFrame | None, list[str]]:
+    """Features of about ``sample`` different labelled rows of each language (doc_id, lang, x), and the languages."""
     from_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(label).cast("string").alias("lang"))
     from_ = from_.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != HELD if learn is None else learn))
-    counts = {r["lang"]: r["n"] for r in from_.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    place = F.xxhash64("doc_id", "text", F.lit(11))
+    counts = {r["lang"]: r["n"] for r in from_.groupBy("lang").agg(F.approx_count_distinct(place, 0.02).alias("n")).collect()}
     if not counts:
-        return None
-    # Each language's share of a million hash values, so that about ``sample`` rows of it are drawn.
-    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(int(min(1.0, sample / n) * 1_000_000)))])
-    drawn = from_.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share[F.col("lang")])
+        return None, []
+    # The highest hash that a language's share of all 64-bit values reaches; a rare language is taken whole.
+    top = {k: (1 << 63) - 1 if n <= sample else int(sample / n * 2**64) - (1 << 63) for k, n in counts.items()}
+    share = F.create_map(*[F.lit(x) for k in sorted(top) for x in (k, top[k])])
+    drawn = from_.where(place <= share[F.col("lang")].cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,11 +135,32 @@ def train(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, learn: Col
                 x = features(c.column(1).cast(pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_pydict({"doc_id": c.column(0), "lang": c.column(2), "x": pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())})
 
-    rows = drawn.mapInArrow(run, "doc_id long, lang string, x binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], zlib.crc32(r["x"])))
-    if not rows:
+    return drawn.mapInArrow(run, "doc_id long, lang string, x binary").distinct(), sorted(counts)
+
+
+def train(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, learn: Column | None = None, family: dict[str, str] | None = None) -> Hierarchy | None:
+    """Fit on about ``sample`` labelled rows of each language among those that ``learn`` admits: a task for each pair of
+    families, or of languages within one. A family's machine reads the samples of all its languages."""
+    family = FAMILY if family is None else family
+    rows, langs = _draw(docs, label, sample, learn)
+    if rows is None:
         return None
-    return Hierarchy(np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32), [r["lang"] for r in rows])
+    levels = levels_of(langs, family)
+    member = [(v, "", family.get(v, v)) for v in langs] + [(v, f"/{family.get(v, v)}", v) for v in langs]
+    asks = [(v, level, i, j, 1.0 if levels[level][i] == own else -1.0) for v, level, own in member for i, j in combinations(range(len(levels[level])), 2) if own in (levels[level][i], levels[level][j])]
+    machines: dict[str, list[tuple[int, int, np.ndarray]]] = {level: [] for level in levels}
+    if asks:
+        pairs = docs.sparkSession.createDataFrame(asks, "lang string, level string, i int, j int, y double")
+
+        def fit(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+            t = t.sort_values(["doc_id", "lang", "x"], kind="stable")
+            x = np.stack([np.frombuffer(b, np.float16) for b in t["x"]]).astype(np.float32)
+            return pd.DataFrame({"level": [key[0]], "i": [key[1]], "j": [key[2]], "w": [fit_svm(x, t["y"].to_numpy()).astype(np.float32).tobytes()]})
+
+        fitted = rows.join(F.broadcast(pairs), "lang").groupBy("level", "i", "j").applyInPandas(fit, "level string, i int, j int, w binary")  # pairs: labels squared at most
+        for r in sorted(fitted.collect(), key=lambda r: (r["level"], r["i"], r["j"])):
+            machines[r["level"]].append((r["i"], r["j"], np.frombuffer(r["w"], np.float32)))
+    return Hierarchy(levels, machines)
 
 
 def predict(docs: DataFrame, model: Hierarchy | None, keep: bool = False) -> DataFrame:
