@@ -63,4 +63,30 @@ FROM d LEFT JOIN bs USING (r) LEFT JOIN by_doc USING (r)
 """)
 
 
-ORACLE = {"op2_substring_dedup": OP2, "op3_suffix_dedup": OP3, "op5_license_scan": op5(), "op6_top_k": OP6}
+
+
+def op13() -> str:
+    """Centroids by rounds: every vector against every centroid."""
+    quoted = "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))"
+    parts = [f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, {quoted} AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+z0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)), e) - 1 AS INTEGER) AS c, e AS z FROM v WHERE vec_id IS NOT NULL
+  QUALIFY row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)), e) <= 40)"""]
+    near = """
+a{0} AS MATERIALIZED (SELECT r, c, d FROM (SELECT r, c, list_sum(list_transform(range(1, 65), lambda i: (e[i] - z[i]) * (e[i] - z[i]))) AS d FROM v, z{0})
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)"""
+    for i in range(5):
+        parts += [near.format(i), f"""
+z{i + 1} AS MATERIALIZED (SELECT c, coalesce(f, z) AS z FROM z{i} LEFT JOIN (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS f
+  FROM (SELECT c, i, sum(e[i]) AS s, count(*) AS n FROM a{i} JOIN v USING (r), range(1, 65) t(i) GROUP BY c, i) GROUP BY c) USING (c))"""]
+    parts.append(near.format(5))
+    return ",".join(parts) + """
+SELECT vec_id, c AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(z, ',')) AS centroid_sha256
+FROM a5 JOIN v USING (r) JOIN z5 USING (c)
+"""
+
+
+ORACLE = {"op2_substring_dedup": OP2, "op3_suffix_dedup": OP3, "op5_license_scan": op5(), "op6_top_k": OP6, "op13_centroids": op13()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licenses, lm, packing, pieces, simhash, substring, suffixes, token_counts, topk
+from . import centroids, decontaminate, langid, licenses, lm, packing, pieces, simhash, substring, suffixes, token_counts, topk
 from .oracle import ORACLE
 
 
@@ -69,6 +69,11 @@ def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode(_docs(spark, sf_dir)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_suffix_dedup, op4_lm_scores, op5_license_scan, op6_top_k, op7_simhash, op8_language_id, op9_token_counts, op10_packing, op12_sentence_pieces)}
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's centroid after five rounds, with its squared distance."""
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_suffix_dedup, op4_lm_scores, op5_license_scan, op6_top_k, op7_simhash, op8_language_id, op9_token_counts, op10_packing, op12_sentence_pieces, op13_centroids)}
 
 __all__ = ["ORACLE", "QUERIES"]
