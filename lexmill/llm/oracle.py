@@ -65,6 +65,24 @@ FROM d LEFT JOIN bs USING (r) LEFT JOIN by_doc USING (r)
 
 
 
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (SELECT lang, unnest(p) AS piece FROM d)),
+g AS (SELECT lang, k, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 6) t(k))),
+f AS MATERIALIZED (SELECT lang, k, array_to_string(g, ' ') AS phrase, any_value(g) AS g, count(*) AS f FROM g GROUP BY lang, k, array_to_string(g, ' ') HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1),
+cut AS (SELECT c.lang, c.phrase, j, a.f AS l, b.f AS r, CAST(1000 AS HUGEINT) * c.f * n.n // (CAST(a.f AS HUGEINT) * b.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN n USING (lang)
+  JOIN f a ON a.lang = c.lang AND a.phrase = array_to_string(c.g[1:j], ' ') JOIN f b ON b.lang = c.lang AND b.phrase = array_to_string(c.g[j + 1:c.k], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (SELECT lang, array_to_string(g[i:i + m - 1], ' ') AS phrase, max(f) AS f FROM (SELECT lang, g, f, m, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 5) t(m) WHERE m < k) GROUP BY 1, 2),
+o AS (SELECT c.lang, c.phrase, c.f AS a, l, r, n.n, score FROM c JOIN best USING (lang, phrase) JOIN n USING (lang) LEFT JOIN inside ON inside.lang = c.lang AND inside.phrase = c.phrase WHERE inside.f IS NULL OR 100 * inside.f < 100 * c.f)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o) WHERE rank <= 2000
+"""
+
+
 def op13() -> str:
     """Centroids by rounds: every vector against every centroid."""
     quoted = "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))"
@@ -89,4 +107,4 @@ FROM a5 JOIN v USING (r) JOIN z5 USING (c)
 """
 
 
-ORACLE = {"op2_substring_dedup": OP2, "op3_suffix_dedup": OP3, "op5_license_scan": op5(), "op6_top_k": OP6, "op13_centroids": op13()}
+ORACLE = {"op2_substring_dedup": OP2, "op3_suffix_dedup": OP3, "op5_license_scan": op5(), "op6_top_k": OP6, "op11_collocations": OP11, "op13_centroids": op13()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, decontaminate, langid, licenses, lm, packing, pieces, simhash, substring, suffixes, token_counts, topk
+from . import centroids, decontaminate, langid, licenses, lm, packing, phrases, pieces, simhash, substring, suffixes, token_counts, topk
 from .oracle import ORACLE
 
 
@@ -64,6 +64,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language by their lowest-scoring cut."""
+    return phrases.collocations(_docs(spark, sf_dir))
+
+
 def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document under the merge-type vocabulary, and what they decode to."""
     return pieces.digests(pieces.encode(_docs(spark, sf_dir)))
@@ -74,6 +79,6 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_suffix_dedup, op4_lm_scores, op5_license_scan, op6_top_k, op7_simhash, op8_language_id, op9_token_counts, op10_packing, op12_sentence_pieces, op13_centroids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_suffix_dedup, op4_lm_scores, op5_license_scan, op6_top_k, op7_simhash, op8_language_id, op9_token_counts, op10_packing, op11_collocations, op12_sentence_pieces, op13_centroids)}
 
 __all__ = ["ORACLE", "QUERIES"]
