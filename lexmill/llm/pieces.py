@@ -4,16 +4,17 @@ A text's spaces become U+2581, one more is put in front, and every character sta
 pairs that form a piece is worked off by score, best first; of equal scores the leftmost pair is merged first. Symbols
 that are no piece become one byte piece for each of their UTF-8 bytes. No piece may hold U+2581 after another
 character, so no merge crosses into a run of U+2581 that follows text: words are encoded one by one and remembered.
-Short words keep their agenda as a list of scores, long ones as a heap.
+A batch's new words are worked off together: those of one length are rows of a matrix whose agenda is a matrix of
+scores. Long words, and those with characters that the vocabulary lacks, keep a heap each.
 
 Decoding joins the pieces' texts, turns U+2581 into spaces, drops the space put in front and the control pieces, and
 reads runs of byte pieces as UTF-8, each byte that fits nowhere as U+FFFD.
 
-Both are held against the sentencepiece library in each Arrow batch; ``agrees`` says for each row whether the library
-has the same ids and the same decoded text.
+Both are held against the sentencepiece library: each Arrow batch gives it the words that are new, many to a text, and ``agrees`` says
+for each row whether it has the same ids and the same decoded text for all its words (tests hold whole texts against it).
 
 Null texts count as empty: the end id alone, which decodes to an empty text. A very long text is worked off like any
-other; a word of over ``LONGEST`` characters is not remembered. Equal scores fall to the left, as said. Repeated rows
+other. Equal scores fall to the left, as said. Repeated rows
 and doc_ids give a row each, a null doc_id stays null, other columns of the caller take no part whatever they are
 called. An empty table gives an empty result.
 """
@@ -34,7 +35,10 @@ from .common import plain_docs, text_batches
 SPACE = "▁"
 #: Text of an Arrow batch that is encoded, checked and sent on together.
 BATCH_BYTES = 2 << 20
-LONGEST = 64
+#: Symbols of a word that is merged in a matrix.
+LONGEST = 48
+#: Words remembered; a batch that would pass it makes the codec forget all before.
+MOST = 200_000
 NONE = float("-inf")
 ENCODED = "doc_id long, n_tokens long, ids array<int>, decoded string, agrees boolean"
 
@@ -45,24 +49,6 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class Words(dict):
-    """What follows a U+2581 -> its ids as 32-bit numbers; forgets everything when it has MOST words."""
-
-    MOST = 200_000
-
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec = codec
-
-    def __missing__(self, word: str) -> bytes:
-        got = np.array(self.codec.symbols_to_ids(self.codec.merged(SPACE + word)), "<i4").tobytes()
-        if len(word) <= LONGEST:
-            if len(self) >= self.MOST:
-                self.clear()
-            self[word] = got
-        return got
-
-
 class Codec:
     """Encoder and decoder for one model file. Files of other kinds (unigram, normalising, without byte pieces,
     with user-defined or unused pieces) are refused."""
@@ -96,29 +82,95 @@ class Codec:
             for i, p in enumerate(spec.pieces)
         ]
         self.opens = {i for i, p in enumerate(spec.pieces) if p.type == kind["NORMAL"] and p.piece.startswith(SPACE)}
-        self.words = Words(self)
+        self.words: dict[str, bytes] = {}
+        self.differ: set[str] = set()  # words for which the library has other ids or another text
+        self._pairs()
+
+    def _pairs(self) -> None:
+        """The pairs that form a piece, by the ids of their halves, and the id of each character that is a piece."""
+        self.char = np.full(0x110000, -1, np.int32)
+        for piece, i in self.id.items():
+            if len(piece) == 1:
+                self.char[ord(piece)] = i
+        halves = [(self.id[p[:j]], self.id[p[j:]], i, self.score[p]) for p, i in self.id.items() for j in range(1, len(p)) if p[:j] in self.id and p[j:] in self.id]
+        halves.sort()
+        self.pair = np.array([a * len(self.raw) + b for a, b, _, _ in halves], np.int64)
+        self.both = np.array([i for *_, i, _ in halves], np.int32)
+        self.worth = np.array([w for *_, w in halves])
+
+    def _look_up(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score and id of the piece that each pair forms; no piece: the least number."""
+        ask = a.astype(np.int64) * len(self.raw) + b
+        at = np.minimum(np.searchsorted(self.pair, ask), len(self.pair) - 1)
+        return np.where(self.pair[at] == ask, self.worth[at], NONE), self.both[at]
+
+    def _matrix(self, s: np.ndarray, rows: np.ndarray, out: list[bytes]) -> None:
+        """Merge the best pair of each row of s until none is left, and put each row's ids into out."""
+        score, both = self._look_up(s[:, :-1], s[:, 1:])
+        while len(rows):
+            at = score.argmax(1) if score.shape[1] else np.zeros(len(rows), np.int64)
+            done = score[np.arange(len(rows)), at] == NONE if score.shape[1] else np.ones(len(rows), bool)
+            if done.any():
+                blob, width = s[done].astype("<i4").tobytes(), 4 * s.shape[1]
+                for j, r in enumerate(rows[done].tolist()):
+                    out[r] = blob[j * width : (j + 1) * width]
+                on = ~done
+                s, rows, at, score, both = s[on], rows[on], at[on], score[on], both[on]
+                if not len(rows):
+                    return
+            each = np.arange(len(rows))
+            s[each, at] = both[each, at]
+            left = np.ones(s.shape, bool)
+            left[each, at + 1] = False
+            s = s[left].reshape(len(rows), -1)
+            left = np.ones(score.shape, bool)
+            left[each, at] = False
+            score, both = (m[left].reshape(len(rows), -1) for m in (score, both))
+            for r, i in ((np.flatnonzero(at > 0), at[at > 0] - 1), (np.flatnonzero(at < score.shape[1]), at[at < score.shape[1]])):
+                score[r, i], both[r, i] = self._look_up(s[r, i], s[r, i + 1])
+
+    def many(self, words: list[str]) -> list[bytes]:
+        """The ids of words, each with U+2581 put in front."""
+        out = [b""] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        chars = self.char[np.frombuffer((SPACE + SPACE.join(words)).encode("utf-32-le"), "<u4")] if words else np.zeros(0, np.int32)
+        first = np.cumsum(size) - size
+        strange = np.add.reduceat(chars < 0, first) > 0 if words else np.zeros(0, bool)
+        slow = strange | (size > LONGEST)
+        for r in np.flatnonzero(slow).tolist():
+            out[r] = np.array(self.symbols_to_ids(self.merged(SPACE + words[r])), "<i4").tobytes()
+        for n in np.unique(size[~slow]).tolist():
+            rows = np.flatnonzero(~slow & (size == n))
+            self._matrix(chars[first[rows][:, None] + np.arange(n)], rows, out)
+        return out
+
+    def learn(self, texts: list[list[str]], lib=None) -> None:
+        """Encode the words of texts that are new, and hold them against the library if one is given."""
+        every = set().union(*texts)
+        if len(self.words) + len(every) > MOST:
+            self.words.clear()
+            self.differ.clear()
+        new = list(every - self.words.keys())
+        self.words.update(zip(new, self.many(new), strict=True))
+        if lib is not None:
+            self._hold(new, lib)
+
+    def _hold(self, words: list[str], lib, group: int = 500) -> None:
+        """Hold words against the library, as texts of many words; where one differs, each of its words by itself."""
+        alone = [w for w in words if w.endswith(SPACE)]  # spaces at a text's end
+        words = [w for w in words if w and not w.endswith(SPACE)]
+        groups = [words[i : i + group] for i in range(0, len(words), group)] + [[w] for w in alone]
+        while groups:
+            # Each word's first space is the one that parts it from the word before, or the one the library puts in front.
+            theirs = lib.encode([" ".join(g).replace(SPACE, " ") for g in groups], num_threads=1)
+            own = [np.frombuffer(b"".join(map(self.words.__getitem__, g)), "<i4").tolist() for g in groups]
+            bad = [g for g, a, b, t in zip(groups, own, theirs, lib.decode(theirs, num_threads=1), strict=True) if a != b or self.decode(a) != t]
+            self.differ.update(g[0] for g in bad if len(g) == 1)
+            groups = [[w] for g in bad if len(g) > 1 for w in g]
 
     def merged(self, s: str) -> list[str]:
         """The symbols of s when no adjacent pair forms a piece any more."""
-        return self._by_list(list(s)) if len(s) <= LONGEST else self._by_heap(list(s))
-
-    def _by_list(self, sym: list[str]) -> list[str]:
-        get = self.score.get
-        agenda = [get(a + b, NONE) for a, b in zip(sym, sym[1:], strict=False)]
-        while agenda:
-            best = max(agenda)
-            if best == NONE:
-                break
-            i = agenda.index(best)
-            sym[i : i + 2] = [sym[i] + sym[i + 1]]
-            del agenda[i]
-            if i:
-                agenda[i - 1] = get(sym[i - 1] + sym[i], NONE)
-            if i < len(agenda):
-                agenda[i] = get(sym[i] + sym[i + 1], NONE)
-        return sym
-
-    def _by_heap(self, sym: list[str]) -> list[str]:
+        sym = list(s)
         n, get = len(sym), self.score.get
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         agenda: list[tuple[float, int, str]] = []
@@ -156,11 +208,10 @@ class Codec:
                 out.append(i)
         return out
 
-    def encode(self, text: str) -> bytes:
-        """The ids of text and the end id, as little-endian 32-bit numbers."""
-        end = self.end_id.to_bytes(4, "little")
+    def parts(self, text: str) -> list[str]:
+        """The words of text, each as what follows its U+2581; none for an empty text."""
         if not text:
-            return end
+            return []
         parts = text.replace(SPACE, " ").split(" ")
         if "" in parts:  # several spaces on end, or one at an end: they stand before the next word, or for themselves
             words, run = [], 0
@@ -171,7 +222,14 @@ class Codec:
                 else:
                     run += 1
             parts = words + ([SPACE * (run - 1)] if run else [])
-        return b"".join(map(self.words.__getitem__, parts)) + end
+        return parts
+
+    def encode(self, texts: list[str], lib=None) -> tuple[list[bytes], list[bool]]:
+        """The ids of texts and the end id, as little-endian 32-bit numbers, and whether the library agrees."""
+        words = [self.parts(t) for t in texts]
+        self.learn(words, lib)
+        end = self.end_id.to_bytes(4, "little")
+        return [b"".join(map(self.words.__getitem__, w)) + end for w in words], [self.differ.isdisjoint(w) for w in words]
 
     def decode(self, ids: list[int]) -> str:
         if any(not 0 <= i < len(self.raw) for i in ids):
@@ -236,15 +294,12 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
         own, lib = codec(path), library(path)
         for ids, texts, rest in text_batches(batches, BATCH_BYTES):
             plain = [t.decode() if t else "" for t in texts]
-            blobs = [own.encode(t) for t in plain]
+            blobs, agrees = own.encode(plain, lib)
             sizes = np.array([len(b) // 4 for b in blobs], np.int64)
             flat = np.frombuffer(b"".join(blobs), "<i4")
             ends = np.cumsum(sizes)
             lists = [a.tolist() for a in np.split(flat, ends[:-1])]
             decoded = [own.decode(x) for x in lists]
-            theirs = lib.encode(plain, add_eos=True, num_threads=1)
-            back = lib.decode(theirs, num_threads=1)
-            agrees = [a == b and c == d for a, b, c, d in zip(lists, theirs, decoded, back, strict=True)]
             offsets = np.concatenate([np.zeros(1, np.int64), ends])
             yield pa.RecordBatch.from_pydict({
                 "doc_id": rest.column(0).combine_chunks(), "n_tokens": pa.array(sizes),

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -39,10 +40,26 @@ def test_encode_and_decode_query(spark, lib):
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
+def ids_of(blob):
+    return np.frombuffer(blob, "<i4").tolist()
+
+
+def test_whole_texts(own, lib):
+    blobs, agrees = own.encode(texts(), lib)
+    assert [ids_of(b) for b in blobs] == lib.encode(texts(), add_eos=True) and all(agrees)
+
+
 def test_both_agendas_agree(own):
-    for t in texts():
-        s = "▁" + t.replace(" ", "▁")
-        assert own._by_list(list(s[:200])) == own._by_heap(list(s[:200]))
+    words = sorted({w for t in texts() for w in own.parts(t)})
+    assert [ids_of(b) for b in own.many(words)] == [own.symbols_to_ids(own.merged("▁" + w)) for w in words]
+
+
+def test_disagreement_is_told(lib):
+    class Other:
+        encode = staticmethod(lambda words, num_threads: [lib.encode(w.replace("fox", "hen")) for w in words])
+        decode = staticmethod(lambda ids, num_threads: lib.decode(ids))
+
+    assert pieces.Codec(pieces.default_model()).encode(["a fox", "a hen", ""], Other)[1] == [False, True, True]
 
 
 def test_decode_any_ids(own, lib):
@@ -60,10 +77,11 @@ def test_decode_frame(spark, lib):
     assert {r.doc_id: r.decoded for r in pieces.decode(df).collect()} == {1: "A fox, née 狐 🦊.", 2: "", 3: None, 4: lib.decode([300, 2])}
 
 
-def test_words_forget(own, lib, monkeypatch):
-    monkeypatch.setattr(pieces.Words, "MOST", 3)
-    t = "one two three four five one two " * 20
-    assert [int.from_bytes(own.encode(t)[i : i + 4], "little") for i in range(0, len(own.encode(t)), 4)] == lib.encode(t, add_eos=True)
+def test_words_forget(lib, monkeypatch):
+    monkeypatch.setattr(pieces, "MOST", 3)
+    own = pieces.Codec(pieces.default_model())
+    for t in ["one two three four five one two " * 20, "one two", "six two"]:
+        assert ids_of(own.encode([t])[0][0]) == lib.encode(t, add_eos=True)
 
 
 def test_empty_table(spark):
