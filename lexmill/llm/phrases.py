@@ -28,18 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop, stage_at
+from .common import U, drop, mix, pack_arrays, stage_at, unpack_arrays
 
 LEAST = 100
 LONGEST = 5
 FIRST = 2000
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 BROADCAST_BYTES = 48 << 20
-#: Different keys that a task holds before it sends their counts on.
-HELD = 400_000
+#: Different words or pairs that a task holds before it sends their counts on.
+HELD = 600_000
+#: Words of the corpus for each bucket of pairs.
+PER_BUCKET = 2_000_000
 #: Parts of a language that are ranked by themselves first.
 PARTS = 64
 SALTS = 16
@@ -102,7 +104,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for lang, texts in by_language(batches):
             counts.setdefault(lang, Counter()).update(tokens(texts))
-            if sum(map(len, counts.values())) >= HELD:
+            if sum(map(len, counts.values())) >= HELD // 2:
                 yield from out()
         yield from out()
 
@@ -187,19 +189,29 @@ def _distinct(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return a[new], b[new], np.diff(np.append(new, len(a))), order
 
 
-def pair_counts(places: DataFrame) -> DataFrame:
-    """left, right, n: the next level's grams, where both their parts are frequent."""
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs and their counts from several such lists, each pair once, sorted."""
+    left, right, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    a, b, many, order = _distinct(left, right)
+    return a, b, np.add.reduceat(n[order], np.cumsum(many) - many) if len(a) else n
+
+
+def pair_counts(places: DataFrame, least: int, buckets: int) -> DataFrame:
+    """left, right, n: the next level's grams that reach the threshold, from places where both their parts are frequent.
+    A task sends its different pairs with their counts, packed, to buckets by hash, each pair from a task once or twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            left, right, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            a, b, many, order = _distinct(left, right)
-            total = np.add.reduceat(n[order], np.cumsum(many) - many) if len(a) else n
+            left, right, n = _merged(held)
             held.clear()
-            return pa.RecordBatch.from_pydict({"left": pa.array(a), "right": pa.array(b), "n": pa.array(total)})
+            bucket = (mix(left.astype(U), right.astype(U)) % U(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            heads = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            blobs = [pack_arrays([x[part] for x in (left, right, n)]) for part in np.split(order, heads[1:])]
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[order][heads], pa.int32()), "blob": pa.array(blobs[: len(heads)], pa.binary())})
 
         for batch in batches:
             for blob in batch.column("ids"):
@@ -208,13 +220,21 @@ def pair_counts(places: DataFrame) -> DataFrame:
                 a, b, n, _ = _distinct(ids[at], ids[at + 1])
                 held.append((a, b, n.astype(np.int64)))
                 size += len(a)
-                if size >= HELD:
-                    yield out()
-                    size = 0
-        if held:
+                if size >= HELD:  # most pairs come again: only what stays different counts
+                    held[:] = [_merged(held)]
+                    size = len(held[0][0])
+                    if size >= HELD // 2:
+                        yield out()
+                        size = 0
+        if size:
             yield out()
 
-    return places.mapInArrow(run, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
+    def add(key: tuple, t: pa.Table) -> pa.Table:
+        left, right, n = _merged([tuple(unpack_arrays(blob)) for blob in t.column("blob").to_pylist()])
+        on = n >= least
+        return pa.table({"left": pa.array(left[on]), "right": pa.array(right[on]), "n": pa.array(n[on])})
+
+    return places.mapInArrow(run, "bucket int, blob binary").groupBy("bucket").applyInArrow(add, "left long, right long, n long")
 
 
 def number_pairs(spark: SparkSession, places: DataFrame, level: DataFrame, small: bool) -> DataFrame:
@@ -285,6 +305,7 @@ def levels(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple
     # Numbers are given out once and written: a retried task can't give others.
     level = put(every.where(F.col("n") >= least).select("lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.monotonically_increasing_id().alias("id"), "n"), "1")
     out = [level]
+    buckets = max(1, (every.agg(F.sum("n").alias("n")).first()["n"] or 0) // PER_BUCKET)
     places, last = None, ""
     for k in range(2, longest + 1):
         # A word takes its bytes and about 150 more in a dictionary, a pair some 50 bytes while it is sorted.
@@ -294,7 +315,7 @@ def levels(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple
         places, path = stage_at(numbered, f"phrases-places-{k - 1}")
         drop(spark, [last] if last else [])
         last = path
-        found = put(pair_counts(places).where(F.col("n") >= least).withColumn("id", F.monotonically_increasing_id()), f"pairs-{k}")
+        found = put(pair_counts(places, least, buckets).withColumn("id", F.monotonically_increasing_id()), f"pairs-{k}")
         before = [f"first{j}" for j in range(1, k - 1)], [f"rest{j}" for j in range(1, k - 1)]
         a = level.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), *before[0], F.col("n").alias(f"first{k - 1}"))
         b = level.select(F.col("id").alias("right"), "last", *before[1], F.col("n").alias(f"rest{k - 1}"))
@@ -305,6 +326,12 @@ def levels(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple
     return out, words, paths
 
 
+def cut_score(left: str, right: str) -> Column:
+    """floor(1000 * n * words / (left * right)), exactly: four numbers of at most 16 digits make decimals of at most 38."""
+    whole = lambda c: f"CAST({c} AS DECIMAL(16,0))"
+    return F.expr(f"({whole('n')} * {whole('words')} * 1000BD) div ({whole(left)} * {whole(right)})")
+
+
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, first: int = FIRST) -> DataFrame:
     """The first phrases of each language by their lowest-scoring cut: lang, rank, phrase, a, l, r, n, score."""
     tables, words, _ = levels(docs, least, longest)
@@ -318,8 +345,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, fi
         level = level.join(F.broadcast(words) if _few(words) else words, "lang")
         cuts = [
             F.struct(
-                F.expr(f"(CAST(n AS DECIMAL(16,0)) * CAST(words AS DECIMAL(16,0)) * 1000BD) div (CAST(first{j} AS DECIMAL(16,0)) * CAST(rest{k - j} AS DECIMAL(16,0)))").alias("score"),
-                F.lit(j).alias("cut"), F.col(f"first{j}").alias("l"), F.col(f"rest{k - j}").alias("r"),
+                cut_score(f"first{j}", f"rest{k - j}").alias("score"), F.lit(j).alias("cut"), F.col(f"first{j}").alias("l"), F.col(f"rest{k - j}").alias("r"),
             )
             for j in range(1, k)
         ]
