@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 #: Names under which several statuses are asked for.
 STATUS_ALIASES = {"open": ["proposed", "approved"], "all": None}
-#: Phrases that a letter to a stranger must not hold.
-UNSAFE_PHRASES = "act now,guaranteed,limited time,no obligation,risk free,see attached evidence".split(",")
+#: Phrases that a letter to a stranger must not hold. The sender's own names and addresses come before
+#: them and are the caller's (``own``).
+UNSAFE_PHRASES = [
+    "start your business", "form your llc", "see attached", "attached please find", "exhibit a", "affidavit excerpt", "i have strong evidence that", "the defendant did the following",
+]
 STALE_DAYS = 90
 
 
@@ -88,11 +91,11 @@ def guessed_email(email: Column, quoted: Column) -> Column:
     return F.when(email.isNotNull() & (F.trim(email) != "") & ~there, "address is not quoted from the source")
 
 
-def unsafe_reason(subject: Column, body: Column, phrases: list[str] | None = None) -> Column:
-    """The first phrase, by place in the list, that a draft must not hold, or 'exhibit' for a numbered exhibit."""
+def unsafe_reason(subject: Column, body: Column, phrases: list[str] | None = None, own: list[str] | None = None) -> Column:
+    """The first phrase, by place in the lists, that a draft must not hold, or 'exhibit' for a numbered exhibit."""
     text = F.lower(F.concat_ws("\n", subject, body))
-    phrases = UNSAFE_PHRASES if phrases is None else phrases
-    return F.coalesce(*[F.when(F.contains(text, F.lit(p)), p) for p in phrases], F.when(text.rlike(r"\bexhibits? +([0-9]+|[a-z])\b"), "exhibit"))
+    every = [*(own or []), *(UNSAFE_PHRASES if phrases is None else phrases)]
+    return F.coalesce(*[F.when(F.contains(text, F.lit(p.lower())), p) for p in every], F.when(text.rlike(r"\bexhibit\s+[0-9]+\b"), "exhibit"))
 
 
 def stale(retrieved_at: Column, today: Column, most: int = STALE_DAYS) -> Column:

@@ -81,12 +81,20 @@ def email_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", C.guessed_email(mail, F.when(m == 0, _text("write to kim", F.col("c_custkey"), "@LAW.org now"))).alias("refused"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN 'act now' WHEN 2 THEN 'exhibit' END AS reason FROM orders")
+#: Bodies of letters and why each is refused.
+_LETTERS = [
+    ("We write to ask.", None), ("You can START your Business here", "start your business"), ("or form your LLC today", "form your llc"), ("See attached.", "see attached"), ("Attached please find it", "attached please find"),
+    ("It is in Exhibit A, exhibit 4", "exhibit a"), ("an affidavit excerpt", "affidavit excerpt"), ("I have strong evidence that he did", "i have strong evidence that"), ("The defendant did the following:", "the defendant did the following"),
+    ("See Exhibit  12 there", "exhibit"), ("an exhibit of art; exhibit b", None), ("no exhibits 4", None), ("Write to ACME.example", "acme.example"),
+]
+_REFUSED = ", ".join(f"({i}, {f"'{v}'" if v else 'NULL'})" for i, (_, v) in enumerate(_LETTERS))
+
+
+@query(f"SELECT o_orderkey, v AS reason FROM orders JOIN (VALUES {_REFUSED}) t(m, v) ON o_orderkey % {len(_LETTERS)} = m")
 def unsafe_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters with phrases or exhibits that they must not hold."""
-    m = _key() % 4
-    body = F.when(m == 1, "Please ACT NOW, guaranteed").when(m == 2, "See Exhibit 4 there").when(m == 3, "an exhibit of art").otherwise("We write to ask.")
-    return _orders(spark, sf_dir).select("o_orderkey", C.unsafe_reason(F.lit("Notice"), body).alias("reason"))
+    body = F.element_at(F.array(*[F.lit(x) for x, _ in _LETTERS]), (_key() % len(_LETTERS) + 1).cast("int"))
+    return _orders(spark, sf_dir).select("o_orderkey", C.unsafe_reason(F.lit("Notice"), body, own=["acme.example"]).alias("reason"))
 
 
 @query("SELECT event_id, event_id % 5 = 0 OR date_diff('day', CAST(ts AS DATE), DATE '2024-04-10') > 90 AS stale FROM events")

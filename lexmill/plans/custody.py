@@ -28,6 +28,18 @@ def custody_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     return custody.register(_files(spark, sf_dir)).groupBy("kind", "outcome").agg(F.count("*").alias("files"))
 
 
+@query("""
+WITH f AS (SELECT 'p' || (o_custkey % 500) AS p, 'h' || (o_orderkey % 700) AS h, o_orderkey AS k FROM orders), d AS (SELECT DISTINCT p, h FROM f),
+a AS (SELECT p, min(h) AS h FROM d GROUP BY 1), b AS (SELECT min(p) AS p, h FROM a GROUP BY h)
+SELECT p AS rel_path, h AS sha256, count(*) AS n, count(*) FILTER (WHERE outcome = 'added') AS added FROM (
+  SELECT f.p, f.h, CASE WHEN b.p IS NOT NULL AND row_number() OVER (PARTITION BY f.p, f.h ORDER BY k) = 1 THEN 'added' ELSE 'skipped' END AS outcome FROM f LEFT JOIN b ON f.p = b.p AND f.h = b.h) GROUP BY 1, 2
+""")
+def custody_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One batch in which paths come with several hashes and hashes with several paths: each is added once."""
+    f = table(spark, sf_dir, "orders").select(F.concat(F.lit("p"), (F.col("o_custkey") % 500).cast("string")).alias("rel_path"), F.concat(F.lit("h"), (F.col("o_orderkey") % 700).cast("string")).alias("sha256"))
+    return custody.register(f).groupBy("rel_path", "sha256").agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "added").alias("added"))
+
+
 @query("""
 SELECT CASE WHEN doc_id % 17 = 1 THEN 'MISSING' WHEN doc_id % 17 = 2 THEN 'CHANGED' ELSE 'ok' END AS verdict, count(*) AS files
 FROM documents GROUP BY 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -35,6 +36,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read again: cuts the lineage of loops and survives lost executors. A local
+    session that names no folder gets a temporary one; a cluster must name one that driver and executors share."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", "") or ""
+        if not where:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            where = tempfile.mkdtemp(prefix="lexmill-")
+        sc.setCheckpointDir(where)
+    return df.checkpoint()
+
+
 _SHIPPED: set[str] = set()
 
 
