@@ -5,7 +5,7 @@ pairs that form a piece is worked off by score, best first; of equal scores the
 that are no piece become one byte piece for each of their UTF-8 bytes. No piece may hold U+2581 after another
 character, so no merge crosses into a run of U+2581 that follows text: words are encoded one by one and remembered.
 A batch's new words are worked off together: those of one length are rows of a matrix whose agenda is a matrix of
-scores. Long words, and those with characters that the vocabulary lacks, keep a heap each.
+scores. A long word keeps a heap of its own.
 
 Decoding joins the pieces' texts, turns U+2581 into spaces, drops the space put in front and the control pieces, and
 reads runs of byte pieces as UTF-8, each byte that fits nowhere as U+FFFD.
@@ -39,6 +39,8 @@ BATCH_BYTES = 2 << 20
 LONGEST = 48
 #: Words remembered; a batch that would pass it makes the codec forget all before.
 MOST = 200_000
+#: Ids whose bytes are gathered together.
+GATHERED = 500_000
 NONE = float("-inf")
 ENCODED = "doc_id long, n_tokens long, ids array<int>, decoded string, agrees boolean"
 
@@ -75,32 +77,36 @@ class Codec:
         if len(self.byte_id) != 256:
             raise ValueError(f"a vocabulary without byte pieces: {path}")
         self.end_id = train.eos_id
-        self.control = {i for i, p in enumerate(spec.pieces) if p.type == kind["CONTROL"]}
         shown = {i: train.unk_surface for i, p in enumerate(spec.pieces) if p.type == kind["UNKNOWN"]}
         self.raw = [
-            bytes([self.value[i]]) if i in self.value else b"" if i in self.control else shown.get(i, p.piece.replace(SPACE, " ")).encode()
+            bytes([self.value[i]]) if i in self.value else b"" if p.type == kind["CONTROL"] else shown.get(i, p.piece.replace(SPACE, " ")).encode()
             for i, p in enumerate(spec.pieces)
         ]
-        self.opens = {i for i, p in enumerate(spec.pieces) if p.type == kind["NORMAL"] and p.piece.startswith(SPACE)}
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.raw_size = np.array([len(r) for r in self.raw], np.int64)
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
+        self.is_control = np.array([p.type == kind["CONTROL"] for p in spec.pieces])
+        self.opens = np.array([p.type == kind["NORMAL"] and p.piece.startswith(SPACE) for p in spec.pieces])
         self.words: dict[str, bytes] = {}
         self.differ: set[str] = set()  # words for which the library has other ids or another text
         self._pairs()
 
     def _pairs(self) -> None:
         """The pairs that form a piece, by the ids of their halves, and the id of each character that is a piece."""
-        self.char = np.full(0x110000, -1, np.int32)
+        self.char = np.full(0x110000, len(self.raw), np.int32)  # a character that is no piece: an id past all others
         for piece, i in self.id.items():
             if len(piece) == 1:
                 self.char[ord(piece)] = i
         halves = [(self.id[p[:j]], self.id[p[j:]], i, self.score[p]) for p, i in self.id.items() for j in range(1, len(p)) if p[:j] in self.id and p[j:] in self.id]
         halves.sort()
-        self.pair = np.array([a * len(self.raw) + b for a, b, _, _ in halves], np.int64)
+        self.wide = len(self.raw) + 1
+        self.pair = np.array([a * self.wide + b for a, b, _, _ in halves], np.int64)
         self.both = np.array([i for *_, i, _ in halves], np.int32)
         self.worth = np.array([w for *_, w in halves])
 
     def _look_up(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Score and id of the piece that each pair forms; no piece: the least number."""
-        ask = a.astype(np.int64) * len(self.raw) + b
+        ask = a.astype(np.int64) * self.wide + b
         at = np.minimum(np.searchsorted(self.pair, ask), len(self.pair) - 1)
         return np.where(self.pair[at] == ask, self.worth[at], NONE), self.both[at]
 
@@ -135,13 +141,18 @@ class Codec:
         size = np.fromiter(map(len, words), np.int64, len(words)) + 1
         chars = self.char[np.frombuffer((SPACE + SPACE.join(words)).encode("utf-32-le"), "<u4")] if words else np.zeros(0, np.int32)
         first = np.cumsum(size) - size
-        strange = np.add.reduceat(chars < 0, first) > 0 if words else np.zeros(0, bool)
-        slow = strange | (size > LONGEST)
+        unknown = chars == len(self.raw)
+        strange = np.add.reduceat(unknown, first) > 0 if words else np.zeros(0, bool)
+        slow = size > LONGEST
         for r in np.flatnonzero(slow).tolist():
             out[r] = np.array(self.symbols_to_ids(self.merged(SPACE + words[r])), "<i4").tobytes()
         for n in np.unique(size[~slow]).tolist():
             rows = np.flatnonzero(~slow & (size == n))
             self._matrix(chars[first[rows][:, None] + np.arange(n)], rows, out)
+        for r in np.flatnonzero(strange & ~slow).tolist():  # the bytes of characters that are no piece
+            lost = iter([c for c, u in zip(SPACE + words[r], unknown[first[r] : first[r] + size[r]].tolist(), strict=True) if u])
+            ids = [i for x in np.frombuffer(out[r], "<i4").tolist() for i in ([x] if x < len(self.raw) else [self.byte_id[b] for b in next(lost).encode()])]
+            out[r] = np.array(ids, "<i4").tobytes()
         return out
 
     def learn(self, texts: list[list[str]], lib=None) -> None:
@@ -163,8 +174,9 @@ class Codec:
         while groups:
             # Each word's first space is the one that parts it from the word before, or the one the library puts in front.
             theirs = lib.encode([" ".join(g).replace(SPACE, " ") for g in groups], num_threads=1)
-            own = [np.frombuffer(b"".join(map(self.words.__getitem__, g)), "<i4").tolist() for g in groups]
-            bad = [g for g, a, b, t in zip(groups, own, theirs, lib.decode(theirs, num_threads=1), strict=True) if a != b or self.decode(a) != t]
+            own = [np.frombuffer(b"".join(map(self.words.__getitem__, g)), "<i4") for g in groups]
+            texts = self.decode_many(np.concatenate(own), np.cumsum([len(a) for a in own]))
+            bad = [g for g, a, b, t, u in zip(groups, own, theirs, texts, lib.decode(theirs, num_threads=1), strict=True) if a.tolist() != b or t != u]
             self.differ.update(g[0] for g in bad if len(g) == 1)
             groups = [[w] for g in bad if len(g) > 1 for w in g]
 
@@ -232,16 +244,36 @@ class Codec:
         return [b"".join(map(self.words.__getitem__, w)) + end for w in words], [self.differ.isdisjoint(w) for w in words]
 
     def decode(self, ids: list[int]) -> str:
-        if any(not 0 <= i < len(self.raw) for i in ids):
+        return self.decode_many(np.array(ids, np.int64), np.array([len(ids)]))[0]
+
+    def decode_many(self, flat: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of lists of ids, given on end. The pieces' bytes are gathered for all of them at once; a list whose
+        bytes are no UTF-8, or that holds control pieces elsewhere than at its end, is decoded by itself."""
+        if len(flat) and not (flat.min() >= 0 and flat.max() < len(self.raw)):
             raise ValueError("an id that the vocabulary lacks")
-        first = next((i for i in ids if i not in self.control), None)
-        skip = 1 if first in self.opens else 0
-        if self.control.isdisjoint(ids[:-1]):  # a control piece between bytes parts them
-            try:
-                return b"".join(map(self.raw.__getitem__, ids))[skip:].decode()
-            except UnicodeDecodeError:
-                pass
-        return self._decode_bytes(ids)[skip:]
+        size = self.raw_size[flat]
+        at = np.cumsum(size)
+        data = b"".join(self._gathered(flat[i : i + GATHERED]) for i in range(0, len(flat), GATHERED))
+        starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
+        edges = np.concatenate([np.zeros(1, np.int64), at])
+        controls = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.is_control[flat])])
+        out = []
+        for a, b, x, y, k in zip(starts.tolist(), ends.tolist(), edges[starts].tolist(), edges[ends].tolist(), (controls[ends] - controls[starts]).tolist(), strict=True):
+            if k <= 1 and (not k or self.is_control[flat[b - 1]]):
+                try:
+                    out.append(data[x + (a < b and bool(self.opens[flat[a]])) : y].decode())
+                    continue
+                except UnicodeDecodeError:
+                    pass
+            ids = flat[a:b].tolist()
+            first = next((i for i in ids if not self.is_control[i]), None)
+            out.append(self._decode_bytes(ids)[1 if first is not None and self.opens[first] else 0 :])
+        return out
+
+    def _gathered(self, flat: np.ndarray) -> bytes:
+        size = self.raw_size[flat]
+        at = np.cumsum(size)
+        return self.raw_bytes[np.repeat(self.raw_start[flat] - at + size, size) + np.arange(at[-1])].tobytes()
 
     def _decode_bytes(self, ids: list[int]) -> str:
         """Byte pieces that are no UTF-8 among them: each such byte is U+FFFD by itself."""
@@ -298,8 +330,7 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
             sizes = np.array([len(b) // 4 for b in blobs], np.int64)
             flat = np.frombuffer(b"".join(blobs), "<i4")
             ends = np.cumsum(sizes)
-            lists = [a.tolist() for a in np.split(flat, ends[:-1])]
-            decoded = [own.decode(x) for x in lists]
+            decoded = own.decode_many(flat, ends)
             offsets = np.concatenate([np.zeros(1, np.int64), ends])
             yield pa.RecordBatch.from_pydict({
                 "doc_id": rest.column(0).combine_chunks(), "n_tokens": pa.array(sizes),
