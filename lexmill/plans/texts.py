@@ -46,13 +46,14 @@ def record_cites(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     t = F.concat(F.lit("As pleaded, ECF No. "), (k % 90 + 1).cast("string"), F.when(k % 2 == 0, F.concat(F.lit(" at "), (F.col("o_custkey") % 40 + 1).cast("string"))).otherwise(""), F.lit(", so."))
     o = brief.record_cites(table(spark, sf_dir, "orders").select("o_orderkey", t.alias("text")), "text", ["o_orderkey"])
-    return o.select("o_orderkey", F.col("words").alias("kw"), F.array_join("entries", ",").alias("nums"), "pin")
+    return o.select("o_orderkey", F.regexp_extract("raw", r"^(.*?) [0-9]", 1).alias("kw"), F.array_join("entries", ",").alias("nums"), "pin")
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '“([^”]{1,1000})”|\"([^\"\\n]{1,1000})\"')) AS n FROM documents WHERE len(regexp_extract_all(text, '“([^”]{1,1000})”|\"([^\"\\n]{1,1000})\"')) > 0")
+@query("SELECT doc_id, len(q) AS n, list_sum(list_transform(q, lambda x: len(x) - 2)) AS chars FROM (SELECT doc_id, regexp_extract_all(text, '“[^”]{1,750}[^”]{0,750}”|\"[^\"\\n]{1,750}[^\"\\n]{0,750}\"') AS q FROM documents) WHERE len(q) > 0")
 def quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotations in documents. (The SQL engine's patterns repeat at most 1,000 times; none here is longer.)"""
-    return quotes.quotations(table(spark, sf_dir, "documents"), "text", ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n"))
+    """Quotations in documents, of 1 to 1,500 characters."""
+    q = quotes.quotations(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    return q.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("quote")).alias("chars"))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -259,11 +259,11 @@ def test_query_equals_sql(spark, name):
 
 
 def test_brief_units_and_binding(spark):
-    from lexmill.operators import brief
+    from lexmill.operators import authorities, brief
 
     t = "# Background\n\nHe left. See ECF No. 4 at 2.\n\n## Argument of fact\n\nStill open.\n\n# Argument\n\nClosed now."
-    assert [(t[a:b], h, f) for a, b, h, f in brief.unit_spans(t)] == [
-        ("# Background", True, False), ("He left.", False, True), ("See ECF No. 4 at 2.", False, True), ("## Argument of fact", True, False),
+    assert [(u["sentence"], u["heading"], u["fact_section"]) for u in brief.read_draft(t, authorities.Names())] == [
+        ("# Background", True, False), ("He left. See ECF No. 4 at 2.", False, True), ("## Argument of fact", True, False),
         ("Still open.", False, True), ("# Argument", True, False), ("Closed now.", False, False),
     ]
     d = spark.createDataFrame([("d", "c", "Held, 550 U.S. at 5, 550 U.S. 544 (2007). Id. at 7. Under Rule 12(b) and Fed. R. Crim. P. 12. Rule 12. ECF No. 3. Id.")], "draft_id string, case_id string, text string")
