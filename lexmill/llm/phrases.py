@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U, drop, mix, pack_arrays, stage_at, unpack_arrays
+from .common import U, drop, mix, narrow, pack_arrays, stage_at, unpack_arrays, widen
 
 LEAST = 100
 LONGEST = 5
@@ -112,7 +112,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _blob(ids: np.ndarray, block: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary())})
+    """A block's places: numbers from 0 for none, in as few bytes as the largest needs, compressed. Readers take thousands
+    of rows at a time, so a row must stay small."""
+    top = int(ids.max(initial=-1)) + 1
+    width = next(w for w in (1, 2, 3, 4, 5, 6, 7, 8) if top < 1 << (8 * w))
+    blob = pack_arrays([np.array([width], np.int64), narrow((ids + 1).astype(U), width)])
+    return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "ids": pa.array([blob], pa.binary())})
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    for b in batches:
+        for block, blob in zip(b.column("block"), b.column("ids"), strict=True):
+            width, ids = unpack_arrays(blob.as_py())
+            yield block.as_py(), widen(ids, int(width[0])).astype(np.int64) - 1
 
 
 def _block_ids() -> Iterator[int]:
@@ -213,19 +225,17 @@ def pair_counts(places: DataFrame, least: int, buckets: int) -> DataFrame:
             blobs = [pack_arrays([x[part] for x in (left, right, n)]) for part in np.split(order, heads[1:])]
             return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[order][heads], pa.int32()), "blob": pa.array(blobs[: len(heads)], pa.binary())})
 
-        for batch in batches:
-            for blob in batch.column("ids"):
-                ids = np.frombuffer(blob.as_py(), "<i8")
-                at = _pairs(ids)
-                a, b, n, _ = _distinct(ids[at], ids[at + 1])
-                held.append((a, b, n.astype(np.int64)))
-                size += len(a)
-                if size >= HELD:  # most pairs come again: only what stays different counts
-                    held[:] = [_merged(held)]
-                    size = len(held[0][0])
-                    if size >= HELD // 2:
-                        yield out()
-                        size = 0
+        for _, ids in _blocks(batches):
+            at = _pairs(ids)
+            a, b, n, _ = _distinct(ids[at], ids[at + 1])
+            held.append((a, b, n.astype(np.int64)))
+            size += len(a)
+            if size >= HELD:  # most pairs come again: only what stays different counts
+                held[:] = [_merged(held)]
+                size = len(held[0][0])
+                if size >= HELD // 2:
+                    yield out()
+                    size = 0
         if size:
             yield out()
 
@@ -250,33 +260,29 @@ def number_pairs(spark: SparkSession, places: DataFrame, level: DataFrame, small
             lefts, rights = np.unique(a), np.unique(b)
             # The pair as one number, by the places of its parts among all: sorted as the pairs are.
             keys = np.searchsorted(lefts, a) * len(rights) + np.searchsorted(rights, b)
-            for batch in batches:
-                for block, blob in zip(batch.column("block").to_pylist(), batch.column("ids"), strict=True):
-                    ids = np.frombuffer(blob.as_py(), "<i8")
-                    out = np.full(len(ids), -1, np.int64)
-                    at = _pairs(ids)
-                    if len(at) and len(keys):
-                        x, y = (np.minimum(np.searchsorted(part, ids[p]), len(part) - 1) for part, p in ((lefts, at), (rights, at + 1)))
-                        ask = x * len(rights) + y
-                        place = np.minimum(np.searchsorted(keys, ask), len(keys) - 1)
-                        hit = (keys[place] == ask) & (lefts[x] == ids[at]) & (rights[y] == ids[at + 1])
-                        out[at[hit]] = number[place[hit]]
-                    if (out >= 0).any():
-                        yield _blob(out, block)
+            for block, ids in _blocks(batches):
+                out = np.full(len(ids), -1, np.int64)
+                at = _pairs(ids)
+                if len(at) and len(keys):
+                    x, y = (np.minimum(np.searchsorted(part, ids[p]), len(part) - 1) for part, p in ((lefts, at), (rights, at + 1)))
+                    ask = x * len(rights) + y
+                    place = np.minimum(np.searchsorted(keys, ask), len(keys) - 1)
+                    hit = (keys[place] == ask) & (lefts[x] == ids[at]) & (rights[y] == ids[at + 1])
+                    out[at[hit]] = number[place[hit]]
+                if (out >= 0).any():
+                    yield _blob(out, block)
 
         return places.mapInArrow(run, PLACES)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, blob in zip(batch.column("block").to_pylist(), batch.column("ids"), strict=True):
-                ids = np.frombuffer(blob.as_py(), "<i8")
-                at = _pairs(ids)
-                a, b, n, order = _distinct(ids[at], ids[at + 1])
-                spots = np.split(at[order], np.cumsum(n)[:-1])
-                yield pa.RecordBatch.from_pydict({
-                    "block": pa.array([block] * len(a), pa.int64()), "size": pa.array([len(ids)] * len(a), pa.int64()), "left": pa.array(a), "right": pa.array(b),
-                    "places": pa.array([s.astype("<i4").tobytes() for s in spots[: len(a)]], pa.binary()),
-                })
+        for block, ids in _blocks(batches):
+            at = _pairs(ids)
+            a, b, n, order = _distinct(ids[at], ids[at + 1])
+            spots = np.split(at[order], np.cumsum(n)[:-1])
+            yield pa.RecordBatch.from_pydict({
+                "block": pa.array([block] * len(a), pa.int64()), "size": pa.array([len(ids)] * len(a), pa.int64()), "left": pa.array(a), "right": pa.array(b),
+                "places": pa.array([s.astype("<i4").tobytes() for s in spots[: len(a)]], pa.binary()),
+            })
 
     def put(key: tuple, t: pa.Table) -> pa.Table:
         ids = np.full(t.column("size")[0].as_py(), -1, np.int64)
