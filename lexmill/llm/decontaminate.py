@@ -10,6 +10,11 @@ step and word), which map edit distance to Hamming distance; bit sampling keeps
 walks agrees with the piece's embedding. The number of walks follows from ``RECALL``. What remains is verified
 exactly by a bit-parallel search that gives the least edit distance of the item within the window's surroundings.
 
+Where a run stands several times in a piece, as in a table or a chorus, its windows are taken as an interval of
+starts; intervals of neighbouring places are joined at once, and one wider than ``WIDE`` is verified without samples. So
+the work grows with the words of a text times the pieces that hold its runs, not with the pairs of equal runs. Of several
+best places of an item in a text the first counts.
+
 The items go to the tasks as a broadcast of at most ``BLOCK_BYTES``; a larger benchmark is taken in blocks of that
 size, one scan each. Null texts and items, and items without words, match nothing. Repeated rows
 match each on their own. Empty tables give empty results; other columns may have any names.
@@ -41,8 +46,12 @@ WALKS = math.ceil(math.log(1 - RECALL) / math.log(1 - CATCH))
 BLOCK_BYTES = 32 << 20
 #: Bytes of an item's piece and of each word.
 PIECE_BYTES, WORD_BYTES = 2 * WALKS * SAMPLES * POSITIONS + 40, 32
-#: Windows that are walked at once.
-ROWS = 8192
+#: Windows that are walked at once; places of runs that are looked at together.
+ROWS, PAIRS = 8192, 500_000
+#: Starts on end that are walked one by one; more are verified as a whole.
+WIDE = 256
+#: Places of a run in a piece that are at most so far apart make one interval.
+GAP = 8
 GRAM = 3
 SEED = 20
 
@@ -84,7 +93,8 @@ def walk_words(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first:
 
 @dataclass
 class Items:
-    """Items of one scan: ids, words on end, their pieces, and for each length of run the sorted runs with piece and place.
+    """Items of one scan: ids, words on end, their pieces, and for each length of run the sorted runs, each with a piece and its
+    first and last place there.
 
     Of an embedding only the sampled steps are kept, with the places in the piece where the walk stands then."""
 
@@ -95,7 +105,7 @@ class Items:
     of_piece: np.ndarray  # item of each piece
     piece_starts: np.ndarray
     piece_sizes: np.ndarray
-    runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     samples: np.ndarray  # piece, walk, sample, position: step
     places: np.ndarray  # the same: place in the piece
 
@@ -119,10 +129,14 @@ class Items:
         for length, found in by_run.items():
             lists = [run_hashes(words[first[j] : first[j] + size[j]], length) for j in found]
             h = np.concatenate(lists)
-            order = np.argsort(h, kind="stable")
             piece = np.repeat(np.array(found, np.int32), [len(x) for x in lists])
             place = np.concatenate([np.arange(len(x), dtype=np.int32) for x in lists])
-            runs[length] = (h[order], piece[order], place[order])
+            order = np.lexsort((place, piece, h))
+            h, piece, place = h[order], piece[order], place[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (piece[1:] != piece[:-1]) | (np.diff(place) > GAP)
+            head = np.flatnonzero(new)
+            runs[length] = (h[head], piece[head], place[head], place[np.append(head[1:], len(h)) - 1])
         rng = np.random.default_rng(SEED)
         samples = np.empty((len(size), WALKS, SAMPLES, POSITIONS), np.uint8)
         places = np.empty_like(samples)
@@ -147,7 +161,8 @@ class Items:
 
 
 class LongMask:
-    """The places of each word of a long item; a word's bits are set when it is asked for, since all together grow with the square."""
+    """The places of each word of a long item. A word's bits are set when it is asked for, since all together grow with the
+    square; those of words with more places than the root of the item's length are kept, of which there are at most as many."""
 
     LEAST = 4096
 
@@ -156,14 +171,21 @@ class LongMask:
         for p, w in enumerate(words):
             self.at.setdefault(w, []).append(p)
         self.bytes = len(words) // 8 + 1
+        self.common = math.isqrt(len(words))
+        self.kept: dict[int, int] = {}
 
     def get(self, word: int, other: int) -> int:
         if word not in self.at:
             return other
+        if word in self.kept:
+            return self.kept[word]
         bits = bytearray(self.bytes)
         for p in self.at[word]:
             bits[p >> 3] |= 1 << (p & 7)
-        return int.from_bytes(bits, "little")
+        found = int.from_bytes(bits, "little")
+        if len(self.at[word]) > self.common:
+            self.kept[word] = found
+        return found
 
 
 def best_match(mask: dict[int, int] | LongMask, n: int, text: list[int]) -> tuple[int, int]:
@@ -200,45 +222,32 @@ def matches(text: str | None, items: Items, similarity: float = SIMILARITY) -> l
 
 def _search(h: np.ndarray, bounds: np.ndarray, items: Items, similarity: float, sampled: bool = True) -> dict[int, list[tuple[int, int, int, int]]]:
     """Leaks in documents laid end to end; bounds[i]:bounds[i+1] is document i. Unless sampled, every window is verified."""
-    found_d, found_s, found_j = [], [], []
-    for k, (runs, piece, place) in items.runs.items():
-        g = run_hashes(h, k) if k > 1 else h
-        # A small table of bits first: most places hold no run of any item.
-        size = 1 << max(16, int(len(runs)).bit_length() + 6)
-        table = np.zeros(size, bool)
-        table[(runs & U(size - 1)).astype(np.int64)] = True
-        p = np.flatnonzero(table[(g & U(size - 1)).astype(np.int64)])
-        lo, hi = np.searchsorted(runs, g[p], "left"), np.searchsorted(runs, g[p], "right")
-        n = hi - lo
-        r = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        p = np.repeat(p, n)
-        found_d.append(np.searchsorted(bounds, p, "right") - 1)
-        found_s.append(p - place[r])
-        found_j.append(piece[r].astype(np.int64))
-    d, s, j = (np.concatenate(x) for x in (found_d, found_s, found_j))
-    if not len(s):
+    parts = [x for k, runs in items.runs.items() for x in _intervals(h, k, bounds, *runs)]
+    if not parts:
         return {}
-    # A window may begin before its document or end after it: the words that it lacks there are edits.
-    span = int(np.diff(bounds).max()) + PIECE
-    code = np.unique((d * span + s - bounds[d] + PIECE) * len(items.piece_sizes) + j)
-    at, j = code // len(items.piece_sizes), code % len(items.piece_sizes)
-    d = at // span
-    s = at % span - PIECE + bounds[d]
+    d, j, s, upto = _joined(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    wide = upto - s >= WIDE
+    several = [x[wide] for x in (d, j, s, upto)]
+    d, j, s, upto = (x[~wide] for x in (d, j, s, upto))
+    n = upto - s + 1
+    s = np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    d, j = np.repeat(d, n), np.repeat(j, n)
     ok = np.ones(len(s), bool)
     if sampled:
         for at in range(0, len(s), ROWS):
             b = slice(at, at + ROWS)
             ok[b] = _passes(h, s[b], bounds[d[b]], bounds[d[b] + 1], j[b], items)
-    s, d, j = s[ok], d[ok], j[ok]
+    d, j, s, upto = (np.concatenate([x, y]) for x, y in zip((d[ok], j[ok], s[ok], s[ok]), several, strict=True))
     i = items.of_piece[j]
-    s = s - (items.piece_starts[j] - items.starts[i])  # where the whole item would begin
-    order = np.lexsort((s, i, d))
+    lead = items.piece_starts[j] - items.starts[i]
+    # Where the whole item would begin; pieces that agree on it, or on starts next to it, are verified together.
+    d, i, s, upto = _joined(d, i, s - lead, upto - lead)
     out: dict[int, dict[int, tuple[int, int, int]]] = {}
     done, mask = (-1, -1, -1), None  # document and item at hand, and up to where it has been searched
-    for d_, i_, a in zip(d[order].tolist(), i[order].tolist(), s[order].tolist(), strict=True):
+    for d_, i_, a, z in zip(d.tolist(), i.tolist(), s.tolist(), upto.tolist(), strict=True):
         n = int(items.sizes[i_])
         e = edits(n, similarity)
-        lo, hi = max(int(bounds[d_]), a - e), min(int(bounds[d_ + 1]), a + n + e)
+        lo, hi = max(int(bounds[d_]), a - e), min(int(bounds[d_ + 1]), z + n + e)
         if done[:2] != (d_, i_):
             mask = items.mask(i_)
         elif done[2] >= hi:
@@ -250,6 +259,43 @@ def _search(h: np.ndarray, bounds: np.ndarray, items: Items, similarity: float,
     return {d_: [(i_, *v) for i_, v in sorted(x.items())] for d_, x in out.items() if x}
 
 
+def _intervals(h: np.ndarray, k: int, bounds: np.ndarray, runs: np.ndarray, piece: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(document, piece, first start, last start) of windows on the diagonals of shared runs, some places at a time, joined.
+    A window may begin before its document or end after it: the words that it lacks there are edits."""
+    g = run_hashes(h, k) if k > 1 else h
+    # A small table of bits first: most places hold no run of any item.
+    size = 1 << max(16, int(len(runs)).bit_length() + 6)
+    table = np.zeros(size, bool)
+    table[(runs & U(size - 1)).astype(np.int64)] = True
+    p = np.flatnonzero(table[(g & U(size - 1)).astype(np.int64)])
+    lo, hi = np.searchsorted(runs, g[p], "left"), np.searchsorted(runs, g[p], "right")
+    p, lo, hi = (x[hi > lo] for x in (p, lo, hi))
+    ends = np.cumsum(hi - lo)
+    at = 0
+    while at < len(p):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        n = hi[at:to] - lo[at:to]
+        r = np.repeat(lo[at:to], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        q = np.repeat(p[at:to], n)
+        yield _joined(np.searchsorted(bounds, q, "right") - 1, piece[r].astype(np.int64), q - last[r], q - first[r])
+        at = to
+
+
+def _joined(d: np.ndarray, j: np.ndarray, s: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Intervals of one document and piece that touch or overlap, as one."""
+    if not len(d):
+        return d, j, s, upto
+    order = np.lexsort((s, j, d))
+    d, j, s, upto = d[order], j[order], s[order], upto[order]
+    group = np.cumsum(np.concatenate([[True], (d[1:] != d[:-1]) | (j[1:] != j[:-1])]))
+    # The furthest end so far inside a group: groups are laid so far apart that one maximum runs through all.
+    apart = int(upto.max() - s.min()) + 3
+    reach = np.maximum.accumulate(upto + group * apart) - group * apart
+    new = np.concatenate([[True], (group[1:] != group[:-1]) | (s[1:] > reach[:-1] + 1)])
+    head = np.flatnonzero(new)
+    return d[head], j[head], s[head], reach[np.append(head[1:], len(d)) - 1]
+
+
 def _passes(h: np.ndarray, s: np.ndarray, first: np.ndarray, end: np.ndarray, j: np.ndarray, items: Items, walks: int = WALKS) -> np.ndarray:
     """Windows from s on whose embedding agrees with that of piece j in all positions of a sample."""
     ok = np.zeros(len(s), bool)

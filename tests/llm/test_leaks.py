@@ -69,3 +69,54 @@ def test_blocks_keep_to_their_bytes(spark):
     assert sorted(x for b in blocks for x in b) == sorted(rows)
     assert all(len(b) == 1 or sum(decontaminate.item_bytes(t) for _, t in b) <= most for b in blocks)
     assert [(99, "w " * 5000)] in blocks and len(blocks) >= 5
+
+
+def least_edits(item, text):
+    """The least edit distance of the item to any stretch of text, by the plain table."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+def test_every_window_by_plain_tables():
+    r = random.Random(12)
+    vocab = [f"v{i}" for i in range(25)]
+    items_ = [[r.choice(vocab) for _ in range(n)] for n in (3, 5, 8, 12, 20, 30, 70)] + [["la"] * 40, ["x", "y"] * 15, ["tra", "la", "la"] * 9]
+    docs = []
+    for k in range(120):
+        leak = list(items_[k % len(items_)])
+        for _ in range(r.randint(0, decontaminate.edits(len(leak)) + 2)):
+            at = r.randrange(len(leak))
+            leak[at : at + r.randint(0, 1)] = [r.choice(vocab)] * r.randint(0, 1)
+        docs.append([r.choice(vocab) for _ in range(r.randint(0, 40))] + leak + [r.choice(vocab) for _ in range(r.randint(0, 40))])
+    items = decontaminate.Items.of([(i, " ".join(x)) for i, x in enumerate(items_)])
+    want = {(d, i): e for d, text in enumerate(docs) for i, x in enumerate(items_) if (e := least_edits(x, text)) <= decontaminate.edits(len(x))}
+    hashes = decontaminate.word_hashes([w.encode() for text in docs for w in text])
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in docs])])
+    every = {(d, i): e for d, v in decontaminate._search(hashes, bounds, items, decontaminate.SIMILARITY, sampled=False).items() for i, _, _, e in v}
+    assert every == want and len(want) > 100
+    got = {(d, i): e for d, text in enumerate(docs) for i, _, _, e in decontaminate.matches(" ".join(text), items)}
+    assert all(want.get(k) is not None and want[k] <= e for k, e in got.items()) and len(got) >= 0.98 * len(want)
+
+
+def test_repetitive_text_is_bounded():
+    import time
+    import tracemalloc
+
+    items = decontaminate.Items.of([(1, "la " * 20_000), (2, "0 1 " * 10_000)])
+    tracemalloc.start()
+    began = time.time()
+    got = decontaminate.matches("la " * 20_000 + "0 1 " * 10_000, items)
+    assert [(i, n, e) for i, _, n, e in got] == [(0, 20_000, 0), (1, 20_000, 0)]
+    assert time.time() - began < 60 and tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+
+
+def test_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "so a b c d e f g it is")] * 3 + [(2, "none")], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, "a b c d e f g")] * 2, "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()) == [(1, 9)] * 6
