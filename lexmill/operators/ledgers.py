@@ -147,3 +147,22 @@ def newest(log: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The newest record of each key."""
     rest = [c for c in log.columns if c not in key]
     return log.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_n")).select(*key, "_n.*")
+
+
+#: Words in a ledger's status cell and the status of each, weakest first.
+LEDGER_STATUS = [("UNVERIFIED", "unverified"), ("PARTIAL", "research-pending"), ("V-WORKER", "resolved"), ("V-LEAD", "source-checked")]
+#: Headings of a ledger's columns.
+LEDGER_COLUMNS = {"citation": "authority|case|citation", "ledger_status": "status", "source": "source", "proposition": "proposition|used for|language|holding", "notes": "note|treatment|adverse|limit"}
+
+
+def authority_rows(rows: DataFrame) -> DataFrame:
+    """Rows of an authority ledger under their names (citation, ledger_status, source, ...): status is the weakest that the
+    cell names, unverified without a source, null where it names none; pins are confirmed for a bare V-LEAD, or where the
+    cell says so. Rows without a citation go."""
+    dash = lambda c: F.nullif(F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit("—")), F.lit("-"))
+    own = rows.withColumns({"citation": F.nullif(dash(F.col("citation")), F.lit("")), "source": F.nullif(dash(F.col("source")), F.lit(""))}).where("citation is not null")
+    cell = F.upper(F.coalesce("ledger_status", F.lit("")))
+    named = F.coalesce(*[F.when(F.contains(cell, F.lit(w)), s) for w, s in LEDGER_STATUS])
+    status = F.when(named.isNotNull(), F.when(F.col("source").isNull(), "unverified").otherwise(named))
+    confirmed = (status == "source-checked") & (F.contains(cell, F.lit("PINS CONFIRMED")) | (F.trim(cell) == "V-LEAD"))
+    return own.withColumn("status", status).withColumn("pins_unconfirmed", F.coalesce((status == "source-checked") & ~confirmed, F.lit(False)))

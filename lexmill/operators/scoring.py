@@ -28,18 +28,24 @@ def hygiene(misses: DataFrame, preds: DataFrame, most: int = 2) -> DataFrame:
     return misses.join(p, ["doc", "start"]).where(near).groupBy(*misses.columns).agg(F.min("p_text").alias("predicted"))
 
 
-def pollution(gold: DataFrame, preds: DataFrame) -> DataFrame:
-    """Predictions that hold a gold text of their document but not its span: the first such gold of each. A prediction
-    asks with its pieces of the lengths that its document's gold texts have, so rows grow with texts, not with pairs; of
-    each gold text the first items of two spans are enough to answer."""
-    n = F.length("text").alias("n")
+#: Characters by which a gold text is looked up in a prediction.
+HEAD = 8
+
+
+def pollution(gold: DataFrame, preds: DataFrame, head: int = HEAD) -> DataFrame:
+    """Predictions that hold a gold text of their document but not its span: the first such gold of each. A prediction asks
+    with its pieces of ``head`` characters, whatever the gold texts' lengths, and a hit is read on to the gold's end; gold
+    texts shorter than that are looked up by their own few lengths. Of each gold text the first items of two spans are
+    enough to answer."""
     first = gold.groupBy(*SPAN, "text").agg(F.min("item_id").alias("item_id"))
     first = first.withColumn("_r", F.row_number().over(Window.partitionBy("doc", "text").orderBy("item_id"))).where("_r <= 2")
-    g = first.select("doc", F.col("text").alias("piece"), F.col("start").alias("g_start"), F.col("end").alias("g_end"), "item_id")
-    sized = preds.join(gold.select("doc", n).distinct(), "doc").where(F.col("n") <= F.length("text"))
+    n = F.least(F.length("text"), F.lit(head))
+    g = first.where("text <> ''").select("doc", n.alias("n"), F.substring(F.col("text"), F.lit(1), n).alias("piece"), F.col("text").alias("g_text"), F.col("start").alias("g_start"), F.col("end").alias("g_end"), "item_id")
+    sized = preds.join(g.select("doc", "n").distinct(), "doc").where(F.col("n") <= F.length("text"))  # at most ``head`` lengths
     places = F.sequence(F.lit(1), F.length("text") - F.col("n") + 1)
-    asked = sized.select("pred_id", *SPAN, F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("text"), i, F.col("n"))))).alias("piece"))
-    hit = asked.join(g, ["doc", "piece"]).where((F.col("start") != F.col("g_start")) | (F.col("end") != F.col("g_end")))
+    asked = sized.select("pred_id", *SPAN, "text", "n", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("text"), i, F.col("n"))))).alias("piece"))
+    other = (F.col("start") != F.col("g_start")) | (F.col("end") != F.col("g_end"))
+    hit = asked.join(g, ["doc", "n", "piece"]).where(other & F.contains("text", F.col("g_text")))
     return hit.groupBy("pred_id").agg(F.min("item_id").alias("item_id"))
 
 
@@ -60,7 +66,8 @@ def collapse(preds: DataFrame) -> DataFrame:
 
 
 def gold_offsets(gold: DataFrame, docs: DataFrame) -> DataFrame:
-    """Gold texts with the first place they stand in their document; missing is a row's own state, not an error."""
+    """Gold texts with the first place they stand in their document; missing is a row's own state, not an error. An empty
+    gold text stands nowhere."""
     out = gold.join(docs.select("doc", F.col("text").alias("_t")), "doc", "left")
-    at = F.expr("instr(_t, text)")
+    at = F.when(F.col("text") != "", F.expr("instr(_t, text)"))
     return out.withColumn("start", F.when(at > 0, at - 1)).withColumn("end", F.col("start") + F.length("text")).withColumn("missing", F.coalesce(at, F.lit(0)) == 0).drop("_t")

@@ -20,10 +20,12 @@ def discover(cases: DataFrame, deepest: int = 3) -> DataFrame:
 
 def text_source(docs: DataFrame, copies: DataFrame, pages: DataFrame, files: DataFrame, external: DataFrame) -> DataFrame:
     """docs (doc_id, stored_sha, found_sha) with the text to read and where it came from: a named copy, stored pages, a
-    text file, text read from the PDF, in this order. A document whose bytes changed has none."""
+    text file, text read from the PDF, in this order. A document whose bytes changed has none; of several texts of one
+    kind the least counts, so a doc_id that stands twice in a source table gives no more rows."""
     out = docs
     for name, t in (("text copy", copies), ("stored pages", pages), ("text file", files), ("pdf text", external)):
-        out = out.join(t.select("doc_id", F.struct(F.lit(name).alias("label"), F.col("text").alias("text")).alias(f"_{name[:4]}{name[-2:]}")), "doc_id", "left")
+        one = t.groupBy("doc_id").agg(F.min("text").alias("text"))
+        out = out.join(one.select("doc_id", F.struct(F.lit(name).alias("label"), F.col("text").alias("text")).alias(f"_{name[:4]}{name[-2:]}")), "doc_id", "left")
     best = F.coalesce(*[F.when(F.col(c)["text"].isNotNull(), F.col(c)) for c in out.columns if c.startswith("_")])
     good = F.col("stored_sha") == F.col("found_sha")
     label = F.when(F.col("found_sha").isNull(), "missing").when(~good, "changed").otherwise(F.coalesce(best["label"], F.lit("none")))
@@ -132,13 +134,25 @@ def child_lines(children: DataFrame, deadlines: DataFrame) -> DataFrame:
 
 
 def count_steps(counted: DataFrame) -> DataFrame:
-    """counted (trigger_id, start, days, landed, due) with the steps of the count in words."""
+    """counted (trigger_id, start, days, landed, due, and closed: an array of struct(day, reason) passed over) with the steps
+    of the count in words, a reason for each day rolled over."""
     landed = F.col("landed").cast("string")
     steps = F.array(
         F.concat(F.lit("start "), F.col("start").cast("string"), F.lit(", not counted")), F.concat(F.lit("count "), F.col("days").cast("string"), F.when(F.col("days") == 1, " day").otherwise(" days"), F.lit(": "), landed),
-        F.when(F.col("due") != F.col("landed"), F.concat(landed, F.lit(" is closed: "), F.col("due").cast("string"))),
     )
-    return counted.select("trigger_id", F.array_join(F.filter(steps, lambda s: s.isNotNull()), "; ").alias("steps"))
+    passed = F.transform("closed", lambda c: F.concat(c["day"].cast("string"), F.lit(" is closed ("), c["reason"], F.lit(")")))
+    due = F.when(F.col("due") != F.col("landed"), F.array(F.concat(F.lit("due "), F.col("due").cast("string")))).otherwise(F.array().cast("array<string>"))
+    return counted.select("trigger_id", F.array_join(F.concat(steps, passed, due), "; ").alias("steps"))
+
+
+def explained(triggers: DataFrame, calendar: DataFrame) -> DataFrame:
+    """triggers (trigger_id, start, days) counted over a calendar (day, next_open, reason): landed, due, and closed, the days
+    from the landed one to the due one with their reasons. A calendar has some hundred days a year."""
+    runs = calendar.where("day <> next_open").groupBy("next_open").agg(F.array_sort(F.collect_list(F.struct("day", "reason"))).alias("_run"))
+    by_day = calendar.select(F.col("day").alias("landed"), "next_open").join(runs, "next_open", "left")
+    none = F.array().cast("array<struct<day:date,reason:string>>")
+    by_day = by_day.select("landed", F.col("next_open").alias("due"), F.filter(F.coalesce("_run", none), lambda c: c["day"] >= F.col("landed")).alias("closed"))
+    return triggers.withColumn("landed", F.expr("date_add(start, days)")).join(F.broadcast(by_day), "landed", "left").select("trigger_id", "start", "days", "landed", "due", "closed")
 
 
 def document_list(documents: DataFrame, captures_: DataFrame) -> DataFrame:

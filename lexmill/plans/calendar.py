@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..operators import court_days as C
+from ..operators import rulebooks, workspace
 from ..session import table
 from .registry import query
 
@@ -101,3 +102,26 @@ def deadline_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alarms before all-day events."""
     o = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select("o_orderkey", F.to_date("o_orderdate").alias("due"))
     return C.alarms(o).select("o_orderkey", "days_before", "alarm_on")
+
+
+@query(_HOL + """,
+z AS (SELECT c.day, CASE WHEN isodow(c.day) >= 6 THEN 'weekend' ELSE coalesce((SELECT min(name) FROM h WHERE h.day = c.day AND NOT observed), (SELECT min(name) FROM h WHERE h.day = c.day AND observed)) END AS why, n.nx FROM c JOIN n ON n.day = c.day WHERE c.closed),
+t AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS s, CAST(o_orderkey % 9 + 1 AS INTEGER) AS k FROM orders), u AS (SELECT *, CAST(s + k AS DATE) AS l FROM t)
+SELECT o_orderkey AS trigger_id, 'start ' || s || ', not counted; count ' || k || CASE WHEN k = 1 THEN ' day: ' ELSE ' days: ' END || l || coalesce('; ' || (SELECT string_agg(z.day || ' is closed (' || why || ')', '; ' ORDER BY z.day) FROM z WHERE z.nx = n.nx AND z.day >= l) || '; due ' || n.nx, '') AS steps
+FROM u JOIN n ON n.day = l
+""")
+def count_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps of a deadline's count in words, a reason for each day that it is rolled over."""
+    t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("trigger_id"), F.to_date("o_orderdate").alias("start"), (F.col("o_orderkey") % 9 + 1).cast("int").alias("days"))
+    return workspace.count_steps(workspace.explained(t, C.calendar(spark, 1995, 2002)))
+
+
+@query("""
+WITH d(i, m) AS (VALUES (0, ''), (1, 'i'), (2, 'ii'), (3, 'iii'), (4, 'iv'), (5, 'v'), (6, 'vi'), (7, 'vii'), (8, 'viii'), (9, 'ix')), t(i, m) AS (VALUES (0, ''), (1, 'x'), (2, 'xx'), (3, 'xxx'), (4, 'xl'), (5, 'l'), (6, 'lx'), (7, 'lxx'), (8, 'lxxx'), (9, 'xc')),
+o AS (SELECT o_orderkey, CAST(o_orderkey % 199 + 1 AS INTEGER) AS n FROM orders)
+SELECT o_orderkey, n, repeat('c', n // 100) || t.m || d.m AS roman, repeat(chr(97 + (n - 1) % 26), (n - 1) // 26 + 1) AS alpha FROM o JOIN d ON d.i = n % 10 JOIN t ON t.i = n % 100 // 10
+""")
+def outline_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mark that a list's nth item has, in roman numbers and letters, for each order's place."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 199 + 1).cast("int").alias("n"))
+    return o.join(F.broadcast(rulebooks.counters(spark)), "n").select("o_orderkey", "n", "roman", "alpha")

@@ -65,6 +65,16 @@ def calendar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", C.calendar_fold(F.concat(F.lit("DESCRIPTION:"), C.calendar_escape(s))).alias("line"))
 
 
+@query("""
+WITH p AS (SELECT p_partkey, repeat('é', CAST(p_partkey % 150 + 20 AS INTEGER)) AS t FROM part)
+SELECT p_partkey, 'DESCRIPTION:' || CASE WHEN length(t) <= 31 THEN t ELSE left(t, 31) || regexp_replace(substr(t, 32), '(.{1,37})', chr(13) || chr(10) || ' \\1', 'g') END AS line FROM p
+""")
+def calendar_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calendar text of characters that take two octets each: 75 octets a line, not characters."""
+    t = F.repeat(F.lit("é"), (F.col("p_partkey") % 150 + 20).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", C.calendar_fold(F.concat(F.lit("DESCRIPTION:"), C.calendar_escape(t))).alias("line"))
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name || ' of ' || c_mktsegment WHEN c_custkey % 3 = 1 THEN c_name || ', ' || c_mktsegment ELSE c_name END AS line FROM customer")
 def to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addressees with their organisation, unless the name holds it."""

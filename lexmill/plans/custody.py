@@ -75,6 +75,14 @@ def parent_hash_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return custody.parent_agreement(f, parent, scan).agg(F.count("*").alias("files"), F.count_if("agrees").alias("agreeing"))
 
 
+@query()
+def case_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given tables' own files as a case's: path, size and hash, read where they lie."""
+    from ..sources.texts import case_files
+
+    return case_files(spark, sf_dir).select("rel_path", "bytes", "sha256")
+
+
 @query("""
 SELECT doc_id, doc_id % 4 NOT IN (1, 2) AS safe FROM documents
 """)
@@ -86,7 +94,7 @@ def path_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH d AS (SELECT doc_id, string_split_regex(text, '\\f') AS p FROM
-  (SELECT d.doc_id, concat(d.text, chr(12), b.text, CASE WHEN d.doc_id % 2 = 0 THEN chr(12) ELSE '' END) AS text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)),
+  (SELECT d.doc_id, concat(d.text, chr(12), coalesce(b.text, ''), CASE WHEN d.doc_id % 2 = 0 THEN chr(12) ELSE '' END) AS text FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % 40)),
 e AS (SELECT doc_id, CASE WHEN trim(p[len(p)], ' ' || chr(9) || chr(10) || chr(13)) = '' THEN p[1:len(p) - 1] ELSE p END AS p FROM d)
 SELECT doc_id, CAST(i AS INTEGER) AS page_number, CAST(length(p[i]) AS INTEGER) AS chars FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM e)
 """)
@@ -95,7 +103,7 @@ def page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.texts import split_pages
 
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("b"))
-    full = d.join(b, b.item_id == d.doc_id % 40).select("doc_id", F.concat("text", F.lit("\f"), "b", F.when(F.col("doc_id") % 2 == 0, "\f").otherwise("")).alias("text"))
+    full = d.join(b, b.item_id == d.doc_id % 40, "left").select("doc_id", F.concat("text", F.lit("\f"), F.coalesce("b", F.lit("")), F.when(F.col("doc_id") % 2 == 0, "\f").otherwise("")).alias("text"))
     return split_pages(full, "text").select("doc_id", "page_number", F.length("page").alias("chars"))
 
 

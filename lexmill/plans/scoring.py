@@ -68,10 +68,13 @@ def norm_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.norm_mismatch(*_spans(spark, sf_dir)).select("item_id")
 
 
-@query("SELECT doc_id AS item_id, CAST(strpos(text, substr(text, CAST(doc_id % 50 + 1 AS INTEGER), 20)) - 1 AS INTEGER) AS start, false AS missing FROM documents WHERE length(text) > 80")
+@query("""
+WITH g AS (SELECT doc_id, text, substr(text, CAST(doc_id % 50 + 1 AS INTEGER), 20) AS t FROM documents)
+SELECT doc_id AS item_id, CASE WHEN t <> '' THEN CAST(strpos(text, t) - 1 AS INTEGER) END AS start, coalesce(t, '') = '' AS missing FROM g
+""")
 def gold_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First places of quoted strings."""
-    d = table(spark, sf_dir, "documents").where("length(text) > 80")
+    """First places of quoted strings; texts too short to be quoted miss."""
+    d = table(spark, sf_dir, "documents")
     gold = d.select(F.col("doc_id").alias("item_id"), F.col("doc_id").alias("doc"), F.expr("substring(text, cast(doc_id % 50 + 1 as int), 20)").alias("text"))
     return X.gold_offsets(gold, d.select(F.col("doc_id").alias("doc"), "text")).select("item_id", "start", "missing")
 
@@ -163,16 +166,16 @@ def page_sequence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 m AS (SELECT doc_id, unnest(regexp_extract_all(line, '[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,24}')) AS detail FROM l WHERE line NOT LIKE '%leak-scan: allow%')
-SELECT doc_id, detail, count(*) AS n FROM m WHERE lower(split_part(detail, '@', 2)) NOT IN ('example.com', 'example.org', 'example.net', 'example.edu')
+SELECT doc_id, 'email' AS kind, detail, count(*) AS n FROM m WHERE lower(split_part(detail, '@', 2)) NOT IN ('example.com', 'example.org', 'example.net', 'example.edu')
   AND lower(regexp_extract(detail, '\\.([A-Za-z]+)$', 1)) NOT IN ('example', 'invalid', 'test', 'localhost', 'txt', 'py', 'md', 'json', 'pdf', 'html', 'csv')
-  AND lower(split_part(detail, '@', 1)) NOT IN ('noreply', 'no-reply', 'donotreply', 'do-not-reply') GROUP BY 1, 2
+  AND lower(split_part(detail, '@', 1)) NOT IN ('noreply', 'no-reply', 'donotreply', 'do-not-reply') GROUP BY 1, 2, 3
 """)
 def leak_scan_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses that leak from documents."""
+    """All that leaks from documents: the given texts hold addresses, no home paths and no transcript marks."""
     from ..operators import leaks
 
-    found = leaks.scan(table(spark, sf_dir, "documents"), "text", ["doc_id"]).where("kind = 'email'")
-    return found.groupBy("doc_id", "detail").agg(F.count("*").alias("n"))
+    found = leaks.scan(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    return found.groupBy("doc_id", "kind", "detail").agg(F.count("*").alias("n"))
 
 
 @query("""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
-from ..operators import leaks, scoring
+from ..operators import leaks, ledgers, scoring
 from ..operators import workspace as W
 from ..session import table
 from ..sources import texts
@@ -166,17 +166,6 @@ def subcase_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.child_lines(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("parent_id"), F.col("c_custkey").alias("case_id"), F.col("c_name").alias("title")), d)
 
 
-@query("""
-SELECT o_orderkey AS trigger_id, 'start ' || CAST(o_orderdate AS DATE) || ', not counted; count ' || (o_orderkey % 3 + 1) || CASE WHEN o_orderkey % 3 = 0 THEN ' day: ' ELSE ' days: ' END || CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 3 + 1 AS INTEGER) AS DATE)
-  || CASE WHEN o_orderkey % 2 = 0 THEN '; ' || CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 3 + 1 AS INTEGER) AS DATE) || ' is closed: ' || CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 3 + 2 AS INTEGER) AS DATE) ELSE '' END AS steps FROM orders
-""")
-def count_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The steps of a deadline's count in words."""
-    start, days = F.to_date("o_orderdate"), (_key() % 3 + 1).cast("int")
-    landed = F.date_add(start, days)
-    return W.count_steps(_orders(spark, sf_dir).select(_key().alias("trigger_id"), start.alias("start"), days.alias("days"), landed.alias("landed"), F.when(_key() % 2 == 0, F.date_add(landed, 1)).otherwise(landed).alias("due")))
-
-
 @query("SELECT o_custkey AS k, arg_max(o_orderkey, o_orderkey) AS v, max(o_orderkey) AS line_no FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1")
 def append_log_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest whole record of each key in a log with torn lines."""
@@ -185,13 +174,24 @@ def append_log_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, 'verified' AS status, 'Cite ' || o_custkey || ' | x' AS citation FROM orders
+SELECT o_orderkey, 'Cite ' || o_custkey || ' | x' AS citation, ['unverified', 'source-checked', 'resolved', 'unverified', NULL, 'source-checked'][o_orderkey % 6 + 1] AS status, CASE WHEN o_orderkey % 6 <> 3 THEN 'book ' || o_custkey END AS source, o_orderkey % 6 = 5 AS pins_unconfirmed, CASE WHEN o_orderkey % 2 = 0 THEN 'holds' END AS proposition FROM orders
 """)
 def markdown_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An authority ledger in Markdown; columns are told by their headings."""
-    t = _text("# Ledger\n\n| Status | Full citation |\n|---|:--|\n| verified | Cite ", _cust(), " \\| x |\n\nend")
-    rows = texts.markdown_tables(_orders(spark, sf_dir).select("o_orderkey", t.alias("text")), "text", "o_orderkey")
-    return rows.select("o_orderkey", F.element_at("cells", 1).alias("status"), F.element_at("cells", 2).alias("citation"))
+    """An authority ledger in Markdown; columns are told by their headings, in any order, some missing."""
+    m = _key() % 6
+    cell = F.element_at(F.array(*[F.lit(x) for x in ("V-LEAD, partly unverified", "v-lead", "V-WORKER", "V-LEAD pins confirmed", "seen", "V-LEAD (2020)")]), (m + 1).cast("int"))
+    source = F.when(m == 3, "—").otherwise(_text("book ", _cust()))
+    even = _text("# Ledger\n\n| Status | Full citation | Source | Used for |\n|---|:--|--|--|\n| ", cell, " | Cite ", _cust(), " \\| x | ", source, " | holds |\n| V-LEAD | - | s | |\n\n| not | a table |\n")
+    odd = _text("| Primary source | Authority | Notes | Status now |\n|:--:|---|---|---|\n| ", source, " | Cite ", _cust(), " \\| x | | ", cell, " |\nend")
+    rows = texts.markdown_tables(_orders(spark, sf_dir).select("o_orderkey", F.when(_key() % 2 == 0, even).otherwise(odd).alias("text")), "text", "o_orderkey")
+    return ledgers.authority_rows(texts.by_heading(rows, ledgers.LEDGER_COLUMNS)).select("o_orderkey", "citation", "status", "source", "pins_unconfirmed", "proposition")
+
+
+@query("SELECT o_orderkey, 'a - b ' || o_custkey || ' fi ''q'' \"x\"' AS plain, '42usc' || o_custkey || '.5' AS key FROM orders")
+def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text with plain spaces, dashes, quotes and ligatures; an authority's key."""
+    odd = _text("\u00a0a\u2009\u2013\u00a0 b\u200b ", _cust(), "\n\t\ufb01 \u2018q\u2019 \u201cx\u201d \ufeff")
+    return _orders(spark, sf_dir).select("o_orderkey", S.normalize(odd).alias("plain"), S.authority_key(_text("42 U.S.C. § ", _cust(), ".5.")).alias("key"))
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'PRIVILEGED' WHEN 1 THEN 'ALLEGED' END AS label, 'a\\|b c' || o_custkey AS cell, o_custkey || 'us' || o_orderkey AS word, '12' || o_custkey AS digits, '(a) Title: bold code link' AS plain FROM orders")

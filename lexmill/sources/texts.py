@@ -27,18 +27,24 @@ def case_files(spark: SparkSession, root: str, nested: DataFrame | None = None,
     return out
 
 
+BREAK = r"(?i)\f|<!--\s*PAGEBREAK\s*-->"
+
+
 def pages_of(c: Column) -> Column:
     """Array of pages: cut at form feeds and page-break comments; a blank last page is dropped."""
-    p = F.split(c, r"(?i)\f|<!--\s*PAGEBREAK\s*-->", -1)
-    return F.when(F.trim(F.regexp_replace(F.element_at(p, -1), r"\s", "")) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p)
+    return _whole(F.split(c, BREAK, -1))
+
+
+def _whole(p: Column) -> Column:
+    return F.when(~F.element_at(p, -1).rlike(r"\S"), F.slice(p, 1, F.size(p) - 1)).otherwise(p)
 
 
 def split_pages(df: DataFrame, text: str) -> DataFrame:
-    """A row for each page: page_number from 1, page, and n_pages (null where the text has no break: unknown)."""
-    has = F.col(text).rlike(r"(?i)\f|<!--\s*PAGEBREAK\s*-->")
+    """A row for each page: page_number from 1, page, and n_pages (null where the text has no break: unknown). The text is
+    cut once; more than one part means a break."""
     keep = [c for c in df.columns if c != text]
-    out = df.select(*keep, pages_of(F.col(text)).alias("_p"), has.alias("_h"))
-    out = out.select(*keep, F.when(F.col("_h"), F.size("_p")).alias("n_pages"), F.posexplode("_p").alias("_i", "page"))
+    out = df.select(*keep, F.transform(F.array(F.split(F.col(text), BREAK, -1)), lambda p: F.struct(_whole(p).alias("pages"), (F.size(p) > 1).alias("cut")))[0].alias("_p"))
+    out = out.select(*keep, F.when(F.col("_p.cut"), F.size("_p.pages")).alias("n_pages"), F.posexplode("_p.pages").alias("_i", "page"))
     return out.withColumn("page_number", F.col("_i") + 1).drop("_i")
 
 
@@ -89,12 +95,25 @@ def append_log(lines: DataFrame, schema: StructType | str, key: list[str], order
 
 
 def markdown_tables(df: DataFrame, text: str, by: str) -> DataFrame:
-    """Cells of Markdown tables: by, line_no, table_no, cells (array). Header and rule lines are left out."""
+    """Cells of Markdown tables: by, line_no, table_no, heads and cells (arrays). Header and rule lines are left out."""
     lines = df.select(by, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     w = Window.partitionBy(by).orderBy("line_no")
     rule = F.col("line").rlike(r"^\s*\|?\s*:?-{2,}")
     row = F.trim("line").startswith("|")
-    out = lines.withColumn("rule", rule).withColumn("header", F.lead(rule, 1, False).over(w) & row)
-    out = out.withColumn("table_no", F.sum(F.col("header").cast("int")).over(w)).where(row & ~F.col("rule") & ~F.col("header") & (F.col("table_no") > 0))
     inner = F.regexp_replace(F.trim("line"), r"^\||\|$", "")
-    return out.select(by, "line_no", "table_no", F.transform(F.split(inner, r"(?<!\\)\|"), lambda c: F.trim(F.replace(c, F.lit("\\|"), F.lit("|")))).alias("cells"))
+    cells = F.transform(F.split(inner, r"(?<!\\)\|"), lambda c: F.trim(F.replace(c, F.lit("\\|"), F.lit("|"))))
+    out = lines.withColumn("rule", rule).withColumn("header", F.lead(rule, 1, False).over(w) & row).withColumn("cells", F.when(row, cells))
+    # A table ends where its lines do: a row counts while every line since its header was one.
+    out = out.withColumn("table_no", F.sum(F.col("header").cast("int")).over(w)).withColumn("heads", F.last(F.when(F.col("header"), F.col("cells")), True).over(w))
+    broken = F.max(F.when(~row & ~F.col("rule"), F.col("line_no"))).over(w)
+    begun = F.max(F.when(F.col("header"), F.col("line_no"))).over(w)
+    out = out.withColumn("_in", F.coalesce(broken, F.lit(-1)) < begun)
+    return out.where(row & ~F.col("rule") & ~F.col("header") & F.col("_in")).select(by, "line_no", "table_no", "heads", "cells")
+
+
+def by_heading(tables: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The cells of ``markdown_tables`` under names: for each name the first column whose heading fits its pattern, null
+    where no heading does or the row is too short."""
+    at = lambda p: F.array_position(F.transform("heads", lambda h: F.lower(h).rlike(p)), F.lit(True))
+    named = [F.when(at(p) > 0, F.try_element_at("cells", at(p).cast("int"))).alias(n) for n, p in columns.items()]
+    return tables.select(*[c for c in tables.columns if c not in ("heads", "cells")], *named)
