@@ -1,7 +1,7 @@
 """State machines as command tables: each target's commands are folded in order into state, history and refusals.
 
-The fold is a native higher-order aggregate over a target's own commands of one batch, so batches of any number of
-targets run at once. A refused command changes nothing and says why. Random ids and clocks of a record system become
+The fold runs over a target's own commands of one batch, in Arrow batches (a native aggregate would copy the log at each
+command), so batches of any number of targets run at once. A refused command changes nothing and says why. Random ids and clocks of a record system become
 columns of the command: seq, at, actor.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,41 +45,43 @@ OUTREACH = Machine(
 MACHINES = {m.name: m for m in (NOTICE, TRIGGER, AMENDMENT, DEADLINE, AUTHORITY, OUTREACH)}
 
 
-def _verdict(m: Machine, state: Column, c: Column) -> Column:
+def verdict(m: Machine, state: str, command: dict) -> str | None:
     """Why a command is refused in a state; null if it isn't."""
-    to = c["to_state"]
-    out = F.when(to.isNull() | ~to.isin(*m.states), F.concat(F.lit("unknown state: "), F.coalesce(to, F.lit("none"))))
+    to = command["to_state"]
+    if to not in m.states:
+        return f"unknown state: {'none' if to is None else to}"
     if m.moves is not None:
-        allowed = F.lit(False)
-        for a, bs in m.moves.items():
-            if bs:
-                allowed = allowed | ((state == a) & to.isin(*bs))
-        out = out.when(~allowed, F.concat(state, F.lit(" can't become "), to))
-    elif m.same_refused:
-        out = out.when(to == state, F.concat(F.lit("already "), state))
+        if to not in m.moves.get(state, ()):
+            return f"{state} can't become {to}"
+    elif m.same_refused and to == state:
+        return f"already {state}"
     for col, states in m.needs.items():
-        blank = F.coalesce(F.trim(c[col]) == "", F.lit(True))
-        out = out.when(to.isin(*states) & blank, f"{col} is missing")
-    return out
+        if to in states and not (command[col] or "").strip():
+            return f"{col} is missing"
+    return None
 
 
 def run(commands: DataFrame, m: Machine, current: DataFrame | None = None) -> DataFrame:
     """commands (target_id, seq, to_state and the columns that m needs), current (target_id, state): a row for each
-    command with from_state, accepted and reason, in order of seq."""
-    cols = ["seq", "to_state", *m.needs]
-    grouped = commands.groupBy("target_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("cs"))
+    command with from_state, accepted and reason, in order of seq. A target's commands are one call, whose time grows with
+    their number."""
+
+    def fold(cs: list, start: str | None) -> list[dict]:
+        state, log = start or m.first, []
+        for c in cs:
+            why = verdict(m, state, c)
+            log.append({"seq": c["seq"], "from_state": state, "to_state": c["to_state"], "accepted": why is None, "reason": why})
+            state = c["to_state"] if why is None else state
+        return log
+
+    own = F.struct(F.col("seq").cast("bigint").alias("seq"), "to_state", *m.needs)
+    grouped = commands.groupBy("target_id").agg(F.sort_array(F.collect_list(own)).alias("cs"))
     if current is not None:
         grouped = grouped.join(current.select("target_id", F.col("state").alias("_s")), "target_id", "left")
-    start = F.coalesce(F.col("_s"), F.lit(m.first)) if current is not None else F.lit(m.first)
-    log_type = "array<struct<seq:bigint,from_state:string,to_state:string,accepted:boolean,reason:string>>"
-
-    def step(acc: Column, c: Column) -> Column:
-        why = _verdict(m, acc["state"], c)
-        row = F.struct(c["seq"].cast("bigint").alias("seq"), acc["state"].alias("from_state"), c["to_state"].alias("to_state"), why.isNull().alias("accepted"), why.alias("reason"))
-        return F.struct(F.when(why.isNull(), c["to_state"]).otherwise(acc["state"]).alias("state"), F.concat(acc["log"], F.array(row)).cast(log_type).alias("log"))
-
-    zero = F.struct(start.cast("string").alias("state"), F.array().cast(log_type).alias("log"))
-    return grouped.select("target_id", F.aggregate("cs", zero, step).alias("r")).select("target_id", F.inline("r.log"))
+    else:
+        grouped = grouped.withColumn("_s", F.lit(None).cast("string"))
+    log = F.udf(fold, "array<struct<seq:bigint,from_state:string,to_state:string,accepted:boolean,reason:string>>", useArrow=True)
+    return grouped.select("target_id", F.inline(log("cs", "_s")))
 
 
 def snapshot(log: DataFrame, m: Machine) -> DataFrame:
