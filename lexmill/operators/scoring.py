@@ -40,7 +40,7 @@ def pollution(gold: DataFrame, preds: DataFrame, head: int = HEAD) -> DataFrame:
     first = gold.groupBy(*SPAN, "text").agg(F.min("item_id").alias("item_id"))
     first = first.withColumn("_r", F.row_number().over(Window.partitionBy("doc", "text").orderBy("item_id"))).where("_r <= 2")
     n = F.least(F.length("text"), F.lit(head))
-    g = first.where("text <> ''").select("doc", n.alias("n"), F.substring(F.col("text"), F.lit(1), n).alias("piece"), F.col("text").alias("g_text"), F.col("start").alias("g_start"), F.col("end").alias("g_end"), "item_id")
+    g = first.select("doc", n.alias("n"), F.substring(F.col("text"), F.lit(1), n).alias("piece"), F.col("text").alias("g_text"), F.col("start").alias("g_start"), F.col("end").alias("g_end"), "item_id")
     sized = preds.join(g.select("doc", "n").distinct(), "doc").where(F.col("n") <= F.length("text"))  # at most ``head`` lengths
     places = F.sequence(F.lit(1), F.length("text") - F.col("n") + 1)
     asked = sized.select("pred_id", *SPAN, "text", "n", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("text"), i, F.col("n"))))).alias("piece"))

@@ -56,13 +56,21 @@ def _pdf_file(key: int) -> bytes:
     compressed and so has no text to read."""
     n, plain = 1 + key % 3, key % 7 == 0
     out = [b"%PDF-1.5\n"]
-    root = b"<< /Type /Pages /Kids [2 0 R] /Count %d >> << /Type /Pages /Parent << /X 1 >> /Count 99 >>" % n
-    tree = zlib.compress(root)
-    out.append(b"1 0 obj\n<< /Type /ObjStm /Filter /FlateDecode >>\nstream\n" + tree + b"\nendstream\nendobj\n" if key % 2 else b"1 0 obj\n" + root + b"\nendobj\n")
+    pages, catalog = b"<< /Type /Pages /Kids [2 0 R] /Count %d >>" % n, b"<< /Type /Catalog /Pages 90 0 R >>"
+    other = b"<< /Type /Pages /Count 99 >>"  # a tree that no catalog names
+    if key % 2:  # packed: numbers and places, then the objects
+        packed = [(90, pages), (91, catalog), (92, other)]
+        places = [sum(len(x) + 1 for _, x in packed[:i]) for i in range(3)]
+        head = b" ".join(b"%d %d" % (k, at) for (k, _), at in zip(packed, places, strict=True)) + b" "
+        tree = zlib.compress(head + b" ".join(x for _, x in packed))
+        out.append(b"1 0 obj\n<< /Type /ObjStm /N 3 /First %d /Filter /FlateDecode >>\nstream\n" % len(head) + tree + b"\nendstream\nendobj\n")
+    else:
+        out.append(b"90 0 obj\n" + pages + b"\nendobj\n91 0 obj\n" + catalog + b"\nendobj\n92 0 obj\n" + other + b"\nendobj\n")
     for i in range(1, n + 1):
         shown = b"BT /F1 12 Tf %% (no) Tj\n(Page %d of \\%03o) Tj [(%d(x)) -20 (y\\)z)] TJ <41> Tj ET" % (i, 65, key)
         body = shown if plain else zlib.compress(shown)
         out.append(b"%d 0 obj\n<< %s >>\nstream\n" % (i + 2, b"" if plain else b"/Filter /FlateDecode") + body + b"\nendstream\nendobj\n")
+    out.append(b"trailer\n<< /Size 93 /Root 91 0 R >>\nstartxref\n0\n%%EOF\n")
     return b"".join(out)
 
 

@@ -28,51 +28,61 @@ class Refused(Exception):
 
 
 def _directory(raw: bytes) -> int:
-    """Members that the archive's tail declares, its bounds checked before anything is opened."""
+    """Members that the archive's tail declares, its bounds checked before anything is opened. The tail is the last one whose
+    comment ends with the file; a field that is full is told by the 64-bit record, which ends where its locator begins."""
     at = raw.rfind(b"PK\x05\x06", max(0, len(raw) - 22 - 0xFFFF))
-    if at < 0 or at + 22 > len(raw):
+    while at >= 0 and (at + 22 > len(raw) or at + 22 + struct.unpack_from("<H", raw, at + 20)[0] != len(raw)):
+        at = raw.rfind(b"PK\x05\x06", max(0, len(raw) - 22 - 0xFFFF), at + 3)
+    if at < 0:
         raise Refused("corrupt archive: no end of its directory")
     members, size, offset = struct.unpack("<10xHII", raw[at : at + 20])
-    if raw[at - 20 : at - 16] == b"PK\x06\x07":
+    if members == 0xFFFF or 0xFFFFFFFF in (size, offset):
+        if raw[at - 20 : at - 16] != b"PK\x06\x07":
+            raise Refused("corrupt archive: 64-bit sizes without a 64-bit directory")
         far = struct.unpack("<Q", raw[at - 12 : at - 4])[0]
-        if raw[far : far + 4] != b"PK\x06\x06" or far + 56 > at:
+        if raw[far : far + 4] != b"PK\x06\x06" or far + 56 > at or far + 12 + struct.unpack_from("<Q", raw, far + 4)[0] != at - 20:
             raise Refused("corrupt archive: its 64-bit directory isn't where it says")
-        members, size, offset = struct.unpack("<QQQ", raw[far + 32 : far + 56])
-    elif 0xFFFF == members or 0xFFFFFFFF in (size, offset):
-        raise Refused("corrupt archive: 64-bit sizes without a 64-bit directory")
+        wide = struct.unpack("<QQQ", raw[far + 32 : far + 56])
+        members, size, offset = (w if n == full else n for n, w, full in zip((members, size, offset), wide, (0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF), strict=True))
     if members > MOST_MEMBERS:
         raise Refused("size_limit:members")
     if size > MOST_DIRECTORY:
         raise Refused("size_limit:central_directory")
     if offset + size > at:
         raise Refused("corrupt archive: its directory passes its end")
+    if members * 46 > size:
+        raise Refused("corrupt archive: more members than its directory holds")
     return members
 
 
-def _main_part(raw: bytes) -> bytes:
+def parts(raw: bytes, optional: tuple[str, ...] = ()) -> dict[str, bytes]:
+    """The main part of a Word file, and those of the optional ones that it has."""
     if raw[:4] not in ZIP_MARKS:
         raise Refused("not a zip archive")
     declared = _directory(raw)
+    out: dict[str, bytes] = {}
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         infos = z.infolist()
         if len(infos) != declared:
             raise Refused("corrupt archive: its tail and its directory differ")
         if sum(i.file_size for i in infos) > MOST_TOTAL:
             raise Refused("size_limit:aggregate")
-        mains = [i for i in infos if i.filename == MAIN]
-        if len(mains) != 1:
-            raise Refused(f"{len(mains)} parts {MAIN}")
-        if mains[0].flag_bits & 1:
-            raise Refused("encrypted")
-        with z.open(mains[0]) as f:
-            xml = f.read(MOST_PART + 1)
-    if max(len(xml), mains[0].file_size) > MOST_PART:
-        raise Refused("size_limit:part")
-    return xml
-
-
-def _tree(xml: bytes) -> ElementTree.Element:
-    """The body of a part in UTF-8 without a document type, which is told before any entity could be read."""
+        for name in (MAIN, *optional):
+            found = [i for i in infos if i.filename == name]
+            if len(found) > 1 or (name == MAIN and not found):
+                raise Refused(f"{len(found)} parts {name}")
+            for info in found:
+                if info.flag_bits & 1:
+                    raise Refused("encrypted")
+                with z.open(info) as f:
+                    out[name] = f.read(MOST_PART + 1)
+                if max(len(out[name]), info.file_size) > MOST_PART:
+                    raise Refused("size_limit:part")
+    return out
+
+
+def root_of(xml: bytes) -> ElementTree.Element:
+    """The root of a part in UTF-8 without a document type, which is told before any entity could be read."""
     head = xml.removeprefix(b"\xef\xbb\xbf").lstrip()
     if not head:
         raise Refused("empty part")
@@ -82,9 +92,14 @@ def _tree(xml: bytes) -> ElementTree.Element:
     if head[before_root : before_root + 2] == b"<!":
         raise Refused("document type declaration")
     try:
-        root = ElementTree.fromstring(xml)
+        return ElementTree.fromstring(xml)
     except (ElementTree.ParseError, ValueError, LookupError):
         raise Refused("malformed xml") from None
+
+
+def body_of(xml: bytes) -> ElementTree.Element:
+    """The body of a Word file's main part."""
+    root = root_of(xml)
     if root.tag != WORD + "document":
         raise Refused("not a word document")
     body = root.find(WORD + "body")
@@ -119,7 +134,7 @@ def word_blocks(raw: bytes | None) -> tuple[str | None, list]:
     try:
         if raw is None:
             raise Refused("no file")
-        todo = [((), e, 0) for e in reversed([_tree(_main_part(bytes(raw)))])]
+        todo = [((), e, 0) for e in reversed([body_of(parts(bytes(raw))[MAIN])])]
         found = []
         while todo:
             path, e, depth = todo.pop()
@@ -216,20 +231,41 @@ def _inflated(data: bytes):
             yield head, got
 
 
-def _page_counts(text: bytes):
-    """(is the root, count) of each page-tree node, by one pass over the dictionaries' brackets."""
-    stack, last = [], 0
-    for m in re.finditer(rb"<<|>>", text):
-        if stack:
-            stack[-1].append(text[last : m.start()])
-        last = m.end()
-        if m[0] == b"<<":
-            stack.append([])
-        elif stack:
-            own = b" ".join(stack.pop())
-            count = re.search(rb"/Count\s+(\d+)", own)
-            if count and re.search(rb"/Type\s*/Pages\b", own):
-                yield b"/Parent" not in own, int(count[1])
+_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b")
+
+
+def _objects(data: bytes, inflated: list[tuple[bytes, bytes]]) -> tuple[dict[int, bytes], list[bytes]]:
+    """Objects by number, a later one in place of an earlier: those in the open, without their streams, and those packed in
+    object streams. Also what stands after 'trailer' marks and in cross-reference streams' dictionaries, in order."""
+    found: dict[int, bytes] = {}
+    for m in _OBJECT.finditer(data):
+        end = data.find(b"endobj", m.end())
+        body = data[m.end() : end if end >= 0 else len(data)]
+        found[int(m[1])] = re.split(rb"\bstream[\r\n]", body, maxsplit=1)[0]
+    for head, got in inflated:
+        first = re.search(rb"/First\s+(\d+)", head)
+        if re.search(rb"/Type\s*/ObjStm\b", head) and first:
+            numbers = [int(x) for x in got[: int(first[1])].split()]
+            places = [*numbers[1::2], len(got) - int(first[1])]
+            for number, a, b in zip(numbers[::2], places, places[1:], strict=False):
+                found.setdefault(number, got[int(first[1]) + a : int(first[1]) + b])
+    tails = [piece.split(b"startxref", 1)[0] for piece in data.split(b"trailer")[1:]]
+    return found, tails + [d for d in found.values() if re.search(rb"/Type\s*/XRef\b", d)]
+
+
+def page_count(data: bytes, inflated: list[tuple[bytes, bytes]]) -> int | None:
+    """The count of the page tree that the file's catalog names: from the last trailer's root, to its pages, to their count."""
+    objects, tails = _objects(data, inflated)
+
+    def follow(where: bytes, name: bytes) -> bytes | None:
+        m = re.search(rb"/" + name + rb"\s+(\d+)\s+\d+\s+R\b", where)
+        return objects.get(int(m[1])) if m else None
+
+    roots = [r for t in tails if (r := follow(t, b"Root")) is not None]
+    catalog = roots[-1] if roots else next((d for d in reversed(list(objects.values())) if re.search(rb"/Type\s*/Catalog\b", d)), None)
+    pages = follow(catalog, b"Pages") if catalog is not None else None
+    count = re.search(rb"/Count\s+(\d+)", pages) if pages is not None else None
+    return int(count[1]) if count else None
 
 
 def pdf_text(raw: bytes | None) -> tuple[str | None, int | None, list[str]]:
@@ -238,14 +274,10 @@ def pdf_text(raw: bytes | None) -> tuple[str | None, int | None, list[str]]:
         if raw is None:
             raise Refused("no file")
         raw = bytes(raw)
-        texts, tree = [], [re.sub(rb"stream\r?\n.*?endstream", b" ", raw, flags=re.S)]
-        for head, got in _inflated(raw):
-            if re.search(rb"/Type\s*/ObjStm\b", head):
-                tree.append(got)
-            elif (t := _shown(got)).strip():
-                texts.append(t)
-        counts = [c for t in tree for c in _page_counts(t)]
-        return None if texts else "no text stream that can be decoded", max(counts)[1] if counts else None, texts
+        streams = list(_inflated(raw))
+        shown = [_shown(got) for head, got in streams if not re.search(rb"/Type\s*/(?:ObjStm|XRef)\b", head)]
+        texts = [t for t in shown if t.strip()]
+        return None if texts else "no text stream that can be decoded", page_count(raw, streams), texts
     except Refused as e:
         return str(e), None, []
 

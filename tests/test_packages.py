@@ -38,7 +38,7 @@ def test_word_refusals():
     lie = good[: end + 8] + struct.pack("<HH", 2, 2) + good[end + 12 :]
     wide = good[: end + 12] + struct.pack("<I", 1 << 30) + good[end + 16 :]
     cases = {
-        None: "no file", b"": "not a zip archive", b"%PDF-": "not a zip archive", good[:end]: "corrupt archive: no end of its directory", many: "size_limit:members", lie: "corrupt archive: its tail and its directory differ",
+        None: "no file", b"": "not a zip archive", b"%PDF-": "not a zip archive", good[:end]: "corrupt archive: no end of its directory", many: "size_limit:members", lie: "corrupt archive: more members than its directory holds", good + b"x": "corrupt archive: no end of its directory",
         wide: "size_limit:central_directory", word("", ("a",)): f"0 parts {P.MAIN}", word("<w:p>"): "malformed xml", word("", head="<!-- x --><!DOCTYPE a>"): "document type declaration",
     }
     for raw, why in cases.items():
@@ -53,7 +53,9 @@ def test_pdf_strings():
     assert P._shown(rb"(a\(b\)\\ \101\12c(n(e)st)) Tj [(x) 3 (y)] TJ (z) ' % (gone) Tj") == "a(b)\\ A\nc(n(e)st)\nxyz\n"
     assert P._shown(b"(open") == "open"
     assert P.pdf_text(None) == ("no file", None, []) and P.pdf_text(b"") == ("no text stream that can be decoded", None, [])
-    assert P.pdf_text(b"<< /Type /Pages /Count 4 /Parent 1 0 R >> << /Type /Pages /Count 2 >>")[1] == 2
+    two = b"1 0 obj << /Type /Pages /Count 4 /Parent 9 0 R >> endobj 2 0 obj << /Type /Pages /Count 2 >> endobj 3 0 obj << /Pages 2 0 R /Type /Catalog >> endobj "
+    assert P.pdf_text(two)[1] == 2 and P.pdf_text(two + b"4 0 obj << /Pages 1 0 R >> endobj trailer << /Root 4 0 R >>")[1] == 4
+    assert P.pdf_text(b"1 0 obj << /Type /Pages /Count 4 >> endobj")[1] is None
 
 
 def test_readers_on_empty_tables(spark):
