@@ -4,8 +4,9 @@ Texts become frequencies of hashed byte trigrams (square-rooted, unit length). O
 the language family; one-versus-one machines inside the winning family then choose the language. Each choice goes
 by votes, ties by summed margins, then by name. Machines are fitted on a bounded, documented sample of labelled
 rows: about ``SAMPLE`` different ones for each language, drawn by hash of doc_id and text, so that neither a repeated row
-nor a repeated doc_id can fill or empty it. Each machine is fitted in a task of its own; the driver gets weights and one
-count a label, never rows. Prediction reads whole texts, in tasks. A very long text is read in slices.
+nor a repeated doc_id can fill or empty it. Each machine is fitted in a task of its own; the driver gets weights (16 kB a
+machine, at most ``MODEL_BYTES`` in all, which is some 200 unlisted languages) and one count a label, never rows. Weights
+go to tasks as a broadcast. Prediction reads whole texts, in tasks. A very long text is read in slices.
 
 Null texts, and texts without a letter, get ``und`` and score 0. Languages that the table of families doesn't name
 are families of their own. With no labelled rows all predictions are ``und``. Only text is used to predict.
@@ -29,6 +30,8 @@ DIM = 1 << 12
 #: Labelled rows for each language, about; the only bound on what is learned from.
 SAMPLE = 500
 FOLDS, HELD = 3, 1
+#: Bytes of all machines' weights, at most: they are broadcast.
+MODEL_BYTES = 320 << 20
 #: Families of languages by code.
 FAMILY = {
     "en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic",
@@ -99,7 +102,7 @@ class Hierarchy:
                 votes[:, k] += s > 0
                 margin[:, k] += s
                 least[:, k] = np.minimum(least[:, k], s)
-        best = (votes + np.tanh(margin / (n + 1)) / 4).argmax(1)
+        best = np.where(votes == votes.max(1, keepdims=True), margin, -np.inf).argmax(1)
         return best, 1 / (1 + np.exp(-3 * least[np.arange(len(x)), best]))
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -149,6 +152,8 @@ def train(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, learn: Col
     member = [(v, "", family.get(v, v)) for v in langs] + [(v, f"/{family.get(v, v)}", v) for v in langs]
     asks = [(v, level, i, j, 1.0 if levels[level][i] == own else -1.0) for v, level, own in member for i, j in combinations(range(len(levels[level])), 2) if own in (levels[level][i], levels[level][j])]
     machines: dict[str, list[tuple[int, int, np.ndarray]]] = {level: [] for level in levels}
+    if sum(len(v) * (len(v) - 1) // 2 for v in levels.values()) * 4 * (DIM + 1) > MODEL_BYTES:
+        raise ValueError("too many languages for one-versus-one machines; give a table of families")
     if asks:
         pairs = docs.sparkSession.createDataFrame(asks, "lang string, level string, i int, j int, y double")
 
@@ -174,7 +179,10 @@ def predict(docs: DataFrame, model: Hierarchy | None, keep: bool = False) -> Dat
     else:
         source, fields, at = plain_docs(docs), "doc_id long, text string", 1
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for b in batches:
             for k in range(0, b.num_rows, 64):
                 c = b.slice(k, 64)
