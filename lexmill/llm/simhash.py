@@ -117,7 +117,9 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     left = blocks.select(F.col("salt").alias("salt_a"), F.col("tile").alias("tile_a"), F.col("fps").alias("fps_a"), F.explode(steps).alias("step")).select(
         F.zip_with("tile_a", "step", lambda a, b: a + b).alias("tile"), (F.aggregate("step", F.lit(0), lambda s, x: s + F.abs(x)) == 0).alias("same"), "salt_a", "fps_a"
     )
-    met = left.join(blocks, "tile").where(~F.col("same") | (F.col("salt_a") <= F.col("salt"))).select("fps_a", "fps")
+    # There are at most 17 ** 4 tiles: a block's bytes go only where a tile is.
+    there = F.broadcast(blocks.select("tile").distinct())
+    met = left.join(there, "tile", "left_semi").join(blocks, "tile").where(~F.col("same") | (F.col("salt_a") <= F.col("salt"))).select("fps_a", "fps")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,12 +159,19 @@ def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of docs."""
     prints = stage(fingerprints(docs, shingle), "fingerprints")
-    of_fp = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    of_fp = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     found = stage(of_fp.join(groups(prints, radius), "fp"), "groups")
     ids = found.groupBy("group").agg(F.min("least").alias("component_id"))
-    return prints.join(found.join(ids, "group").select("fp", "component_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    own = stage(found.join(ids, "group").select("fp", "rows", "component_id"), "components")
+    # A fingerprint with over a thousandth of all rows, of which there are under a thousand, is joined by broadcast.
+    many = max(1, prints.count() // HOT)
+    hot, rest = F.broadcast(own.where(F.col("rows") > many).drop("rows")), own.where(F.col("rows") <= many).drop("rows")
+    every = prints.join(hot, "fp").unionByName(prints.join(hot.select("fp"), "fp", "left_anti").join(rest, "fp"))
+    return every.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: A fingerprint is common if it has more than this part of all rows.
+HOT = 1000
 #: A chunk holds fewer rows than this power of two.
 ROW_BITS = 18
 
