@@ -156,8 +156,11 @@ def stage_chunks(docs: DataFrame, name: str, buckets: int, keep: bool = False, m
             yield pa.RecordBatch.from_pydict(row | {n: pa.array([v], pa.binary()) for n, v in blobs.items()})
             k += 1
 
-    table = _written(f"lexmill_{name}_{uuid.uuid4().hex}")
-    (source.mapInArrow(pack, CHUNK_SCHEMA).write.option("compression", "none")
+    # A bucketed table, its files in the shared folder: the warehouse may lie on the driver's machine alone.
+    table = f"lexmill_{name}_{uuid.uuid4().hex}"
+    path = _written(f"{shared_dir(spark)}/{table}")
+    _written(table)
+    (source.mapInArrow(pack, CHUNK_SCHEMA).write.option("compression", "none").option("path", path)
      .bucketBy(buckets, "chunk").format("parquet").saveAsTable(table))
     return spark.table(table)
 
