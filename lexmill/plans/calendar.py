@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..operators import court_days as C
-from ..operators import rulebooks, workspace
+from ..operators import cases, rulebooks, workspace
 from ..session import table
 from .registry import query
 
@@ -91,8 +91,8 @@ WHERE o_orderstatus = 'O' AND date_diff('day', DATE '1998-06-01', CAST(o_orderda
 """)
 def deadline_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open deadlines of the next two weeks."""
-    left = F.date_diff(F.to_date("o_orderdate"), F.to_date(F.lit("1998-06-01")))
-    return table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select("o_orderkey", left.alias("days_left")).where(F.col("days_left").between(0, 14))
+    d = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("due"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("met").alias("state"))
+    return cases.due_within(d, F.to_date(F.lit("1998-06-01")), 14).select("o_orderkey", "days_left")
 
 
 @query("""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
+from ..operators import cases
 from ..operators import ledgers as L
 from ..session import table
 from .registry import query
@@ -262,8 +263,5 @@ UNION ALL SELECT 'second', count(*) FROM (SELECT k FROM b EXCEPT SELECT k FROM a
 def match_set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys found by one parser, the other, both and neither."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    found = o.select(F.col("o_custkey").alias("k"), (F.col("o_orderstatus") == "O").alias("a"), F.col("o_orderpriority").startswith("1").alias("b")).groupBy("k").agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b"))
-    part = F.when(F.col("a") & F.col("b"), "both").when(F.col("a"), "first").when(F.col("b"), "second").otherwise("neither")
-    every = F.array(*[F.lit(x) for x in ("both", "first", "second", "neither")])
-    n = c.join(found, "k", "full").select(part.alias("part")).groupBy("part").agg(F.count("*").alias("n"))
-    return spark.range(1).select(F.explode(every).alias("part")).join(n, "part", "left").select("part", F.coalesce("n", F.lit(0)).alias("n"))
+    k = F.col("o_custkey").alias("k")
+    return cases.in_sets(c, o.where("o_orderstatus = 'O'").select(k), o.where(F.col("o_orderpriority").startswith("1")).select(k), "k")
