@@ -160,13 +160,6 @@ def in_sets(universe: DataFrame, first: DataFrame, second: DataFrame, key: str)
     return F.broadcast(every).join(n, "part", "left").select("part", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def linked(items: DataFrame, named: DataFrame, key: str, text: Column, by: str, order: list[str], sep: str = " ") -> DataFrame:
-    """by, joined: what each group's items name, in order; what isn't there is '?'."""
-    rows = items.join(named, key, "left").withColumn("_t", F.coalesce(text, F.lit("?")))
-    each = F.sort_array(F.collect_list(F.struct(*order, "_t")))
-    return rows.groupBy(by).agg(F.array_join(F.transform(each, lambda x: x["_t"]), sep).alias("joined"))
-
-
 def first_of_each(rows: DataFrame, by: list[str], order: list[Column], most: int) -> DataFrame:
     """The first ``most`` rows of each group."""
     return correspondence.numbered(rows, order, by, "_place").where(F.col("_place") <= most).drop("_place")
