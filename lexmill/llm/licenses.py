@@ -5,7 +5,8 @@ the license templates (a fixed table of some thousand rows, so it is broadcast).
 template and diagonal (document position minus template position). Diagonals no further apart than a share of the
 template are merged, as inserted or missing words shift a match; copies on end lie a whole template apart and stay
 separate. A merged group is verified by how much of the template its matched words cover and by the length of its span
-in the document; where that fails, its best diagonal is verified alone. Fixed phrases are found beside it and always
+in the document; where that fails, its best diagonal is verified alone. Where matches of different labels share half of
+the shorter one's span, the one that covers more of its template wins: a license's near neighbours are told apart. Fixed phrases are found beside it and always
 keep their labels.
 
 Null texts count as empty and give no label. Rows are told apart by doc_id and text together, so rows that repeat a
@@ -65,6 +66,12 @@ TEMPLATES = [
     ("cc0", "Statement of Purpose. The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights upon the creator and subsequent owner(s) of an original work of authorship and/or a database."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("agpl", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
 ]
 
 #: Upper case to lower, every byte outside words to a space.
@@ -143,7 +150,12 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrase
     whole = merged.withColumn("cover", words(F.col("tposes")) / F.col("t_words")).withColumn("fits", F.col("hi") - F.col("lo") <= STRETCH * F.col("t_words") + GRAM)
     found = whole.select(*of, *[F.when(F.col("fits"), F.col(c)).otherwise(F.col(f"single.{c}")).alias(c) for c in ("lo", "hi", "cover")]).where(F.col("cover") >= cover)
     by_doc = found.groupBy(F.col("doc_id").alias("of"), F.col("body").alias("of_body")).agg(
-        F.collect_set("label").alias("more"), F.max("cover").alias("best"), F.sort_array(F.collect_list(F.struct("lo", "hi", "template", "label", "cover"))).alias("matches")
+        F.sort_array(F.collect_list(F.struct("lo", "hi", "template", "label", "cover"))).alias("every")
+    )
+    shared = lambda a, b: (F.least(a["hi"], b["hi"]) - F.greatest(a["lo"], b["lo"])) * 2 >= F.least(a["hi"] - a["lo"], b["hi"] - b["lo"])
+    better = lambda m: lambda o: (o["label"] != m["label"]) & (o["cover"] > m["cover"]) & shared(o, m)
+    by_doc = by_doc.withColumn("matches", F.filter("every", lambda m: ~F.exists("every", better(m)))).select(
+        "of", "of_body", F.array_distinct(F.transform("matches", lambda m: m["label"])).alias("more"), F.array_max(F.transform("matches", lambda m: m["cover"])).alias("best"), "matches"
     )
     out = keyed.mapInArrow(base, "doc_id long, body long, n_words long, n_base long, first_word long, last_word long, base_labels string")
     own = F.when(F.col("base_labels") == "", F.array().cast("array<string>")).otherwise(F.split("base_labels", ","))
