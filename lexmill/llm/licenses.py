@@ -6,7 +6,7 @@ template and diagonal (document position minus template position). Diagonals no
 template are merged, as inserted or missing words shift a match; copies on end lie a whole template apart and stay
 separate. A merged group is verified by how much of the template its matched words cover and by the length of its span
 in the document; where that fails, its best diagonal is verified alone. Where matches of different labels share half of
-the shorter one's span, the one that covers more of its template wins: a license's near neighbours are told apart. Fixed phrases are found beside it and always
+the shorter one's span, the one that covers more of its template wins, of equal ones the longer template: near neighbours are told apart. Fixed phrases are found beside it and always
 keep their labels.
 
 Null texts count as empty and give no label. Rows are told apart by doc_id and text together, so rows that repeat a
@@ -150,10 +150,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrase
     whole = merged.withColumn("cover", words(F.col("tposes")) / F.col("t_words")).withColumn("fits", F.col("hi") - F.col("lo") <= STRETCH * F.col("t_words") + GRAM)
     found = whole.select(*of, *[F.when(F.col("fits"), F.col(c)).otherwise(F.col(f"single.{c}")).alias(c) for c in ("lo", "hi", "cover")]).where(F.col("cover") >= cover)
     by_doc = found.groupBy(F.col("doc_id").alias("of"), F.col("body").alias("of_body")).agg(
-        F.sort_array(F.collect_list(F.struct("lo", "hi", "template", "label", "cover"))).alias("every")
+        F.sort_array(F.collect_list(F.struct("lo", "hi", "template", "label", "cover", "t_words"))).alias("every")
     )
     shared = lambda a, b: (F.least(a["hi"], b["hi"]) - F.greatest(a["lo"], b["lo"])) * 2 >= F.least(a["hi"] - a["lo"], b["hi"] - b["lo"])
-    better = lambda m: lambda o: (o["label"] != m["label"]) & (o["cover"] > m["cover"]) & shared(o, m)
+    better = lambda m: lambda o: (o["label"] != m["label"]) & (F.struct(o["cover"], o["t_words"]) > F.struct(m["cover"], m["t_words"])) & shared(o, m)
     by_doc = by_doc.withColumn("matches", F.filter("every", lambda m: ~F.exists("every", better(m)))).select(
         "of", "of_body", F.array_distinct(F.transform("matches", lambda m: m["label"])).alias("more"), F.array_max(F.transform("matches", lambda m: m["cover"])).alias("best"), "matches"
     )

@@ -53,9 +53,9 @@ vc AS (SELECT *, len(list_distinct(flatten(list_transform(tp, lambda p: range(p,
 n AS (SELECT *, CASE WHEN diag - lag(diag) OVER (PARTITION BY r, template ORDER BY diag) > least({SHIFT}, greatest(1, CAST(floor(tw * {SHARE}) AS INT))) THEN 1 ELSE 0 END AS new FROM vc),
 m AS (SELECT *, sum(new) OVER (PARTITION BY r, template ORDER BY diag ROWS UNBOUNDED PRECEDING) AS grp FROM n),
 q AS (SELECT r, template, label, tw, min(lo) AS lo, max(hi) AS hi, max({{'cover': own_cover, 'before': -lo, 'lo': lo, 'hi': hi}}) AS single, list_distinct(flatten(list_transform(flatten(list(tp)), lambda p: range(p, p + {k})))) AS covered FROM m GROUP BY r, template, label, tw, grp),
-qc AS (SELECT r, label, CASE WHEN f THEN lo ELSE single.lo END AS lo, CASE WHEN f THEN hi ELSE single.hi END AS hi, CASE WHEN f THEN len(covered) / tw ELSE single.cover END AS cover FROM (SELECT *, hi - lo <= {STRETCH} * tw + {k} AS f FROM q)),
-ev AS (SELECT r, label, lo, hi, cover FROM qc WHERE cover >= {COVER}),
-ok AS (SELECT r, label, cover FROM ev m WHERE NOT EXISTS (SELECT 1 FROM ev o WHERE o.r = m.r AND o.label <> m.label AND o.cover > m.cover AND (least(o.hi, m.hi) - greatest(o.lo, m.lo)) * 2 >= least(o.hi - o.lo, m.hi - m.lo))),
+qc AS (SELECT r, label, tw, CASE WHEN f THEN lo ELSE single.lo END AS lo, CASE WHEN f THEN hi ELSE single.hi END AS hi, CASE WHEN f THEN len(covered) / tw ELSE single.cover END AS cover FROM (SELECT *, hi - lo <= {STRETCH} * tw + {k} AS f FROM q)),
+ev AS (SELECT r, label, tw, lo, hi, cover FROM qc WHERE cover >= {COVER}),
+ok AS (SELECT r, label, cover FROM ev m WHERE NOT EXISTS (SELECT 1 FROM ev o WHERE o.r = m.r AND o.label <> m.label AND (o.cover > m.cover OR (o.cover = m.cover AND o.tw > m.tw)) AND (least(o.hi, m.hi) - greatest(o.lo, m.lo)) * 2 >= least(o.hi - o.lo, m.hi - m.lo))),
 by_doc AS (SELECT r, list(DISTINCT label) AS more, max(cover) AS best FROM ok GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(own, ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(more, [])))), ','), '') AS labels,
