@@ -142,14 +142,6 @@ def spaced_json(cols: list[str]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{c}": '), value(c)) for c in sorted(cols)]), F.lit("}"))
 
 
-def decoded(content: Column) -> Column:
-    """A file's bytes as text: UTF-16 where its mark says so, else UTF-8 with bad bytes replaced; null for other bytes with a
-    zero among the first eight thousand."""
-    wide = F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF")
-    binary = F.array_contains(F.regexp_extract_all(F.hex(F.substring(content, 1, 8192)), F.lit("(..)"), F.lit(1)), "00")
-    return F.when(wide, F.expr("decode({0}, 'UTF-16')".format("content"))).when(~binary, F.make_valid_utf8(content.cast("string")))
-
-
 def in_sets(universe: DataFrame, first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """part, n: how many keys of the universe both sets have, one alone, or neither; zeros too."""
     tag = lambda t, n: t.select(key).distinct().withColumn(n, F.lit(True))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cases as C
-from ..operators import quotes
+from ..operators import leaks, quotes
 from ..session import table
 from .registry import query
 
@@ -160,7 +160,7 @@ def decoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files as text: UTF-16 by its mark, UTF-8, none for binary ones."""
     wide = F.concat(F.lit(b"\xff\xfe"), F.encode(_t("né ", _c()), "UTF-16LE"))
     content = F.when(_k() % 3 == 0, wide).when(_k() % 3 == 1, F.encode(_t("plain ", _c()), "UTF-8")).otherwise(F.lit(b"a\x00b"))
-    return _orders(spark, sf_dir).select("o_orderkey", content.alias("content")).select("o_orderkey", C.decoded(F.col("content")).alias("text"))
+    return _orders(spark, sf_dir).select("o_orderkey", content.alias("content")).select("o_orderkey", leaks.decoded(F.col("content")).alias("text"))
 
 
 @query("SELECT o_orderkey, ' the fi2st of ' || o_custkey || ' it''s word joined ' AS words FROM orders")

@@ -229,6 +229,23 @@ def composed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.sentences(table(spark, sf_dir, "documents").select("doc_id", t.alias("text")), "text", ["doc_id"]).select("doc_id", "n", "sentence")
 
 
+#: Sentences on end, as they must be cut: states that are words, hours, and states that a cite goes on after.
+_CUTS = [
+    ["He lived in Mass.", "The car @ was red."], ["It was at 5 p.m.", "Then he left for @."], ["It was tried in Ind.", "Trial began on day @."], ["Ind. Trial R. @ applies.", "It says so."], ["See 100 Wash. 2d @ there.", "So it is."],
+    ["Under Ill. Const. art. I it is @.", "So."], ["Mass. Gen. Laws ch. @ says so.", "It does."], ["It was held (Mass. 1985) in @.", "So."], ["8 Del. C. § @ holds.", "Then more."], ["He was ill.", "The man @ left."], ["Me. Rev. Stat. tit. @ says.", "So."], ["He came to Me.", "Rev. Smith met him @."],
+]
+
+
+@query(f"SELECT doc_id, n, replace(t, '@', CAST(doc_id AS VARCHAR)) AS sentence FROM documents JOIN (VALUES {', '.join(f"({i}, {n}, '{t}')" for i, cut in enumerate(_CUTS) for n, t in enumerate(cut))}) v(m, n, t) ON doc_id % {len(_CUTS)} = m")
+def state_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that end with a state's name, and those in which a cite goes on after it."""
+    from ..operators import quotes
+
+    t = F.element_at(F.array(*[F.lit(" ".join(cut)) for cut in _CUTS]), (F.col("doc_id") % len(_CUTS) + 1).cast("int"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.replace(t, F.lit("@"), F.col("doc_id").cast("string")).alias("text"))
+    return quotes.sentences(d, "text", ["doc_id"]).select("doc_id", "n", "sentence")
+
+
 @query("SELECT page_id, 'Head ' || page_id || chr(10) || 'a' || chr(10) || 'b' || chr(10) || '& c' AS visible FROM pages")
 def composed_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text of composed pages: scripts, styles and hidden parts left out."""
