@@ -127,7 +127,45 @@ def _paths(marks: list[tuple[str, int]], taken: tuple[int, ...]) -> list[tuple[s
     return out
 
 
-def openings(lines: list | None) -> list[list[dict] | None]:
+#: A list in an outline of dots: how its marks are written (with a dot, or in brackets) and what they count in.
+Style = tuple[bool, str]
+
+
+def _styles(dot: bool, mark: str) -> list[tuple[Style, int]]:
+    if mark.isdigit():
+        return [((dot, "number"), int(mark))]
+    if mark.isupper():
+        return [((dot, "capital"), letter_value(mark))] if len(mark) == 1 else []
+    out = [((dot, "letter"), letter_value(mark))] if len(mark) == 1 else []
+    return out + ([((dot, "roman"), n)] if (n := roman_value(mark)) else [])
+
+
+def place_dotted(marks: list[tuple[bool, str]]) -> list[tuple[tuple[str, ...] | None, list[tuple[str, ...]]]]:
+    """Paths of the marks of an outline ('A.', '1.', 'a.', 'i.', and marks in brackets under them), given as (dot, mark). A
+    mark goes on with an open list of its style whose next it is, the deepest one if several, or opens a list one level
+    deeper if it is a first one and no open list has its style. The reading that places most marks counts; indentation
+    plays no part, as outlines are often indented unevenly."""
+    # A reading: marks unplaced, the open lists as (style, number, mark), the paths so far.
+    readings: list[tuple[int, tuple, tuple]] = [(0, (), ())]
+    for dot, mark in marks:
+        found: dict[tuple, tuple] = {}
+        for lost, open_, paths in readings:
+            moves = []
+            for style, n in _styles(dot, mark):
+                moves += [(-d, (*open_[:d], (style, n, mark))) for d, (s, last, _) in enumerate(open_) if s == style and last + 1 == n]
+                if n == 1 and all(s != style for s, *_ in open_):
+                    moves.append((1, (*open_, (style, 1, mark))))
+            for _, after in sorted(moves, key=lambda m: m[0]):
+                found.setdefault(after, (lost, after, (*paths, tuple(m for *_, m in after))))
+            if not moves:
+                found.setdefault(open_, (lost + 1, open_, (*paths, None)))
+        readings = sorted(found.values(), key=lambda r: r[0])[:BEAM]
+    best = readings[0]
+    rivals = [r for r in readings[1:] if r[0] == best[0]]
+    return [(path, sorted({r[2][k] for r in rivals if r[2][k] and r[2][k] != path and r[2][:k] == best[2][:k]})) for k, path in enumerate(best[2])]
+
+
+def openings(lines: list | None, dotted: bool = False) -> list[list[dict] | None]:
     """For each line's (rule, mark, sub, indent), null if it has none: the sections that it opens, outermost first, as
     anchor and other readings. A rule's number must be higher than the last one's: a line that begins with an earlier rule
     is a cross-reference. A second mark, as in '(A)(i)', opens a section of its own if it begins a list under the first."""
@@ -136,6 +174,12 @@ def openings(lines: list | None) -> list[list[dict] | None]:
     own: list[int] = []
 
     def close() -> None:
+        if dotted:
+            read = place_dotted([(lines[i]["mark"].endswith("."), lines[i]["mark"].strip("().")) for i in own])
+            for i, (path, others) in zip(own, read, strict=True):
+                out[i] = [{"anchor": "-".join([rule, *path]), "others": ["-".join([rule, *p]) for p in others]}] if path else None
+            own.clear()
+            return
         marks: list[tuple[str, int]] = []
         for i in own:
             marks.append((lines[i]["mark"], lines[i]["indent"]))

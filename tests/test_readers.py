@@ -179,3 +179,15 @@ def test_bundles_are_written_once(spark, tmp_path):
     with pytest.raises(ValueError, match="twice"):
         bundles.write_bundles(parts.union(parts), "bundle", f"file://{tmp_path}/other")
     assert sorted(p.name for p in tmp_path.iterdir()) == ["batch"]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("A. 1. a. b. i. ii. (1) (2) c. 2. B.", "A A-1 A-1-a A-1-b A-1-b-i A-1-b-ii A-1-b-ii-1 A-1-b-ii-2 A-1-c A-2 B"),
+        ("a. b. c. d. e. f. g. h. i. j.", "a b c d e f g h i j"), ("a. i. ii. b. i.", "a a-i a-ii b b-i"), ("2. 1. 3. 2. AA.", ". 1 . 2 ."), ("1. (a) (b) 2. (a)", "1 1-a 1-b 2 2-a"), ("", ""),
+    ],
+)
+def test_marks_of_an_outline(text, want):
+    got = outline.place_dotted([(x.endswith("."), x.strip("().")) for x in text.split()])
+    assert " ".join("-".join(p) if p else "." for p, _ in got) == want
