@@ -12,7 +12,9 @@ on the corpus. The order is two: a trigram model's questions would pass the budg
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; each text ends with an end token, which is also the context of
 the first word. Null texts count as empty (the end token alone). A null doc_id is never trained on and never held
-out. Rows that repeat count each time. Without training documents all counts are 0 and the model is uniform.
+out. Rows that repeat count each time. Without training documents all counts are 0 and the model is uniform. A very long
+text is a chunk of its own and scored whole. Ties can't arise. An empty table gives an empty result; columns other than
+doc_id and text take no part, whatever they are called.
 """
 
 from __future__ import annotations

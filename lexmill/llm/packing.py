@@ -6,7 +6,8 @@ length and writes one boundary record per piece; it needs no shuffle. Nothing is
 
 Null texts count as empty: the closing id alone. A very long text is one row of ids and as many pieces as it fills. Ties can't arise (each id has one place). An empty table gives an
 empty result. Repeated doc_ids are packed once per row. Ids come from the vocabulary file given, encoded by
-tiktoken's byte-pair merge with the same ranks and pattern; tests hold them against the tokenizers library.
+tiktoken's byte-pair merge with the same ranks and pattern; tests hold them against the tokenizers library. Columns other
+than doc_id and text take no part, whatever they are called.
 """
 
 from __future__ import annotations

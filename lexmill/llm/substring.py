@@ -8,7 +8,8 @@ matching statistics, and removes the spans matched elsewhere over the threshold.
 ``against`` broadcasts the automaton of a small reference (its size is checked) and streams documents through it.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Null and blank texts have no words and are kept as empty. Rows that repeat a doc_id
-or a text are other places. Empty tables give empty results; other columns may have any names.
+or a text are other places. A very long text is a chunk of its own, its windows looked at in slices. Ties can't arise: a
+word goes or stays. Empty tables give empty results; other columns may have any names.
 """
 
 from __future__ import annotations

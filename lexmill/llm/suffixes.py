@@ -8,7 +8,8 @@ of the two common prefixes is its longest previous factor; a window goes if that
 
 Null texts count as empty. A row without doc_id is neither earlier nor later than any: it keeps all its bytes and takes
 none from others. Rows that repeat a doc_id aren't earlier than
-each other. Empty tables give empty results; other columns may have any names.
+each other, so of equal texts under one doc_id neither loses to the other. A very long text is a chunk of its own, its
+windows looked at in slices. Ties can't arise: a byte goes or stays. Empty tables give empty results; other columns may have any names.
 """
 
 from __future__ import annotations

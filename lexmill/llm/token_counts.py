@@ -9,7 +9,9 @@ No piece has U+2581 after another character, so a best path is cut before each r
 words can be counted one by one and remembered. Scores are summed in double precision (whole numbers here, so exactly).
 
 The vocabulary is the public 32k sentencepiece file, its pieces and scores read as a unigram model; the path is a
-parameter and nothing is trained. Null texts count as empty: 0 tokens. An empty table gives an empty result.
+parameter and nothing is trained. Null texts count as empty: 0 tokens. A very long text is counted word by word; equal
+scores fall to the earlier start, as said. Repeated rows give a row each; columns other than doc_id and text take no part,
+whatever they are called. An empty table gives an empty result.
 """
 
 from __future__ import annotations

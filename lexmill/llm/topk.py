@@ -11,7 +11,8 @@ reaches the worst kth score of the query group, and inside a pair the two trees
 test. Results of pairs are merged by query. Ties go to the smaller vec_id; bounds never cut an equal score.
 
 Vectors that are null or hold null or non-finite components, and rows without vec_id, take no part. Shorter vectors
-are read as if zeros followed. Rows that repeat a vec_id are rows of their own: each is a candidate of the others.
+are read as if zeros followed. Rows that repeat a vec_id are rows of their own: each is a candidate of the others. An empty
+table gives an empty result; other columns take no part, whatever they are called.
 """
 
 from __future__ import annotations
