@@ -35,16 +35,18 @@ def register(files: DataFrame, known: DataFrame | None = None, excluded: Column
     comes with other bytes too is added once."""
     out = files.withColumn("kind", classify(F.col("rel_path")))
     out = out.withColumn("_out", F.lit(False) if excluded is None else excluded)
-    # The smallest hash of a path, and among those rows the smallest path of a hash: one row for each of both.
-    out = out.withColumn("_path", F.row_number().over(Window.partitionBy("_out", "rel_path").orderBy("sha256")) == 1)
-    first = F.col("_path") & (F.row_number().over(Window.partitionBy("_out", "sha256").orderBy(F.desc("_path"), "rel_path")) == 1)
+    # The smallest hash of a path, and among those rows the smallest path of a hash: counted, not sorted, as one hash may
+    # have a third of all rows; the join is by path and hash together.
+    one = out.groupBy("_out", "rel_path").agg(F.min("sha256").alias("sha256")).groupBy("_out", "sha256").agg(F.min("rel_path").alias("rel_path"))
+    out = out.join(one.withColumn("_win", F.lit(True)), ["_out", "rel_path", "sha256"], "left")
+    first = F.col("_win").isNotNull() & (F.row_number().over(Window.partitionBy("_out", "rel_path", "sha256").orderBy(F.lit(1))) == 1)
     old = F.lit(False)
     if known is not None:
         by_sha = known.select(F.col("sha256").alias("k_sha")).distinct()
         by_path = known.select(F.col("rel_path").alias("k_path")).distinct()
         out = out.join(by_sha, out.sha256 == by_sha.k_sha, "left").join(by_path, out.rel_path == by_path.k_path, "left")
         old = F.col("k_sha").isNotNull() | F.col("k_path").isNotNull()
-    return out.withColumn("outcome", F.when(F.col("_out"), "excluded").when(old | ~first, "skipped").otherwise("added")).drop("_out", "_path", "k_sha", "k_path")
+    return out.withColumn("outcome", F.when(F.col("_out"), "excluded").when(old | ~first, "skipped").otherwise("added")).select(*files.columns, "kind", "outcome")
 
 
 def verify(stored: DataFrame, found: DataFrame) -> DataFrame:
