@@ -99,6 +99,11 @@ def test_authorities(text, want):
     assert all(text[c.start : c.end] == c.raw for c in cites)
 
 
+def test_paragraph_ranges():
+    read = lambda t: authorities.scan(t, NAMES)[0][0].paragraphs
+    assert read("Compl. ¶¶ 45-7, 50") == (45, 46, 47, 50) and read("Compl. ¶ 9–3") == (9,) and read("Compl. ¶¶ 2 and 3 & 5") == (2, 3, 5)
+
+
 def test_list_stops_and_siblings():
     assert authorities.scan("42 U.S.C. § 1983, 12 plaintiffs", NAMES)[1] == [("12", 18)]
     assert authorities.scan("Section 552.101, 1972 Miss. Laws 4", NAMES)[1] == []
