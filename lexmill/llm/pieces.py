@@ -39,6 +39,8 @@ BATCH_BYTES = 2 << 20
 LONGEST = 48
 #: Words remembered; a batch that would pass it makes the codec forget all before.
 MOST = 200_000
+#: Code points whose characters' pairs are looked up in a square table.
+LOW = 0x250
 #: Ids whose bytes are gathered together.
 GATHERED = 500_000
 NONE = float("-inf")
@@ -103,8 +105,24 @@ class Codec:
         self.pair = np.array([a * self.wide + b for a, b, _, _ in halves], np.int64)
         self.both = np.array([i for *_, i, _ in halves], np.int32)
         self.worth = np.array([w for *_, w in halves])
-
-    def _look_up(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # Words begin as characters: the pairs of those with low code points stand in a square table.
+        self.low = np.full(self.wide, -1, np.int64)
+        chars = np.unique(self.char[:LOW])
+        self.low[chars] = np.arange(len(chars))
+        self.low[len(self.raw)] = -1
+        a, b = (x.ravel() for x in np.meshgrid(chars, chars, indexing="ij"))
+        self.square_worth, self.square_both = (x.reshape(len(chars), len(chars)) for x in self._search(a, b))
+
+    def _first(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``_search`` for pairs of characters."""
+        x, y = self.low[a], self.low[b]
+        score, both = self.square_worth[x, y], self.square_both[x, y]
+        high = (x < 0) | (y < 0)
+        if high.any():
+            score[high], both[high] = self._search(a[high], b[high])
+        return score, both
+
+    def _search(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Score and id of the piece that each pair forms; no piece: the least number."""
         ask = a.astype(np.int64) * self.wide + b
         at = np.minimum(np.searchsorted(self.pair, ask), len(self.pair) - 1)
@@ -112,7 +130,7 @@ class Codec:
 
     def _matrix(self, s: np.ndarray, rows: np.ndarray, out: list[bytes]) -> None:
         """Merge the best pair of each row of s until none is left, and put each row's ids into out."""
-        score, both = self._look_up(s[:, :-1], s[:, 1:])
+        score, both = self._first(s[:, :-1], s[:, 1:])
         while len(rows):
             at = score.argmax(1) if score.shape[1] else np.zeros(len(rows), np.int64)
             done = score[np.arange(len(rows)), at] == NONE if score.shape[1] else np.ones(len(rows), bool)
@@ -133,7 +151,7 @@ class Codec:
             left[each, at] = False
             score, both = (m[left].reshape(len(rows), -1) for m in (score, both))
             for r, i in ((np.flatnonzero(at > 0), at[at > 0] - 1), (np.flatnonzero(at < score.shape[1]), at[at < score.shape[1]])):
-                score[r, i], both[r, i] = self._look_up(s[r, i], s[r, i + 1])
+                score[r, i], both[r, i] = self._search(s[r, i], s[r, i + 1])
 
     def many(self, words: list[str]) -> list[bytes]:
         """The ids of words, each with U+2581 put in front."""
@@ -168,8 +186,8 @@ class Codec:
 
     def _hold(self, words: list[str], lib, group: int = 500) -> None:
         """Hold words against the library, as texts of many words; where one differs, each of its words by itself."""
-        alone = [w for w in words if w.endswith(SPACE)]  # spaces at a text's end
-        words = [w for w in words if w and not w.endswith(SPACE)]
+        alone = [w for w in words if w[-1:] == SPACE]  # spaces at a text's end
+        words = [w for w in words if w and w[-1] != SPACE] if alone else [w for w in words if w]
         groups = [words[i : i + group] for i in range(0, len(words), group)] + [[w] for w in alone]
         while groups:
             # Each word's first space is the one that parts it from the word before, or the one the library puts in front.
@@ -241,7 +259,7 @@ class Codec:
         words = [self.parts(t) for t in texts]
         self.learn(words, lib)
         end = self.end_id.to_bytes(4, "little")
-        return [b"".join(map(self.words.__getitem__, w)) + end for w in words], [self.differ.isdisjoint(w) for w in words]
+        return [b"".join(map(self.words.__getitem__, w)) + end for w in words], [not self.differ or self.differ.isdisjoint(w) for w in words]
 
     def decode(self, ids: list[int]) -> str:
         return self.decode_many(np.array(ids, np.int64), np.array([len(ids)]))[0]
