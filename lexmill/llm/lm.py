@@ -23,13 +23,15 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    BLOB_SCHEMA, NULL_ID, U, Chunk, answer_per_bucket, blob_batch, chunk_rows, corpus_bytes, mix, pack_arrays, pack_sorted, stage, stage_chunks, unpack_arrays, unpack_sorted, with_answers, word_hashes,
+    BLOB_SCHEMA, NULL_ID, U, Chunk, answer_per_bucket, blob_batch, chunk_rows, corpus_bytes, mix, pack_arrays, pack_sorted, stage, stage_chunks, unpack_arrays, unpack_sorted, with_answers,
 )
+from .repeats import _powers
 
 FOLDS, HELD, DELETED = 5, 1, 0
 #: Text of one chunk, and text whose questions one bucket answers.
@@ -44,25 +46,69 @@ def folds(ids: np.ndarray, n: int = FOLDS) -> np.ndarray:
     return np.array([-1 if i == NULL_ID else zlib.crc32(str(i).encode()) % n for i in ids.tolist()], np.int64)
 
 
+#: The end token's hash, a random number for each byte, and bytes that are hashed together.
+END = U(0x5851F42D4C957F2D)
+BYTES = np.random.default_rng(4).integers(1, 1 << 63, 256).astype(U)
+SLICE = 1 << 20
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_hashes_of(body: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of documents that lie on end in body, and where each word begins: differences of running sums
+    of the bytes' random numbers by powers of an odd base, mixed with the word's length."""
+    raw = np.frombuffer(body, np.uint8)
+    word = ~_SPACE[raw]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[starts] = True
+    edge[ends] = True
+    # A word begins after a space or a document's edge, and ends before one.
+    first = np.flatnonzero(word & (edge[:-1] | ~np.concatenate([[False], word[:-1]])))
+    last = np.flatnonzero(word & (edge[1:] | ~np.concatenate([word[1:], [False]]))) + 1
+    out = np.empty(len(first), U)
+    at = 0
+    while at < len(first):  # as many words as begin in a slice
+        to = max(at + 1, int(np.searchsorted(last, first[at] + SLICE, side="right")))
+        base, size = int(first[at]), int(last[to - 1] - first[at])
+        up, down = _powers(max(SLICE, size))
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(BYTES[raw[base : base + size]] * up[:size])])
+        lo, hi = first[at:to] - base, last[at:to] - base
+        out[at:to] = mix((sums[hi] - sums[lo]) * down[lo], (hi - lo).astype(U))
+        at = to
+    return out, first
+
+
+def _numbered(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order and each one's place among them. Only what is different is sorted."""
+    code, values = pd.factorize(h)
+    order = np.argsort(values)
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    return values[order], rank[code]
+
+
 class Tokens:
     """A chunk's tokens: word and context hashes on end, each document's closed by the end token."""
 
     def __init__(self, chunk: Chunk):
-        lists = [t.lower().split() for t in chunk.texts()]
-        for x in lists:
-            x.append(b" ")  # no word is a space
-        self.counts = np.array([len(x) for x in lists], np.int64)
-        self.word = word_hashes([w for x in lists for w in x])
+        h, first = word_hashes_of(chunk.body.lower(), chunk.starts, chunk.ends)
+        # A document's words, then its end token.
+        n = np.searchsorted(first, chunk.ends) - np.searchsorted(first, chunk.starts)
+        self.counts = n + 1
+        ends = np.cumsum(self.counts) - 1
+        self.word = np.full(int(self.counts.sum()), END, U)
+        own = np.ones(len(self.word), bool)
+        own[ends] = False
+        self.word[own] = h
         self.fold = np.repeat(folds(chunk.ids), self.counts)
-        starts = np.cumsum(self.counts) - self.counts
-        before = np.empty_like(self.word)
-        before[1:] = self.word[:-1]
-        if len(starts):
-            before[starts] = word_hashes([b" "])[0]
-        self.starts = starts
-        self.words, self.w = np.unique(self.word, return_inverse=True)
-        self.v = np.searchsorted(self.words, before)
-        self.pairs, self.p = np.unique(mix(before, self.word), return_inverse=True)
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.words, self.w = _numbered(self.word)
+        # A token's context is the token before it, the end token at a text's head.
+        self.v = np.empty_like(self.w)
+        self.v[1:] = self.w[:-1]
+        if len(self.starts):
+            self.v[self.starts] = np.searchsorted(self.words, END)
+        self.pairs, self.p = _numbered(mix(self.words[self.v], self.word))
 
 
 def _shares(h: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
