@@ -330,6 +330,50 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+_B = 0x9E3779B97F4A7C15 | 1
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least the first n + 1 powers of an odd number and of its inverse, modulo 2**64. The longest ones asked for are kept."""
+    if not _POWERS or len(_POWERS[0][0]) <= n:
+        inverse = pow(_B, -1, 1 << 64)
+        with np.errstate(over="ignore"):
+            _POWERS[:] = [tuple(np.cumprod(np.concatenate([np.ones(1, U), np.full(n, b, U)])) for b in (_B, inverse))]
+    return _POWERS[0]
+
+
+#: A random number for each byte, and bytes that are hashed together.
+BYTES = np.random.default_rng(4).integers(1, 1 << 63, 256).astype(U)
+SLICE = 1 << 20
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_hashes_of(body: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of documents that lie on end in body, and where each word begins: differences of running sums
+    of the bytes' random numbers by powers of an odd base, mixed with the word's length."""
+    raw = np.frombuffer(body, np.uint8)
+    word = ~_SPACE[raw]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[starts] = True
+    edge[ends] = True
+    # A word begins after a space or a document's edge, and ends before one.
+    first = np.flatnonzero(word & (edge[:-1] | ~np.concatenate([[False], word[:-1]])))
+    last = np.flatnonzero(word & (edge[1:] | ~np.concatenate([word[1:], [False]]))) + 1
+    out = np.empty(len(first), U)
+    at = 0
+    while at < len(first):  # as many words as begin in a slice
+        to = max(at + 1, int(np.searchsorted(last, first[at] + SLICE, side="right")))
+        base, size = int(first[at]), int(last[to - 1] - first[at])
+        up, down = powers(max(SLICE, size))
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(BYTES[raw[base : base + size]] * up[:size])])
+        lo, hi = first[at:to] - base, last[at:to] - base
+        out[at:to] = mix((sums[hi] - sums[lo]) * down[lo], (hi - lo).astype(U))
+        at = to
+    return out, first
+
+
 def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k consecutive symbols of h, by doubling and one overlapping step."""
     m = 1

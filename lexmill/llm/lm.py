@@ -29,9 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    BLOB_SCHEMA, NULL_ID, U, Chunk, answer_per_bucket, blob_batch, chunk_rows, corpus_bytes, mix, pack_arrays, pack_sorted, stage, stage_chunks, unpack_arrays, unpack_sorted, with_answers,
+    BLOB_SCHEMA, NULL_ID, U, Chunk, answer_per_bucket, blob_batch, chunk_rows, corpus_bytes, mix, pack_arrays, pack_sorted, stage, stage_chunks, unpack_arrays, unpack_sorted, with_answers, word_hashes_of,
 )
-from .repeats import _powers
 
 FOLDS, HELD, DELETED = 5, 1, 0
 #: Text of one chunk, and text whose questions one bucket answers.
@@ -46,36 +45,8 @@ def folds(ids: np.ndarray, n: int = FOLDS) -> np.ndarray:
     return np.array([-1 if i == NULL_ID else zlib.crc32(str(i).encode()) % n for i in ids.tolist()], np.int64)
 
 
-#: The end token's hash, a random number for each byte, and bytes that are hashed together.
+#: The end token's hash.
 END = U(0x5851F42D4C957F2D)
-BYTES = np.random.default_rng(4).integers(1, 1 << 63, 256).astype(U)
-SLICE = 1 << 20
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def word_hashes_of(body: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of documents that lie on end in body, and where each word begins: differences of running sums
-    of the bytes' random numbers by powers of an odd base, mixed with the word's length."""
-    raw = np.frombuffer(body, np.uint8)
-    word = ~_SPACE[raw]
-    edge = np.zeros(len(raw) + 1, bool)
-    edge[starts] = True
-    edge[ends] = True
-    # A word begins after a space or a document's edge, and ends before one.
-    first = np.flatnonzero(word & (edge[:-1] | ~np.concatenate([[False], word[:-1]])))
-    last = np.flatnonzero(word & (edge[1:] | ~np.concatenate([word[1:], [False]]))) + 1
-    out = np.empty(len(first), U)
-    at = 0
-    while at < len(first):  # as many words as begin in a slice
-        to = max(at + 1, int(np.searchsorted(last, first[at] + SLICE, side="right")))
-        base, size = int(first[at]), int(last[to - 1] - first[at])
-        up, down = _powers(max(SLICE, size))
-        sums = np.concatenate([np.zeros(1, U), np.cumsum(BYTES[raw[base : base + size]] * up[:size])])
-        lo, hi = first[at:to] - base, last[at:to] - base
-        out[at:to] = mix((sums[hi] - sums[lo]) * down[lo], (hi - lo).astype(U))
-        at = to
-    return out, first
 
 
 def _numbered(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

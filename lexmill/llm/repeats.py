@@ -27,24 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    BLOB_SCHEMA, NULL_ID, U, Chunk, answer_per_bucket, blob_batch, chunk_rows, corpus_bytes, from48, mix, pack_arrays, sliding_min, stage, stage_chunks, to48, unpack_arrays, with_answers,
+    BLOB_SCHEMA, NULL_ID, U, Chunk, answer_per_bucket, blob_batch, chunk_rows, corpus_bytes, from48, mix, pack_arrays, powers, sliding_min, stage, stage_chunks, to48, unpack_arrays, with_answers,
 )
 
 #: Different contents of one key that a shard judges together; more are split by further text.
 GROUP = 256
 #: Window starts that are looked at together: bounds memory, not results.
 SLICE = 1 << 19
-_B = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n not in _POWERS:
-        _POWERS.clear()
-        inverse = pow(_B, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            _POWERS[n] = tuple(np.cumprod(np.concatenate([np.ones(1, U), np.full(n, b, U)])) for b in (_B, inverse))
-    return _POWERS[n]
 
 
 @dataclass(frozen=True)
@@ -101,7 +90,7 @@ def anchors(sym: np.ndarray, counts: np.ndarray, m: Method, ids: np.ndarray) ->
         cut = np.flatnonzero((np.diff(ps) != 0) | (np.diff(s) != 1)) + 1
         a, b = s[np.concatenate([[0], cut])], s[np.concatenate([cut, [len(s)]]) - 1]
         pa_ = p[a]
-        up, down = _powers(SLICE + L)
+        up, down = powers(SLICE + L)
         prefix = np.concatenate([np.zeros(1, U), np.cumsum(g * up[: len(g)])])
         x = mix((prefix[b + w] - prefix[a]) * down[a], ((pa_ - a) << 32 | (b - a)).astype(U))
         got.append((a + at, b - a + 1, pa_ - a, mix(g[pa_], g[pa_]) >> U(16), x >> U(16)))  # mixed anew: the least hashes are all small
@@ -127,7 +116,7 @@ def split(p: Pieces, shift: int, m: Method) -> Pieces:
     start = out.at + out.offset - (node << shift)
     end = out.at + out.offset - np.minimum(((node + 1) << shift) - 1, w - 1) + L
     key, x = np.empty(len(r), U), np.empty(len(r), U)
-    up, down = _powers(SLICE + L)
+    up, down = powers(SLICE + L)
     at, last = 0, out.at + out.n + L - 1
     while at < len(r):  # as many pieces as fit in a slice of the content, which lies in order
         to = max(at + 1, int(np.searchsorted(last, out.at[at] + SLICE, side="right")))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Chunk, from48, own_columns, own_schema, plain_docs, run_hashes, to48, word_hashes, words_of
+from .common import Chunk, from48, own_columns, own_schema, plain_docs, run_hashes, to48, word_hashes, word_hashes_of, words_of
 from .repeats import GROUP, Method, removed
 
 WINDOW = 35
@@ -138,9 +138,9 @@ def _judge(h: np.ndarray, windows: np.ndarray, who: np.ndarray, content: np.ndar
 
 
 def _symbols(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    lists = [t.split() for t in chunk.texts()]
-    counts = np.array([len(x) for x in lists], np.int64)
-    return word_hashes([w for x in lists for w in x]) & np.uint64((1 << 48) - 1), counts
+    h, first = word_hashes_of(chunk.body, chunk.starts, chunk.ends)
+    counts = np.searchsorted(first, chunk.ends) - np.searchsorted(first, chunk.starts)
+    return h & np.uint64((1 << 48) - 1), counts
 
 
 def method(window: int = WINDOW, gram: int = GRAM) -> Method:
