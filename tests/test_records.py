@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import dates as D
 from lexmill.functions import strings as S
-from lexmill.operators import binding, court_days, custody, extraction, leaks, ledgers, lookups, machines, quotes, reporters, rulebooks
+from lexmill.operators import court_days, custody, extraction, leaks, ledgers, lookups, machines, quotes, reporters, rulebooks
 from lexmill.plans import catalog
 from lexmill.sources import texts
 
