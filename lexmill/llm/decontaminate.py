@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, mix, plain_docs, run_hashes, word_hashes
+from .common import U, plain_docs, run_hashes, word_hashes
 
 SIMILARITY = 0.8
 #: Share of leaks, each with as many edits as the bound allows, that are to pass the samples.

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    BLOB_SCHEMA, NULL_ID, U, Chunk, answer_per_bucket, blob_batch, chunk_rows, corpus_bytes, mix, pack_arrays, pack_sorted, stage, stage_chunks, unpack_arrays, unpack_sorted, with_answers, word_hashes_of,
+    BLOB_SCHEMA, NULL_ID, U, Chunk, blob_batch, chunk_rows, corpus_bytes, mix, pack_arrays, pack_sorted, stage, stage_chunks, unpack_arrays, unpack_sorted, with_answers, word_hashes_of,
 )
 
 FOLDS, HELD, DELETED = 5, 1, 0
