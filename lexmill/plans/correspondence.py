@@ -161,7 +161,8 @@ def request_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, o_orderkey % 5 = 0 AS valid FROM orders")
 def request_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests within the grammar of lines, without repeats, within bounds."""
-    a, m = _text(_key() % 900 + 1, " F.3d ", F.col("o_custkey") + 1), _key() % 5
+    # Pages of at most four digits, with one more in the second line: the grammar's pages end at six, keys don't.
+    a, m = _text(_key() % 900 + 1, " F.3d ", F.col("o_custkey") % 9_999 + 1), _key() % 5
     payload = F.when(m == 0, F.concat(a, F.lit("\n"), a, F.lit("1"))).when(m == 1, F.concat(a, F.lit("\n"), a)).when(m == 2, F.concat(a, F.lit("; drop"))).when(m == 3, F.lit("")).otherwise(F.repeat(F.lit("x"), 99))
     return _orders(spark, sf_dir).select("o_orderkey", C.valid_request(payload).alias("valid"))
 
