@@ -26,12 +26,43 @@ def latest_drafts(drafts: DataFrame, recipients: DataFrame, key: str, created: s
     return drafts.withColumn("_new", newest).where("_new").drop("_new").join(recipients, key)
 
 
+#: Key sets up to this size are counted by their subsets, 63 at most.
+SUBSETS = 6
+
+
+def _key_sets(df: DataFrame, by: str) -> DataFrame:
+    """by and the sorted set of all its keys."""
+    known = F.filter("keys", lambda k: k.isNotNull())
+    return df.groupBy(by).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(known)))).alias("_ks"))
+
+
+def _subsets(sets: DataFrame, by: str) -> DataFrame:
+    """by, _t, _sign: every non-empty subset of a small key set, and 1 or -1 as its size is odd or even."""
+    masks = sets.where(F.size("_ks") > 0).withColumn("_m", F.explode(F.expr("sequence(1, shiftleft(1, size(_ks)) - 1)")))
+    return masks.select(by, F.expr("filter(_ks, (x, i) -> getbit(_m, i) = 1)").alias("_t"), F.when(F.bit_count("_m") % 2 == 1, 1).otherwise(-1).alias("_sign"))
+
+
 def resolve_by_keys(asked: DataFrame, stored: DataFrame) -> DataFrame:
     """asked (ask_id, keys) against stored (auth_id, keys) that share a key: n_found and, if exactly one, auth_id;
-    over one is refused as ambiguous."""
-    a = asked.select("ask_id", F.explode("keys").alias("k"))
-    s = stored.select("auth_id", F.explode("keys").alias("k"))
-    hit = a.join(s, "k").select("ask_id", "auth_id").distinct().groupBy("ask_id").agg(F.count("*").alias("n_found"), F.min("auth_id").alias("auth_id"))
+    over one is refused as ambiguous.
+
+    A key that many rows have would give a pair for each two of them, so pairs are counted, not made: those that share a
+    key are the sum over the subsets of the asked keys of how many stored sets hold that subset, of odd size less of even
+    size. Sets of over ``SUBSETS`` keys are paired, each different one once."""
+    a, s = _key_sets(asked, "ask_id"), _key_sets(stored, "auth_id")
+    small = F.size("_ks") <= SUBSETS
+    held = _subsets(s.where(small), "auth_id").groupBy("_t").agg(F.count("*").alias("_n"), F.min("auth_id").alias("_a"))
+    counted = _subsets(a.where(small), "ask_id").join(held, "_t").select("ask_id", (F.col("_sign") * F.col("_n")).alias("_n"), F.col("_a"))
+
+    def paired(x: DataFrame, y: DataFrame) -> DataFrame:
+        x = x.where(F.size("_ks") > 0)
+        mine = x.select("_ks").distinct().select("_ks", F.explode("_ks").alias("_k"))
+        pairs = mine.join(y.select("auth_id", F.explode("_ks").alias("_k")), "_k").select("_ks", "auth_id").distinct()
+        n = pairs.groupBy("_ks").agg(F.count("*").alias("_n"), F.min("auth_id").alias("_a"))
+        return x.join(n, "_ks").select("ask_id", "_n", "_a")
+
+    every = counted.unionByName(paired(a.where(~small), s)).unionByName(paired(a.where(small), s.where(~small)))
+    hit = every.groupBy("ask_id").agg(F.sum("_n").alias("n_found"), F.min("_a").alias("auth_id"))
     return asked.select("ask_id").join(hit, "ask_id", "left").select(
         "ask_id", F.coalesce("n_found", F.lit(0)).alias("n_found"), F.when(F.col("n_found") == 1, F.col("auth_id")).alias("auth_id"), (F.coalesce("n_found", F.lit(0)) > 1).alias("ambiguous")
     )
