@@ -1,7 +1,7 @@
 """State machines as command tables: each target's commands are folded in order into state, history and refusals.
 
-The fold runs over a target's own commands of one batch, in Arrow batches (a native aggregate would copy the log at each
-command), so batches of any number of targets run at once. A refused command changes nothing and says why. Random ids and clocks of a record system become
+The fold is one pass over the commands sorted by target (a native aggregate would copy the log at each command), so a
+target can have any number of them. A refused command changes nothing and says why. Random ids and clocks of a record system become
 columns of the command: seq, at, actor.
 """
 
@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folds import folded
+
 
 @dataclass(frozen=True)
 class Machine:
@@ -63,25 +65,23 @@ def verdict(m: Machine, state: str, command: dict) -> str | None:
 
 def run(commands: DataFrame, m: Machine, current: DataFrame | None = None) -> DataFrame:
     """commands (target_id, seq, to_state and the columns that m needs), current (target_id, state): a row for each
-    command with from_state, accepted and reason, in order of seq. A target's commands are one call, whose time grows with
-    their number."""
-
-    def fold(cs: list, start: str | None) -> list[dict]:
-        state, log = start or m.first, []
-        for c in cs:
-            why = verdict(m, state, c)
-            log.append({"seq": c["seq"], "from_state": state, "to_state": c["to_state"], "accepted": why is None, "reason": why})
-            state = c["to_state"] if why is None else state
-        return log
-
-    own = F.struct(F.col("seq").cast("bigint").alias("seq"), "to_state", *m.needs)
-    grouped = commands.groupBy("target_id").agg(F.sort_array(F.collect_list(own)).alias("cs"))
+    command with from_state, accepted and reason, in order of seq. One pass over sorted rows that keeps a state."""
+    needed = [c for c in m.needs if c not in ("target_id", "seq", "to_state")]
+    own = commands.select("target_id", F.col("seq").cast("bigint").alias("seq"), "to_state", *needed)
     if current is not None:
-        grouped = grouped.join(current.select("target_id", F.col("state").alias("_s")), "target_id", "left")
+        own = own.join(current.select("target_id", F.col("state").alias("_s")), "target_id", "left")
     else:
-        grouped = grouped.withColumn("_s", F.lit(None).cast("string"))
-    log = F.udf(fold, "array<struct<seq:bigint,from_state:string,to_state:string,accepted:boolean,reason:string>>", useArrow=True)
-    return grouped.select("target_id", F.inline(log("cs", "_s")))
+        own = own.withColumn("_s", F.lit(None).cast("string"))
+
+    def step(at: dict, c: dict) -> dict:
+        state = at.setdefault("state", c["_s"] or m.first)
+        why = verdict(m, state, c)
+        if why is None:
+            at["state"] = c["to_state"]
+        return {"target_id": c["target_id"], "seq": c["seq"], "from_state": state, "to_state": c["to_state"], "accepted": why is None, "reason": why}
+
+    key = own.schema["target_id"].dataType.simpleString()
+    return folded(own, "target_id", ["seq", "to_state", *needed], dict, step, f"target_id {key}, seq bigint, from_state string, to_state string, accepted boolean, reason string")
 
 
 def snapshot(log: DataFrame, m: Machine) -> DataFrame:
