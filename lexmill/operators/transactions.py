@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
+from ..functions.folds import folded
 from . import correspondence, court_days
 
 #: What a deadline's fields may hold.
@@ -26,7 +27,7 @@ ALLOWED = {"state": STATES, "verification": VERIFICATIONS, "confidence": CONFIDE
 FIELDS = ("state", "verification", "confidence", "due", "owner")
 
 _ROW = "struct<label:string,due:string,state:string,verification:string,confidence:string,owner:string>"
-_DONE = f"struct<row:{_ROW},log:array<struct<seq:bigint,accepted:boolean,reason:string,changes:array<struct<field:string,old:string,new:string>>,event:string,by:string,sources:array<string>>>>"
+_OUTCOME = {"seq": "bigint", "accepted": "boolean", "reason": "string", "changes": "array<struct<field:string,old:string,new:string>>", "event": "string", "by": "string", "sources": "array<string>"}
 
 
 class Written(NamedTuple):
@@ -72,50 +73,67 @@ def _refused(row: dict | None, c: dict) -> str | None:
     return "sources not registered: " + ", ".join(c["missing"]) if c["missing"] else None
 
 
-def fold_deadline(target: str, row: dict | None, commands: list | None) -> dict:
-    """A deadline's commands in order over its stored row: the row after them and an outcome for each."""
-    row = None if row is None else {k: row[k] for k in ("label", *FIELDS)}
-    log = []
-    for c in commands or []:
-        why, changes, event = _refused(row, c), [], None
-        if why is None and c["op"] == "add":
-            fresh = {"label": c["label"], "due": c["due"], "state": "open", "verification": c["verification"] or "unverified", "confidence": c["confidence"] or "working-estimate", "owner": c["owner"]}
-            event = f"deadline {target} added: {c['label']} due {c['due']} ({fresh['confidence']}/{fresh['verification']})" + (f"; owner: {c['owner']}" if c["owner"] else "")
-            row = row if c["dry_run"] else fresh
-        elif why is None:
-            changes = [{"field": f, "old": row[f], "new": c[f]} for f in FIELDS if c[f] is not None and c[f] != row[f]]
-            event = f"deadline {target} {row['label']}: " + "; ".join(f"{x['field']} {'unset' if x['old'] is None else x['old']}→{x['new']}" for x in changes) + f"; reason: {c['reason'].strip()}"
-            if not c["dry_run"]:
-                row = row | {x["field"]: x["new"] for x in changes}
-        done = why is None and not c["dry_run"]
-        log.append({"seq": c["seq"], "accepted": why is None, "reason": why, "changes": changes, "event": event if done else None, "by": c["by"], "sources": c["sources"] if done else None})
-    return {"row": row, "log": log}
+def deadline_step(target: object, row: dict | None, c: dict) -> tuple[dict | None, dict]:
+    """A command over a deadline's row: the row after it, and its outcome."""
+    why, changes, event = _refused(row, c), [], None
+    if why is None and c["op"] == "add":
+        fresh = {"label": c["label"], "due": c["due"], "state": "open", "verification": c["verification"] or "unverified", "confidence": c["confidence"] or "working-estimate", "owner": c["owner"]}
+        event = f"deadline {target} added: {c['label']} due {c['due']} ({fresh['confidence']}/{fresh['verification']})" + (f"; owner: {c['owner']}" if c["owner"] else "")
+        row = row if c["dry_run"] else fresh
+    elif why is None:
+        changes = [{"field": f, "old": row[f], "new": c[f]} for f in FIELDS if c[f] is not None and c[f] != row[f]]
+        event = f"deadline {target} {row['label']}: " + "; ".join(f"{x['field']} {'unset' if x['old'] is None else x['old']}→{x['new']}" for x in changes) + f"; reason: {c['reason'].strip()}"
+        if not c["dry_run"]:
+            row = row | {x["field"]: x["new"] for x in changes}
+    done = why is None and not c["dry_run"]
+    return row, {"seq": c["seq"], "accepted": why is None, "reason": why, "changes": changes, "event": event if done else None, "by": c["by"], "sources": c["sources"] if done else None}
+
+
+def _missing(commands: DataFrame, registered: DataFrame) -> DataFrame:
+    """target_id, seq, missing: the sources ('path@place') of commands whose path isn't registered."""
+    asked = commands.select("target_id", "seq", F.explode("sources").alias("_s")).withColumn("rel_path", S.ref_parts(F.col("_s"))["ref"])
+    bad = asked.join(registered.select("rel_path").distinct(), "rel_path", "left_anti")
+    return bad.groupBy("target_id", "seq").agg(F.sort_array(F.collect_set("rel_path")).alias("missing"))
 
 
 def _missing_sources(commands: DataFrame, registered: DataFrame) -> DataFrame:
-    """commands with ``missing``: those of their sources ('path@place') whose path isn't registered."""
-    asked = commands.select("target_id", "seq", F.explode("sources").alias("_s")).withColumn("rel_path", S.ref_parts(F.col("_s"))["ref"])
-    bad = asked.join(registered.select("rel_path").distinct(), "rel_path", "left_anti").groupBy("target_id", "seq").agg(F.sort_array(F.collect_set("rel_path")).alias("missing"))
-    return commands.join(bad, ["target_id", "seq"], "left").withColumn("missing", F.coalesce("missing", F.array().cast("array<string>")))
+    """commands with ``missing``, an empty list where all of their sources are registered."""
+    return commands.join(_missing(commands, registered), ["target_id", "seq"], "left").withColumn("missing", F.coalesce("missing", F.array().cast("array<string>")))
 
 
 def update_deadlines(deadlines: DataFrame, commands: DataFrame, registered: DataFrame) -> Written:
     """deadlines: target_id, label, due, state, verification, confidence, owner. commands: target_id, seq, op (add, update),
     label, due, state, verification, confidence, owner, expected (the state that the caller has seen; null: any), reason,
-    by, sources (array), dry_run. registered: rel_path. A deadline's commands are one small call: each sees the row that
-    the one before left, so order is all there is."""
-    c = _missing_sources(commands, registered)
-    names = ["seq", "op", "label", *FIELDS, "expected", "reason", "by", "sources", "dry_run", "missing"]
-    grouped = c.groupBy("target_id").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("cs"))
-    stored = deadlines.select("target_id", F.struct("label", "due", "state", "verification", "confidence", "owner").alias("row"))
-    fold = F.udf(fold_deadline, _DONE, useArrow=True)
-    # Deadlines without a command pass as they are; the rest are folded.
-    both = stored.join(grouped, "target_id", "full_outer")
-    done = both.where("cs is not null").withColumn("_r", fold("target_id", "row", "cs"))
-    state = done.where("_r.row is not null").select("target_id", "_r.row.*").unionByName(both.where("cs is null").select("target_id", "row.*"))
-    log = done.select("target_id", F.inline("_r.log"))
+    by, sources (array), dry_run. registered: rel_path. Each command sees the row that the one before left: stored rows,
+    missing sources and commands are sorted together, and one pass keeps a deadline's row."""
+    names = ["op", "label", *FIELDS, "expected", "reason", "by", "sources", "dry_run"]
+    every = commands.select("target_id", F.lit(2).alias("_kind"), "seq", *names)
+    every = every.unionByName(deadlines.select("target_id", F.lit(0).alias("_kind"), "label", *FIELDS), True)
+    every = every.unionByName(_missing(commands, registered).select("target_id", F.lit(1).alias("_kind"), "seq", F.col("missing").alias("sources")), True)
+    # A stored row comes first, then each command right after what it misses.
+    order = [F.col("_kind") > 0, "seq", "_kind", *names]
+
+    def step(at: dict, c: dict) -> dict | None:
+        target, kind = c["target_id"], c["_kind"]
+        if kind == 0:
+            at["row"] = {k: c[k] for k in ("label", *FIELDS)}
+            return None
+        if kind == 1:
+            at["seq"], at["missing"] = c["seq"], c["sources"]
+            return None
+        c["missing"] = at["missing"] if c["seq"] is not None and at.get("seq") == c["seq"] else []
+        at["row"], out = deadline_step(target, at.get("row"), c)
+        return {"target_id": target, "row": None, **out}
+
+    def end(at: dict, target: object) -> dict | None:
+        row = at.get("row")
+        return None if row is None else {**dict.fromkeys(_OUTCOME), "target_id": target, "row": row}
+
+    key = every.schema["target_id"].dataType.simpleString()
+    done = folded(every, "target_id", order, dict, step, end=end, schema=f"target_id {key}, " + ", ".join(f"{n} {kind}" for n, kind in _OUTCOME.items()) + f", row {_ROW}")
+    log = done.where("row is null")
     events = log.where("event is not null").select("target_id", "seq", F.col("event").alias("text"), "by", "sources")
-    return Written(state, log.select("target_id", "seq", "accepted", "reason", "changes"), events)
+    return Written(done.where("row is not null").select("target_id", "row.*"), log.select("target_id", "seq", "accepted", "reason", "changes"), events)
 
 
 class Fired(NamedTuple):
