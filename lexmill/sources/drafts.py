@@ -17,6 +17,7 @@ from xml.etree import ElementTree
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrow import plain_udf
 from ..operators.rulebooks import letters, roman
 from .packages import DEEPEST, MAIN, MARKS, UNSEEN, WORD, Refused, body_of, parts, root_of
 
@@ -189,7 +190,9 @@ def read_word(raw: bytes | None) -> dict:
 
 def parsed(files: DataFrame, by: str, content: str = "content") -> DataFrame:
     """by and ``read``, the parse of each file; read by the functions below."""
-    return files.select(by, F.udf(read_word, READ, useArrow=True)(content).alias("read"))
+    # Dealt by file before they are parsed: a table of small files is one task's input otherwise.
+    dealt = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(by))
+    return dealt.select(by, plain_udf(read_word, READ)(content).alias("read"))
 
 
 def _shown(n: Column, form: Column) -> Column:
