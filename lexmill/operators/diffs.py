@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import dealt
+
 
 def unquoted(path: Column) -> Column:
     """A diff's path without its quotes; octal escapes are bytes of UTF-8."""
@@ -20,6 +22,8 @@ def added_lines(lines: DataFrame, by: list[str], order: str = "line_no", line: s
     """Lines that a diff adds: by, path, new_line, text. A hunk's head tells how many lines it has on the new side, so an
     added line that looks like a file's head stays a line. A combined diff has a mark for each parent; a line is added
     if one of its marks says so."""
+    # Dealt by number of tasks: left to itself the shuffle, small as alike lines are written, ends in a few large tasks.
+    lines = dealt(lines, *by)
     w = Window.partitionBy(*by).orderBy(order)
     x = F.col(line)
     head = r"^(@@+) .*\+([0-9]+)(?:,([0-9]+))? (@@+)"
