@@ -11,11 +11,12 @@ from __future__ import annotations
 import datetime as dt
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
 from ..functions.folds import folded
+from ..session import dealt
 from . import correspondence, court_days
 
 #: What a deadline's fields may hold.
@@ -96,11 +97,6 @@ def _missing(commands: DataFrame, registered: DataFrame) -> DataFrame:
     return bad.groupBy("target_id", "seq").agg(F.sort_array(F.collect_set("rel_path")).alias("missing"))
 
 
-def _missing_sources(commands: DataFrame, registered: DataFrame) -> DataFrame:
-    """commands with ``missing``, an empty list where all of their sources are registered."""
-    return commands.join(_missing(commands, registered), ["target_id", "seq"], "left").withColumn("missing", F.coalesce("missing", F.array().cast("array<string>")))
-
-
 def update_deadlines(deadlines: DataFrame, commands: DataFrame, registered: DataFrame) -> Written:
     """deadlines: target_id, label, due, state, verification, confidence, owner. commands: target_id, seq, op (add, update),
     label, due, state, verification, confidence, owner, expected (the state that the caller has seen; null: any), reason,
@@ -149,26 +145,35 @@ def fire_triggers(triggers: DataFrame, commands: DataFrame, registered: DataFram
     """triggers: target_id, label, waits_on, days, state, rule, owner. commands: target_id, seq, op (fire, withdraw), on (text),
     service, reason, by, sources, dry_run. The first valid command of a waiting trigger takes it; those after it find it
     taken, so no fold is needed. A fired trigger makes a deadline, counted over the calendar. A dry run tells the day and
-    takes nothing; it needs no reason and no source, and may lie ahead."""
-    c = _missing_sources(commands, registered).join(triggers, "target_id", "left")
+    takes nothing; it needs no reason and no source, and may lie ahead. Triggers, missing sources and commands are dealt by
+    target and sorted once; both windows run over that order."""
+    own = ["label", "waits_on", "days", "state", "rule", "owner"]
+    every = commands.select("target_id", F.lit(2).alias("_kind"), "seq", "op", "on", "service", "reason", "by", "sources", "dry_run", F.size("sources").alias("_n"), (F.trim(F.coalesce("reason", F.lit(""))) == "").alias("_blank"))
+    every = every.unionByName(triggers.select("target_id", F.lit(0).alias("_kind"), *own), True)
+    # Only what fires in earnest has its sources looked up.
+    asked = commands.where((F.col("op") == "fire") & ~F.coalesce("dry_run", F.lit(False)) & F.col("seq").isNotNull())
+    every = every.unionByName(_missing(asked, registered).select("target_id", F.lit(1).alias("_kind"), "seq", F.col("seq").alias("_of"), "missing"), True)
+    # A trigger has no seq and comes first, then each command right after what it misses.
+    so_far = Window.partitionBy("target_id").orderBy(F.col("seq").asc_nulls_first(), "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = dealt(every, "target_id").withColumns({n: F.last(n, True).over(so_far) for n in (*own, "_of", "missing")}).where("_kind = 2")
+    c = c.withColumn("missing", F.when(F.col("_of") == F.col("seq"), F.col("missing")))
     day = F.when(F.col("on").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.expr("try_cast(on as date)"))
     counted = court_days.count_deadlines(c.withColumn("start", day), calendar, years)
     dry, fire = F.coalesce("dry_run", F.lit(False)), F.col("op") == "fire"
     unfit = (
         F.when(F.col("state").isNull(), "unknown id").when(F.col("state") != "waiting", F.concat(F.lit("already "), F.col("state")))
         .when(fire & F.col("start").isNull(), "not a date").when(fire & (F.col("start") > today) & ~dry, "the day is after today").when(fire & F.col("refused").isNotNull(), F.col("refused"))
-        .when(~(fire & dry) & (F.trim(F.coalesce("reason", F.lit(""))) == ""), "reason is missing").when(fire & ~dry & (F.size("sources") <= 0), "a source is needed")
+        .when(~(fire & dry) & F.col("_blank"), "reason is missing").when(fire & ~dry & (F.col("_n") <= 0), "a source is needed")
         .when(fire & ~dry & (F.size("missing") > 0), F.concat(F.lit("sources not registered: "), F.array_join("missing", ", ")))
     )
     valid = counted.withColumns({"_why": unfit, "_takes": unfit.isNull() & ~dry})
-    winner = valid.where("_takes").groupBy("target_id").agg(F.min("seq").alias("_win"))
     made = F.concat(F.lit("d_"), F.substring(F.sha2(F.concat_ws("|", F.lit("trigger"), F.col("target_id").cast("string")), 256), 1, 12))
-    out = valid.join(winner, "target_id", "left").withColumn("deadline_id", made)
-    late = F.col("_why").isNull() & (F.col("seq") > F.col("_win"))
-    took = valid.join(winner.withColumnRenamed("_win", "seq"), ["target_id", "seq"]).select("target_id", F.col("op").alias("_op"), F.col("on").alias("_on"))
-    out = out.join(took, "target_id", "left").withColumn("reason_refused", F.when(late, F.when(F.col("_op") == "fire", F.concat(F.lit("already fired on "), F.col("_on"))).otherwise("already withdrawn")).otherwise(F.col("_why")))
+    first = F.first(F.when(F.col("_takes") & F.col("seq").isNotNull(), F.struct("seq", "op", "on")), True).over(so_far)
+    out = valid.withColumn("_w", first).withColumn("deadline_id", made)
+    late = F.col("_why").isNull() & (F.col("seq") > F.col("_w.seq"))
+    out = out.withColumn("reason_refused", F.when(late, F.when(F.col("_w.op") == "fire", F.concat(F.lit("already fired on "), F.col("_w.on"))).otherwise("already withdrawn")).otherwise(F.col("_why")))
     log = out.select("target_id", "seq", F.col("reason_refused").isNull().alias("accepted"), F.col("reason_refused").alias("reason"), F.when(F.col("reason_refused").isNull() & fire, F.col("due")).alias("due"))
-    win = out.where("_takes and seq = _win")
+    win = out.where("_takes and seq = _w.seq")
     fired = win.where("op = 'fire'")
     deadlines = fired.select(F.col("deadline_id").alias("target_id"), "label", F.col("due").cast("string").alias("due"), F.lit("open").alias("state"), F.lit("unverified").alias("verification"), F.lit("working-estimate").alias("confidence"), "owner")
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
@@ -177,8 +182,8 @@ def fire_triggers(triggers: DataFrame, commands: DataFrame, registered: DataFram
     done = text("trigger ", F.col("target_id"), " ", F.col("label"), " fired: ", F.col("waits_on"), " on ", F.col("on"), ", service: ", F.col("service"), "; deadline ", F.col("deadline_id"), " due ", F.col("due"), "; reason: ", F.trim("reason"))
     gone = text("trigger ", F.col("target_id"), " ", F.col("label"), ": state waiting→withdrawn; reason: ", F.trim("reason"))
     none = F.array().cast("array<string>")
-    events = fired.select("target_id", "seq", "by", F.inline(F.array(F.struct(F.lit(1).alias("n"), added.alias("text"), none.alias("sources")), F.struct(F.lit(2).alias("n"), done.alias("text"), F.col("sources").alias("sources")))))
-    events = events.unionByName(win.where("op = 'withdraw'").select("target_id", "seq", "by", F.lit(1).alias("n"), gone.alias("text"), none.alias("sources")))
+    told = F.when(fire, F.array(F.struct(F.lit(1).alias("n"), added.alias("text"), none.alias("sources")), F.struct(F.lit(2).alias("n"), done.alias("text"), F.col("sources").alias("sources"))))
+    events = win.select("target_id", "seq", "by", F.inline(told.otherwise(F.array(F.struct(F.lit(1).alias("n"), gone.alias("text"), none.alias("sources"))))))
     after = triggers.join(win.select("target_id", F.when(F.col("op") == "fire", "fired").otherwise("withdrawn").alias("_s"), F.when(F.col("op") == "fire", F.col("on")).alias("fired_on"), F.when(F.col("op") == "fire", F.col("deadline_id")).alias("deadline_id")), "target_id", "left")
     return Fired(after.withColumn("state", F.coalesce("_s", "state")).drop("_s"), deadlines, events, log)
 

@@ -86,10 +86,11 @@ def _triggers(spark: SparkSession, sf_dir: str) -> X.Fired:
         '{"seq":4,"op":"fire","on":"{d}","service":"none","dry_run":true}', '{"seq":5,"op":"fire","on":"{d}","service":"mail","reason":"served","by":"kim","sources":["a{k}@1"]}',
         '{"seq":6,"op":"fire","on":"{d}","service":"none","reason":"r","sources":["a{k}@1"]}', '{"seq":7,"op":"withdraw","reason":"moot"}',
     ]
-    five = F.when(_k() % 3 == 0, '{"seq":5,"op":"withdraw","reason":"moot","by":"kim"}').otherwise(steps[5])
-    every = F.array(*[five if i == 5 else F.lit(j) for i, j in enumerate(steps)])
-    c = o.select(_k().alias("target_id"), "o_orderkey", F.explode(every).alias("j"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"))
-    c = c.select("target_id", F.from_json(F.replace(_own(F.col("j")), F.lit("{d}"), F.col("d")), _FIRE).alias("c")).select("target_id", "c.*").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
+    read = lambda j: F.from_json(F.lit(j), _FIRE)
+    five = F.when(_k() % 3 == 0, read('{"seq":5,"op":"withdraw","reason":"moot","by":"kim"}')).otherwise(read(steps[5]))
+    # Each command's JSON is read once; the order's day and key are set in its fields.
+    c = o.select(_k().alias("target_id"), "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), F.inline(F.array(*[five if i == 5 else read(j) for i, j in enumerate(steps)])))
+    c = c.withColumns({"on": F.replace("on", F.lit("{d}"), F.col("d")), "sources": F.coalesce(F.transform("sources", _own), F.array().cast("array<string>"))}).drop("o_orderkey", "d")
     years = spark.range(1995, 2003).select(F.col("id").cast("int").alias("year"))
     return X.fire_triggers(t, c, o.select(_own(F.lit("a{k}")).alias("rel_path")), court_days.calendar(spark, 1995, 2002), years, F.to_date(F.lit("2002-01-01")))
 
