@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 def manifests(parts: DataFrame, by: str) -> DataFrame:
     """by, manifest, bundle_sha: each bundle's parts (name, content) by name with their hashes and sizes, as JSON, and its
     hash. A name that stands twice in a bundle gives a null manifest: such a bundle can't be written."""
-    entry = F.struct("name", F.octet_length("content").alias("bytes"), F.sha2(F.col("content"), 256).alias("sha256"))
-    each = parts.groupBy(by).agg(F.sort_array(F.collect_list(entry)).alias("_e"), (F.count_distinct("name") == F.count("*")).alias("_unique"))
-    out = each.select(by, F.when(F.col("_unique"), F.to_json(F.struct(F.col("_e").alias("parts")))).alias("manifest"))
+    # Hashes are moved as 32 bytes; as digits they would be twice that, and no shuffle packs them.
+    entry = F.struct("name", F.octet_length("content").alias("bytes"), F.unhex(F.sha2(F.col("content"), 256)).alias("sha256"))
+    each = parts.groupBy(by).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
+    names = F.filter(F.col("_e.name"), lambda n: n.isNotNull())
+    told = F.transform("_e", lambda e: F.struct(e["name"].alias("name"), e["bytes"].alias("bytes"), F.lower(F.hex(e["sha256"])).alias("sha256")))
+    out = each.select(by, F.when(F.size(F.array_distinct(names)) == F.size(names), F.to_json(F.struct(told.alias("parts")))).alias("manifest"))
     return out.withColumn("bundle_sha", F.sha2("manifest", 256))
 
 
@@ -56,13 +59,19 @@ def checked(parts: DataFrame, stored: DataFrame, by: str) -> DataFrame:
     """by, name, reason for everything that doesn't fit: a part that is missing, not in the manifest, or changed, and a manifest
     that isn't its bundle's (name null). Bundles without a row are whole."""
     listed = F.from_json("manifest", "struct<parts:array<struct<name:string,bytes:int,sha256:string>>>")["parts"]
-    said = stored.select(by, F.explode(listed).alias("_e")).select(by, "_e.name", F.col("_e.sha256").alias("_said"))
-    have = parts.groupBy(by, "name").agg(F.max(F.sha2(F.col("content"), 256)).alias("_have"), F.min(F.sha2(F.col("content"), 256)).alias("_least"))
-    both = said.join(have, [by, "name"], "full_outer")
-    reason = F.when(F.col("_have").isNull(), "missing").when(F.col("_said").isNull(), "not in the manifest").when((F.col("_have") != F.col("_said")) | (F.col("_least") != F.col("_said")), "changed")
-    out = both.select(by, "name", reason.alias("reason")).where("reason is not null")
-    torn = stored.where(F.coalesce(F.sha2("manifest", 256) != F.col("bundle_sha"), F.lit(True))).select(by, F.lit(None).cast("string").alias("name"), F.lit("the manifest is not the bundle's").alias("reason"))
-    return out.unionByName(torn)
+    # Hashes as 32 bytes; whatever else a manifest says is made longer than any hash.
+    said = lambda e: F.when(e.rlike("^[0-9a-f]{64}$") & ~e.endswith("\n"), F.unhex(e)).otherwise(F.concat(F.lit(b"\0" * 33), e.cast("binary")))
+    kind = "array<struct<name:string,_said:binary,_torn:boolean>>"
+    own = F.transform(listed, lambda e: F.struct(e["name"].alias("name"), said(e["sha256"]).alias("_said"), F.lit(False).alias("_torn")))
+    torn = F.coalesce(F.sha2("manifest", 256) != F.col("bundle_sha"), F.lit(True))
+    mark = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("binary").alias("_said"), F.lit(True).alias("_torn")))
+    # Both of a manifest's faults and parts in one pass, so that it is made once.
+    rows = stored.select(by, F.inline(F.concat(F.coalesce(own.cast(kind), F.array().cast(kind)), F.when(torn, mark).otherwise(F.array().cast(kind)).cast(kind))))
+    sha = F.unhex(F.sha2(F.col("content"), 256))
+    have = parts.select(by, "name", sha.alias("_h")).groupBy(by, "name").agg(F.max("_h").alias("_have"), F.min("_h").alias("_least"))
+    both = rows.join(have, [by, "name"], "full_outer")
+    reason = F.when(F.col("_torn"), "the manifest is not the bundle's").when(F.col("_have").isNull(), "missing").when(F.col("_said").isNull(), "not in the manifest").when((F.col("_have") != F.col("_said")) | (F.col("_least") != F.col("_said")), "changed")
+    return both.select(by, "name", reason.alias("reason")).where("reason is not null")
 
 
 #: What a pack's manifest must hold, by the form of each value. Fixed values.
