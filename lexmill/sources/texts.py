@@ -4,27 +4,88 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions import digests
+
 #: Folders that a case walk skips, beside the store folders that the caller names.
 SKIPPED = (".git", ".hg", ".svn", ".venv", "venv", "node_modules", "__pycache__")
+#: Files of up to so many bytes are one row of Spark's binary source. Of a larger one a task hashes so many at most.
+WHOLE, TURN = 64 << 20, 512 << 20
 
 
-def case_files(spark: SparkSession, root: str, nested: DataFrame | None = None, stores: tuple[str, ...] = ()) -> DataFrame:
+def case_files(spark: SparkSession, root: str, nested: DataFrame | None = None, stores: tuple[str, ...] = (), whole: int = WHOLE, turn: int = TURN) -> DataFrame:
     """Files under root: rel_path, bytes, mtime, sha256. Skipped folders and, given their paths (column root), nested
-    cases are left out. Bytes are hashed where they are read and don't leave the scan."""
+    cases are left out. Bytes are hashed where they are read and don't leave the scan. Files of over ``whole`` bytes are
+    hashed at once, by tasks in turn."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace("path", "^.*?" + "\\Q" + root.rstrip("/") + "\\E/", "")
-    out = df.select(rel.alias("rel_path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256"))
-    out = out.where(~F.arrays_overlap(F.split("rel_path", "/"), F.array(*[F.lit(x) for x in (*SKIPPED, *stores)])))
+    files = df.select("path", rel.alias("rel_path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"), "content")
+    files = files.where(~F.arrays_overlap(F.split("rel_path", "/"), F.array(*[F.lit(x) for x in (*SKIPPED, *stores)])))
     if nested is not None:
         n = nested.select(F.col("root").alias("nested_root"))
-        out = out.join(F.broadcast(n), F.col("rel_path").startswith(F.concat("nested_root", F.lit("/"))), "left_anti")  # case folders: few
-    return out
+        files = files.join(F.broadcast(n), F.col("rel_path").startswith(F.concat("nested_root", F.lit("/"))), "left_anti")  # case folders: few
+    own, large = F.sha2("content", 256).alias("sha256"), F.col("bytes") > whole
+    found = hashed(spark, [tuple(r) for r in files.where(large).select("path", "bytes").collect()], turn)
+    if not found:
+        return files.select("rel_path", "bytes", "mtime", own)
+    sums = spark.createDataFrame(list(found.items()), "path string, sha256 string")
+    rest = files.where(large).drop("content").join(F.broadcast(sums), "path", "left")  # a row for each large file
+    return files.where(~large).select("rel_path", "bytes", "mtime", own).unionByName(rest.drop("path"))
+
+
+def hashed(spark: SparkSession, files: list[tuple[str, int]], turn: int = TURN) -> dict[str, str]:
+    """SHA-256 of each of files (path, bytes). All files' hashes go on by ``turn`` bytes in each round, a task a file; only
+    their states, a hundred bytes each, pass through the driver. Empty if Python can't open them all: a mount table of
+    Spark's own, say. Spark's binary source must read such files whole, up to its 2 GB."""
+    left, done = [(p, n, 0, b"") for p, n in files], {}
+    while left:
+        got = spark.sparkContext.parallelize(left, len(left)).map(lambda f: _went_on(*f, turn)).collect()
+        if None in got:
+            return {}
+        done |= {p: h for p, n, at, h in got if at == n}
+        left = [f for f in got if f[2] < f[1]]
+    return done
+
+
+def _went_on(path: str, size: int, at: int, state: bytes, turn: int) -> tuple[str, int, int, bytes | str] | None:
+    """A file with the place that its hash has come to, and its state there or, at the end, the digest."""
+    try:
+        f = opened(path)
+    except (OSError, ValueError, NotImplementedError):
+        if at:
+            raise
+        return None
+    if digests.resumable():
+        end = min(size, at + turn)
+    else:  # from the start and to the end
+        at, end, state = 0, size, b""
+    with f:
+        f.seek(at)
+        h = digests.sha256(state)
+        while at < end:
+            if not (b := f.read(min(end - at, 4 << 20))):
+                raise EOFError(f"{path} ended at {at} of {size} bytes")
+            h.update(b)
+            at += len(b)
+        return path, size, at, h.hexdigest() if at == size else h.state()
+
+
+def opened(path: str) -> BinaryIO:
+    """A stream of a path as Spark writes it."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return open("/" + rest.lstrip("/"), "rb")
+    from pyarrow.fs import FileSystem
+
+    server, _, inner = rest.removeprefix("//").partition("/")
+    fs, top = FileSystem.from_uri(f"{scheme}://{server}/")
+    return fs.open_input_file(f"{top.rstrip('/')}/{inner}")
 
 
 BREAK = r"(?i)\f|<!--\s*PAGEBREAK\s*-->"
