@@ -16,3 +16,17 @@ def test_a_mark_in_two_lists_still_parts_the_readings():
     marks = [(c, 0) for c in "abcdefgh"] + [("1", 4), ("i", 8), ("i", 0), ("ii", 8)]
     paths = [p for p, _ in outline.place(marks)]
     assert paths[8] == ("h", "1") and paths[10] == ("i",)
+
+
+def test_page_numbers_stand_alone_at_a_pages_top_or_foot(spark):
+    pages = ["iv\nRule 1. Form\n 12 \n\n", "\t\n- 3 -\r\n(a) One\n4\nmore\nPage 5", "6\n7\n(b) Two\n8 9", "10", "\n (i)\n2 of\t9"]
+    text = "\f".join(pages)
+    got = [(r.line_no, r.anchor, r.line) for r in rulebooks.sections(spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "12\f")], "source_id int, text string")).orderBy("line_no").collect()]
+    assert got == [(1, "1", "Rule 1. Form"), (7, "1-a", "(a) One"), (8, "1-a", "4"), (9, "1-a", "more"), (12, "1-a", "7"), (13, "1-b", "(b) Two"), (14, "1-b", "8 9"), (17, "1-b", "(i)")]
+    kept = {r.source_id: (r.words == r.kept, r.whole) for r in rulebooks.kept_words(rulebooks.read(spark.createDataFrame([(1, text), (2, None)], "source_id int, text string"))).collect()}
+    assert kept[2] == (True, True)
+
+
+def test_bytes_that_are_not_text_do_not_end_the_reading(spark):
+    raw = spark.createDataFrame([(1, b"Rule 1. \xff\n(a) \xc3(\n(b) Two")], "source_id int, raw binary").selectExpr("source_id", "cast(raw as string) text")
+    assert [(r.line_no, r.anchor) for r in rulebooks.sections(raw).orderBy("line_no").collect()] == [(0, "1"), (1, "1-a"), (2, "1-b")]
