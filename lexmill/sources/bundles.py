@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import once
+
 
 def manifests(parts: DataFrame, by: str) -> DataFrame:
     """by, manifest, bundle_sha: each bundle's parts (name, content) by name with their hashes and sizes, as JSON, and its
@@ -80,25 +82,26 @@ BODY = "<!-- rules -->"
 ANCHOR = r'<a id="([^"]+)"></a>'
 
 
-def pack_bodies(lines: DataFrame, packs: DataFrame, by: str) -> DataFrame:
-    """The Markdown body of each pack out of its sections' lines (by, line_no, line, opens), with an anchor and a label before a
-    line that opens a section, and its manifest. packs: by, id, version, title, cite_prefix, anchor_prefix, current_as_of,
-    review_after_days, format. A pack's body is one document: its lines are gathered in order."""
-    p = packs.select(by, "cite_prefix", "anchor_prefix")
+def pack_bodies(packs: DataFrame, by: str) -> DataFrame:
+    """The Markdown body of each pack out of its sections' lines, with an anchor and a label before a line that opens a section,
+    and its manifest. packs: by, lines (as ``rulebooks.read`` gives them), id, version, title, cite_prefix, anchor_prefix,
+    current_as_of, review_after_days, format. A pack's body is one document, made on the pack's own row."""
     parts = lambda a: F.split(a, "-")
     label = lambda a: F.concat(F.get(parts(a), 0), F.array_join(F.transform(F.slice(parts(a), 2, F.size(parts(a))), lambda x: F.concat(F.lit("("), x, F.lit(")"))), ""))
-    mark = F.transform("opens", lambda a: F.concat(F.lit('<a id="'), F.col("anchor_prefix"), F.lit("-"), a, F.lit('"></a>**['), F.col("cite_prefix"), F.lit(" "), label(a), F.lit("]** ")))
-    text = F.concat(F.array_join(mark, "\n"), F.col("line"))
-    body = lines.join(p, by).groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", text.alias("_t")))), lambda x: x["_t"]), "\n").alias("_b"))
-    out = packs.join(body, by).withColumn("body", F.concat(F.lit("# "), F.col("title"), F.lit(" ("), F.col("version"), F.lit(f")\n\n{BODY}\n"), F.col("_b"), F.lit("\n")))
+    mark = lambda a: F.concat(F.lit('<a id="'), F.col("anchor_prefix"), F.lit("-"), a, F.lit('"></a>**['), F.col("cite_prefix"), F.lit(" "), label(a), F.lit("]** "))
+    text = F.transform("lines", lambda x: F.concat(F.array_join(F.transform(x["opens"], mark), "\n"), x["line"]))
+    out = packs.where(F.size("lines") > 0).withColumn("body", F.concat(F.lit("# "), F.col("title"), F.lit(" ("), F.col("version"), F.lit(f")\n\n{BODY}\n"), F.array_join(text, "\n"), F.lit("\n")))
     names = ["format", "id", "version", "title", "cite_prefix", "anchor_prefix", "current_as_of", "review_after_days"]
     return out.select(by, F.to_json(F.struct(*names, F.sha2("body", 256).alias("rules_md_sha256")), {"ignoreNullFields": "false"}).alias("manifest"), "body")
 
 
+def _fields() -> Column:
+    return F.from_json("manifest", ", ".join(f"{n} string" for n in ("format", *SHAPES, "current_as_of")) + ", review_after_days int")
+
+
 def _manifest(form: str) -> Column:
-    """Why a pack's manifest is refused, its fields in order; null if it isn't."""
-    fields = ", ".join(f"{n} string" for n in ("format", *SHAPES, "current_as_of")) + ", review_after_days int"
-    m = F.from_json("manifest", fields)
+    """Why a pack's manifest is refused, its fields (_m) in order; null if it isn't."""
+    m = F.col("_m")
     out = F.when(m.isNull() | F.coalesce(F.get_json_object("manifest", "$"), F.lit("")).eqNullSafe(""), "not JSON").when(~m["format"].eqNullSafe(form), f"format is not {form}")
     for name, shape in SHAPES.items():
         out = out.when(~F.coalesce(m[name].rlike(f"^(?:{shape})$"), F.lit(False)), f"{name} is missing or malformed")
@@ -110,13 +113,14 @@ def load_packs(packs: DataFrame, by: str, form: str) -> tuple[DataFrame, DataFra
     """(anchors: by, anchor, line_no, of packs that are sound; refusals: by, reason). packs: by, manifest, body. The first reason
     counts: the manifest's fields, the body's hash, its mark, an anchor that stands twice or lacks the pack's prefix."""
     field = lambda n: F.get_json_object("manifest", f"$.{n}")
-    split = F.split("body", "\n")
-    start = F.array_position(split, BODY)
-    read = packs.select(by, _manifest(form).alias("_why"), field("anchor_prefix").alias("_prefix"), (F.sha2("body", 256) == field("rules_md_sha256")).alias("_same"), start.alias("_start"), F.slice(split, F.greatest(start, F.lit(1)).cast("int"), F.size(split)).alias("_l"))
-    read = read.withColumn("_why", F.coalesce("_why", F.when(~F.coalesce("_same", F.lit(False)), "the body changed").when(F.col("_start") == 0, "no body mark")))
-    lines = read.where("_why is null").select(by, "_prefix", "_start", F.posexplode("_l").alias("_i", "_t"))
-    own = lines.select(by, "_prefix", (F.col("_start") + F.col("_i") - 1).alias("line_no"), F.explode(F.regexp_extract_all("_t", F.lit(f"^{ANCHOR}"), F.lit(1))).alias("anchor"))
-    own = own.withColumn("_n", F.count("*").over(Window.partitionBy(by, "anchor")))
-    bad = own.groupBy(by).agg(F.max(F.when(F.col("_n") > 1, "an anchor stands twice").when(~F.startswith("anchor", F.concat("_prefix", F.lit("-"))), "an anchor lacks the prefix")).alias("_bad"))
-    refusals = read.where("_why is not null").select(by, F.col("_why").alias("reason")).unionByName(bad.where("_bad is not null").select(by, F.col("_bad").alias("reason")))
-    return own.join(bad.where("_bad is null").select(by), by).select(by, "anchor", "line_no"), refusals
+    # Each step on the pack's own row; both tables are read off it.
+    own = packs.select(by, "body", _fields().alias("_m"), "manifest", field("anchor_prefix").alias("_prefix"), field("rules_md_sha256").alias("_sha"))
+    own = own.select(by, "_prefix", _manifest(form).alias("_why"), (F.sha2("body", 256) == F.col("_sha")).alias("_same"), F.split("body", "\n").alias("_l"))
+    own = own.withColumn("_start", F.array_position("_l", BODY))
+    own = own.withColumn("_why", F.coalesce("_why", F.when(~F.coalesce("_same", F.lit(False)), "the body changed").when(F.col("_start") == 0, "no body mark")))
+    after = F.filter(F.transform("_l", lambda t, i: F.when((i + 1 >= F.col("_start")) & F.startswith(t, F.lit('<a id="')), F.struct(F.regexp_extract(t, f"^{ANCHOR}", 1).alias("anchor"), i.cast("long").alias("line_no")))), lambda x: x["anchor"] != "")
+    own = own.select(by, "_prefix", "_why", F.when(F.col("_why").isNull(), after).alias("_a"))
+    names = F.col("_a.anchor")
+    bad = F.when(F.size(F.array_distinct(names)) < F.size(names), "an anchor stands twice").when(F.exists(names, lambda a: ~F.startswith(a, F.concat("_prefix", F.lit("-")))), "an anchor lacks the prefix")
+    own = once(own.select(by, "_why", "_a", bad.alias("_bad")), reason=F.coalesce("_why", "_bad"), _found=F.col("_a"))
+    return own.where("reason is null").select(by, F.inline("_found")), own.where("reason is not null").select(by, "reason")

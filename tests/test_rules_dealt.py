@@ -18,6 +18,21 @@ def test_a_mark_in_two_lists_still_parts_the_readings():
     assert paths[8] == ("h", "1") and paths[10] == ("i",)
 
 
+def test_marks_are_read_once_and_after_the_texts_are_dealt(spark):
+    from lexmill.sources import bundles
+
+    texts = spark.createDataFrame([(i, f"Rule {i}. Form\n(a) One\n  (1) Two\n(b) Three") for i in range(1, 9)], "source_id int, text string").coalesce(1)
+    meta = "'rules-1' format, 'p' || source_id id, '1' version, 'T' title, 'L. R.' cite_prefix, 'lr' anchor_prefix, cast(null as string) current_as_of, 365 review_after_days"
+    packs = bundles.pack_bodies(rulebooks.read(texts).selectExpr("source_id", "lines", *meta.split(", ")), "source_id")
+    found, refused = bundles.load_packs(packs, "source_id", "rules-1")
+    for df in (rulebooks.sections(texts), found, refused):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+        assert "REPARTITION_BY_NUM" in plan[plan.index("ArrowEvalPython") :]
+    assert {(r.source_id, r.anchor) for r in found.collect()} == {(i, f"lr-{i}{x}") for i in range(1, 9) for x in ("", "-a", "-a-1", "-b")}
+    assert refused.count() == 0
+
+
 def test_page_numbers_stand_alone_at_a_pages_top_or_foot(spark):
     pages = ["iv\nRule 1. Form\n 12 \n\n", "\t\n- 3 -\r\n(a) One\n4\nmore\nPage 5", "6\n7\n(b) Two\n8 9", "10", "\n (i)\n2 of\t9"]
     text = "\f".join(pages)
