@@ -45,3 +45,13 @@ def test_page_numbers_stand_alone_at_a_pages_top_or_foot(spark):
 def test_bytes_that_are_not_text_do_not_end_the_reading(spark):
     raw = spark.createDataFrame([(1, b"Rule 1. \xff\n(a) \xc3(\n(b) Two")], "source_id int, raw binary").selectExpr("source_id", "cast(raw as string) text")
     assert [(r.line_no, r.anchor) for r in rulebooks.sections(raw).orderBy("line_no").collect()] == [(0, "1"), (1, "1-a"), (2, "1-b")]
+
+
+def test_extents_of_a_texts_sections_take_no_shuffle_of_their_own(spark):
+    texts = spark.createDataFrame([(1, "Rule 1. A\n(a) x\n(1) y\n(A) z\n(b) w\nRule 2. B\n(a) v"), (2, "none"), (3, None)], "source_id int, text string")
+    out = rulebooks.text_extents(rulebooks.read(texts))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted((r.line, r.anchor, r.end_line) for r in out.collect()) == [(0, "1", 5), (1, "1-a", 4), (2, "1-a-1", 4), (3, "1-a-1-A", 4), (4, "1-b", 5), (5, "2", None), (6, "2-a", None)]
+    flat = rulebooks.anchors(rulebooks.sections(texts)).select("source_id", "anchor", rulebooks.F.col("line_no").alias("line"))
+    assert sorted(map(tuple, rulebooks.extents(flat, "source_id").collect()), key=str) == sorted(map(tuple, out.collect()), key=str)
+    assert outline.first_ends(["1", "1-a", "1", "1-a", "2"]) == [{"i": 0, "j": 4}, {"i": 1, "j": 4}, {"i": 4, "j": None}]
