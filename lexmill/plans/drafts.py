@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import brief
-from ..session import table
+from ..session import dealt, table
 from ..sources import drafts as D
 from ..sources.packages import MAIN, WORD
 from .registry import query
@@ -76,7 +76,9 @@ def _file(key: int) -> bytes:
 
 def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.udf(_file, "binary", useArrow=True)
-    return D.parsed(table(spark, sf_dir, "customer").select("c_custkey", made("c_custkey").alias("content")), "c_custkey")
+    # Keys are dealt before files are made of them, not the files.
+    keys = dealt(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    return D.parsed(keys.select("c_custkey", made("c_custkey").alias("content")), "c_custkey", deal=False)
 
 
 _SHOWN = [row for _, rows in _DRAFT for row in rows]
@@ -101,6 +103,6 @@ def word_draft_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(c_custkey AS VARCHAR) AS draft_id, raw, target FROM customer, (VALUES ('ECF No. 4', '4'), ('Id. at 3', '4')) t(raw, target) WHERE c_custkey % 10 <> 1")
 def word_draft_cites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cites of Word drafts: an 'Id.' in a note stands for the note before it."""
-    text = D.draft_texts(D.draft_paragraphs(_read(spark, sf_dir), "c_custkey"), "c_custkey")
+    text = D.draft_texts(_read(spark, sf_dir), "c_custkey")
     b = brief.bound(brief.cites(brief.units(text.select(F.col("c_custkey").alias("draft_id"), F.lit("c").alias("case_id"), "text"))))
     return b.select("draft_id", "raw", "target")
