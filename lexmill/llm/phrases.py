@@ -6,7 +6,9 @@ numbers of its words (-1: not frequent, or a piece's end). Level k sees, at each
 exactly by the two numbers, not by a hash. Counts leave a task pre-aggregated and are added up by Spark; what reaches
 the threshold is the level's table, with the numbers of its left and right (k-1)-gram.
 
-A level's table is broadcast to number the places of the next level while it stays under ``BROADCAST_BYTES``; beyond,
+A level's table is broadcast to number the places of the next level while it stays under ``BROADCAST_BYTES``, packed by
+tasks and unpacked by workers: the driver passes bytes on, and lets them go when the level is written. Joins of level
+tables are merge joins by name, as Spark would broadcast a table by its size on disk, which packs many times over. Beyond,
 each block asks for its own different k-grams by a join and gets their numbers back, so nothing grows with the corpus
 but shuffled rows. Both ways give the same numbers.
 
@@ -23,12 +25,14 @@ they are called. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U, drop, mix, narrow, pack_arrays, stage_at, unpack_arrays, widen
@@ -139,18 +143,49 @@ def _block_ids() -> Iterator[int]:
 PLACES = "block long, ids binary"
 
 
-def number_words(spark: SparkSession, docs: DataFrame, words: DataFrame, small: bool) -> DataFrame:
-    """Blocks of texts as numbers of frequent words, one for each place."""
-    if small:
+def packed(level: DataFrame, *columns: str) -> Broadcast[list[bytes]]:
+    """Columns of a small table as a broadcast of compressed Arrow streams, made by tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(b)
+            yield pa.RecordBatch.from_pydict({"blob": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    blobs = level.select(*columns).mapInArrow(run, "blob binary").collect()
+    return level.sparkSession.sparkContext.broadcast([bytes(r["blob"]) for r in blobs])
+
+
+def unpacked(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    for blob in blobs:
+        yield from pa.ipc.open_stream(blob)
+
+
+#: The words of one broadcast by language, kept from task to task in a Python worker.
+_KNOWN: dict[int, dict[str, dict[bytes, int]]] = {}
+
+
+def _known_words(number: int, blobs: list[bytes]) -> dict[str, dict[bytes, int]]:
+    if number not in _KNOWN:
+        _KNOWN.clear()
         found: dict[str, dict[bytes, int]] = {}
-        for r in words.select("lang", "phrase", "id").toArrow().to_batches():
+        for r in unpacked(blobs):
             for lang, word, i in zip(*(r.column(j).to_pylist() for j in range(3)), strict=True):
                 found.setdefault(lang, {})[word.encode()] = i
-        known = spark.sparkContext.broadcast(found)
+        _KNOWN[number] = found
+    return _KNOWN[number]
+
+
+def number_words(docs: DataFrame, words: DataFrame, known: Broadcast[list[bytes]] | None) -> DataFrame:
+    """Blocks of texts as numbers of frequent words, one for each place. known: the words' lang, phrase and id, if they are few."""
+    if known is not None:
+        number = uuid.uuid4().int
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = _known_words(number, known.value)
             for (lang, texts), block in zip(by_language(batches), _block_ids(), strict=False):
-                own = known.value.get(lang, {})
+                own = found.get(lang, {})
                 if own:
                     yield _blob(np.array([own.get(w, -1) for w in tokens(texts)], np.int64), block)
 
@@ -185,7 +220,7 @@ def number_words(spark: SparkSession, docs: DataFrame, words: DataFrame, small:
 def salted_join(asked: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
     """A common word is asked for by every block: its rows are dealt over ``SALTS`` keys, what is known stands under each."""
     salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
-    return asked.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int")).join(known.withColumn("salt", salts), [*on, "salt"])
+    return asked.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int")).join(known.withColumn("salt", salts).hint("merge"), [*on, "salt"])
 
 
 def _pairs(ids: np.ndarray) -> np.ndarray:
@@ -247,16 +282,17 @@ def pair_counts(places: DataFrame, least: int, buckets: int) -> DataFrame:
     return places.mapInArrow(run, "bucket int, blob binary").groupBy("bucket").applyInArrow(add, "left long, right long, n long")
 
 
-def number_pairs(spark: SparkSession, places: DataFrame, level: DataFrame, small: bool) -> DataFrame:
-    """The same blocks with, at each place, the number of the level's gram that starts there."""
-    if small:
-        t = level.select("left", "right", "id").toArrow()
-        left, right, number = (t.column(i).to_numpy() for i in range(3))
-        order = np.lexsort((right, left))
-        known = spark.sparkContext.broadcast((left[order], right[order], number[order]))
+def number_pairs(places: DataFrame, level: DataFrame, known: Broadcast[list[bytes]] | None) -> DataFrame:
+    """The same blocks with, at each place, the number of the level's gram that starts there. known: the level's left, right
+    and id, if they are few."""
+    if known is not None:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            a, b, number = known.value
+            parts = list(unpacked(known.value))
+            a, b, number = (np.concatenate([p.column(i).to_numpy() for p in parts] or [np.zeros(0, np.int64)]) for i in range(3))
+            del parts
+            order = np.lexsort((b, a))
+            a, b, number = a[order], b[order], number[order]
             lefts, rights = np.unique(a), np.unique(b)
             # The pair as one number, by the places of its parts among all: sorted as the pairs are.
             keys = np.searchsorted(lefts, a) * len(rights) + np.searchsorted(rights, b)
@@ -317,15 +353,18 @@ def levels(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple
         # A word takes its bytes and about 150 more in a dictionary, a pair some 50 bytes while it is sorted.
         weight = F.sum(F.octet_length("phrase") + 150) if k == 2 else F.count("id") * 50
         small = (level.agg(weight.alias("size")).first()["size"] or 0) <= BROADCAST_BYTES
-        numbered = number_words(spark, own, level, small) if k == 2 else number_pairs(spark, places, level, small)
+        known = packed(level, *(("lang", "phrase") if k == 2 else ("left", "right")), "id") if small else None
+        numbered = number_words(own, level, known) if k == 2 else number_pairs(places, level, known)
         places, path = stage_at(numbered, f"phrases-places-{k - 1}")
+        if known is not None:
+            known.unpersist(blocking=True)
         drop(spark, [last] if last else [])
         last = path
         found = put(pair_counts(places, least, buckets).withColumn("id", F.monotonically_increasing_id()), f"pairs-{k}")
         before = [f"first{j}" for j in range(1, k - 1)], [f"rest{j}" for j in range(1, k - 1)]
         a = level.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), *before[0], F.col("n").alias(f"first{k - 1}"))
         b = level.select(F.col("id").alias("right"), "last", *before[1], F.col("n").alias(f"rest{k - 1}"))
-        joined = found.join(a, "left").join(b, "right")
+        joined = found.join(a.hint("merge"), "left").join(b.hint("merge"), "right")
         level = put(joined.withColumn("phrase", F.concat_ws(" ", "head", "last")).drop("head"), str(k))
         out.append(level)
     drop(spark, [last])
@@ -347,7 +386,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, fi
         if k < longest:
             longer = tables[k]
             covers = longer.select(F.explode(F.array("left", "right")).alias("id"), F.col("n").alias("long")).groupBy("id").agg(F.max("long").alias("long"))
-            level = level.join(covers, "id", "left").where(F.col("long").isNull() | (F.col("long") < F.col("n")))
+            level = level.join(covers.hint("merge"), "id", "left").where(F.col("long").isNull() | (F.col("long") < F.col("n")))
         level = level.join(F.broadcast(words) if _few(words) else words, "lang")
         cuts = [
             F.struct(

@@ -65,3 +65,18 @@ def test_scores_past_64_bits(spark):
 
 def test_empty_table(spark):
     assert phrases.collocations(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_tables_of_a_level_are_not_broadcast_by_spark(spark, tmp_path):
+    words = ["a", "b", "c", "d"]
+    df = spark.createDataFrame([(i, " ".join(words[(i + j) % 4] for j in range(12)), "en") for i in range(20)], "doc_id long, text string, lang string")
+    plan = phrases.collocations(df, least=8)._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join " in x]
+    # The languages' own word counts alone, one join a level; what stands in longer phrases is merged.
+    assert len([x for x in joins if "BroadcastHashJoin [lang" in x]) == 4 and len([x for x in joins if "SortMergeJoin [id" in x]) == 3 and len(joins) == 7
+    asked = spark.createDataFrame([(1, "en", "a")], "block long, lang string, phrase string")
+    known = spark.createDataFrame([("en", "a", 7)], "lang string, phrase string, id long")
+    joined = phrases.salted_join(asked, known, ["lang", "phrase"])
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString() and joined.first().id == 7
+    blobs = phrases.packed(known, "lang", "phrase", "id")
+    assert [r.to_pylist() for r in phrases.unpacked(blobs.value)] == [[{"lang": "en", "phrase": "a", "id": 7}]]
